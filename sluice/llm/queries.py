@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, simhash
+from . import decontaminate, sharding, simhash, substrings
 from .oracles import SQL
 
 
@@ -19,13 +20,24 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of each document once passages of 35 words that occur twice are removed."""
+    return substrings.report(table(spark, sf_dir, "documents"), width=35)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of each document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, distance=2)
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minimax shard and slot of each document, by bytes."""
+    placed = sharding.assign(table(spark, sf_dir, "documents"), shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op8_simhash)}
+    return {f.__name__: f for f in (op1_decontaminate, op5_substrings, op8_simhash, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
