@@ -44,4 +44,20 @@ WITH docs AS (
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(line, '')) AS kept_sha256
 FROM docs LEFT JOIN kept USING (r)""",
+    "op3_warc": r"""
+WITH pages_ AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), hashed AS (
+  SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS h FROM pages_
+), digests AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32),
+    lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS INTEGER) >> (15 - 5 * (i % 4))) & 31), 1)), '') AS payload_digest
+  FROM hashed
+), first AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS largest FROM digests
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = largest THEN NULL ELSE largest END AS refers_to
+FROM first""",
 }

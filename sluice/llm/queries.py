@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, sharding, simhash, substrings
+from . import decontaminate, sharding, simhash, substrings, warc
+from ._util import shared_dir
 from .oracles import SQL
 
 
@@ -20,6 +21,14 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the pages as WARC archives and reads their records back."""
+    root = shared_dir(spark)
+    warc.write(table(spark, sf_dir, "pages"), root)
+    back = warc.read(spark, root, with_payload=False)
+    return back.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left of each document once passages of 35 words that occur twice are removed."""
     return substrings.report(table(spark, sf_dir, "documents"), width=35)
@@ -37,7 +46,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op5_substrings, op8_simhash, op9_sharding)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_warc, op5_substrings, op8_simhash, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
