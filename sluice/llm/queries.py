@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, sharding, simhash, substrings, warc
+from . import bpe, decontaminate, sharding, simhash, substrings, warc
 from ._util import shared_dir
 from .oracles import SQL
 
@@ -45,8 +46,13 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document and the text that they decode to, as digests."""
+    return bpe.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_warc, op5_substrings, op8_simhash, op9_sharding)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_warc, op5_substrings, op8_simhash, op9_sharding, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
