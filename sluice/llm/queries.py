@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, sharding, simhash, substrings, warc
+from . import bpe, decontaminate, language, sharding, simhash, substrings, warc
 from ._util import shared_dir
 from .oracles import SQL
 
@@ -35,6 +35,11 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(table(spark, sf_dir, "documents"), width=35)
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document, learnt from the documents that are not held out."""
+    return language.report(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of each document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, distance=2)
@@ -52,7 +57,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_warc, op5_substrings, op8_simhash, op9_sharding, op10_bpe)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_warc, op5_substrings, op7_language, op8_simhash, op9_sharding, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
