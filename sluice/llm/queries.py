@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, sharding, simhash, substrings, warc
+from . import bpe, decontaminate, language, quality, sharding, simhash, substrings, warc
 from ._util import shared_dir
 from .oracles import SQL
 
@@ -22,6 +22,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics of each document and the verdict of its group's robust estimate."""
+    return quality.report(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the pages as WARC archives and reads their records back."""
     root = shared_dir(spark)
@@ -57,7 +62,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_warc, op5_substrings, op7_language, op8_simhash, op9_sharding, op10_bpe)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_warc, op5_substrings, op7_language, op8_simhash, op9_sharding, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
