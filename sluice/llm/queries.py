@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, quality, sharding, simhash, substrings, warc
+from . import bpe, decontaminate, language, pii, quality, sharding, simhash, substrings, warc
 from ._util import shared_dir
 from .oracles import SQL
 
@@ -40,6 +40,11 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(table(spark, sf_dir, "documents"), width=35)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of each document and the terms that disclose it."""
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of each document, learnt from the documents that are not held out."""
     return language.report(table(spark, sf_dir, "documents"))
@@ -62,7 +67,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_warc, op5_substrings, op7_language, op8_simhash, op9_sharding, op10_bpe)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_warc, op5_substrings, op6_pii, op7_language, op8_simhash, op9_sharding, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
