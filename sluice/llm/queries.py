@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, pii, quality, sharding, simhash, substrings, warc
+from . import attribution, bpe, decontaminate, language, pii, quality, sharding, simhash, substrings, warc
 from ._util import shared_dir
 from .oracles import SQL
 
@@ -35,6 +35,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op4_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each line of each document, rendered with its source as a heading and encoded as a whole."""
+    return attribution.attribute(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ["source", "text"], rule="majority")
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left of each document once passages of 35 words that occur twice are removed."""
     return substrings.report(table(spark, sf_dir, "documents"), width=35)
@@ -67,7 +72,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_warc, op5_substrings, op6_pii, op7_language, op8_simhash, op9_sharding, op10_bpe)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_warc, op4_attribution, op5_substrings, op6_pii, op7_language, op8_simhash, op9_sharding, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
