@@ -107,10 +107,13 @@ def settled(h: np.ndarray, c: np.ndarray, t: np.ndarray, pos: np.ndarray) -> pa.
     """Rows to send on: hashes seen at two places of the batch are known repeats, and one row still tells of them."""
     order = np.lexsort((pos, t, c, h))
     h, c, t, pos = h[order], c[order], t[order], pos[order]
-    same = np.concatenate(([False], (h[1:] == h[:-1]) & (c[1:] == c[:-1])))
-    copy = same & np.concatenate(([False], (t[1:] == t[:-1]) & (pos[1:] == pos[:-1])))
-    h, c, t, pos, same = h[~copy], c[~copy], t[~copy], pos[~copy], same[~copy]
-    known = same | np.concatenate((same[1:], [False]))
+    same, copy, known = (np.zeros(len(h), bool) for _ in range(3))
+    same[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
+    copy[1:] = same[1:] & (t[1:] == t[:-1]) & (pos[1:] == pos[:-1])
+    # A copy is the same place again, so it is left out; whether its row repeats the one before it stays true.
+    h, c, t, pos, same, known = (x[~copy] for x in (h, c, t, pos, same, known))
+    known[:] = same
+    known[:-1] |= same[1:]
     head = known & ~same
     spread = np.where(known, t, h)  # known repeats need no meeting, so they are dealt by their texts
     out = [np.concatenate((x, y[head])) for x, y in ((spread, h), (c, c), (t, t), (pos, pos), (known, np.zeros(len(h), bool)))]
