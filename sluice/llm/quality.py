@@ -62,8 +62,9 @@ def base_failed() -> Column:
 
 def vector() -> list[Column]:
     """The transformed statistics, in the order of SPREAD."""
-    n = F.col("n_words")
-    return [F.log(n), F.log(F.col("word_chars") / n), F.log1p(1000 * F.col("n_symbols") / F.col("word_chars")), F.log1p(100 * F.col("n_dup_lines") / F.col("n_lines")), F.log1p(100 * F.col("n_repeat_words") / n)]
+    of = F.try_divide  # null for a text without words, which the base rules fail
+    n, chars = F.col("n_words"), F.col("word_chars")
+    return [F.log(n), F.log(of(chars, n)), F.log1p(1000 * of(F.col("n_symbols"), chars)), F.log1p(100 * of(F.col("n_dup_lines"), F.col("n_lines"))), F.log1p(100 * of(F.col("n_repeat_words"), n))]
 
 
 def levels() -> list[Column]:
