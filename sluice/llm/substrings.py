@@ -197,7 +197,8 @@ def kept_texts(docs: DataFrame, width: int = 35, text_col: str = "text") -> Data
     long_enough = F.octet_length(text_col) >= 2 * width - 1
     texts = docs.select(F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).where(long_enough)
     places = materialize(met(anchors(texts, width)).groupBy("t").agg(F.collect_set("pos").alias("places")))
-    found = materialize(texts.join(places, "t").groupBy("t").agg(F.first("text").alias("text"), F.first("places").alias("places")))
+    # Copies of a text become one in their map tasks, before texts move.
+    found = materialize(texts.groupBy("t").agg(F.first("text").alias("text")).join(places, "t"))
     starts = materialize(met(windows(found, width)).groupBy("t").agg(F.collect_set("pos").alias("starts")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
