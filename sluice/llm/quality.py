@@ -27,6 +27,8 @@ SPREAD = {"length": 0.3, "word": 0.04, "symbols": 0.6, "lines": 0.8, "repeats":
 P = len(SPREAD)
 #: Rows that a group needs for an estimate of its own, and its concentration steps.
 LEAST_GROUP, STEPS = 200, 4
+#: Groups whose estimates, some 250 bytes each, are broadcast; more are joined by shuffles, which split hot groups.
+MOST_BROADCAST = 20_000
 #: Makes the covariance of the inner half of a normal sample of five parts consistent.
 HALF_FACTOR = 1.92
 #: Squared distances: rows within the first reweight the estimate (0.999 of five normal parts), rows beyond the second are rejected.
@@ -106,12 +108,17 @@ def estimates(inner: DataFrame, factor: float) -> DataFrame:
     return materialize(rows.select("group", "mu", F.array(*[F.col(f"w{i}{j}") if j <= i else F.lit(0.0) for i in range(P) for j in range(P)]).alias("w")))
 
 
-def start(rows: DataFrame) -> DataFrame:
+def sized(small: DataFrame, rows: int) -> DataFrame:
+    """A side of a join with its counted rows: broadcast while these are few."""
+    return F.broadcast(small) if rows <= MOST_BROADCAST else small
+
+
+def start(rows: DataFrame, groups: int) -> DataFrame:
     """Medians and median deviations per group, as a first estimate of unrelated parts."""
     parts = rows.select("group", F.posexplode("x").alias("part", "v"))
     middle = lambda b: (b + 0.5) / BINS
     median = half(parts, ["group", "part"], F.col("v"), F.floor(F.col("v") * BINS), middle)
-    off = parts.join(median, ["group", "part"]).select("group", "part", F.floor(F.abs(F.col("v") - F.col("q")) * BINS).alias("bin"))
+    off = parts.join(sized(median, groups), ["group", "part"]).select("group", "part", F.floor(F.abs(F.col("v") - F.col("q")) * BINS).alias("bin"))
     deviation = half(off, ["group", "part"], F.col("bin"), F.col("bin"), middle).withColumnRenamed("q", "mad")
     spread = F.array(*map(F.lit, SPREAD.values()))
     both = median.join(deviation, ["group", "part"]).select("group", "part", "q", (1 / F.sqrt((1.4826 * F.col("mad")) ** 2 + spread[F.col("part")] ** 2)).alias("scale"))
@@ -126,14 +133,16 @@ def fitted(stats: DataFrame) -> DataFrame:
     sizes = rows.groupBy("fine", "lang", "every").count()
     within = F.sum("count").over(Window.partitionBy("lang"))
     chosen = materialize(sizes.select("fine", F.when(F.col("count") >= LEAST_GROUP, F.col("fine")).when(within >= LEAST_GROUP, F.col("lang")).otherwise(F.col("every")).alias("group")))
-    members = rows.select(F.explode(F.array("fine", "lang", "every")).alias("group"), "x").join(chosen.select("group").distinct(), "group", "left_semi")
-    best = start(members)
+    taken = chosen.select("group").distinct()
+    groups = taken.count()
+    members = rows.select(F.explode(F.array("fine", "lang", "every")).alias("group"), "x").join(sized(taken, groups), "group", "left_semi")
+    best = start(members, groups)
     for _ in range(STEPS):
-        near = members.join(best, "group").select("group", "x", distance().alias("d"))
+        near = members.join(sized(best, groups), "group").select("group", "x", distance().alias("d"))
         cut = half(near, ["group"], F.col("d"), F.floor(F.log2(F.col("d") + 2.0**-10) * DISTANCE_BINS), lambda b: F.pow(F.lit(2.0), (b + 1) / DISTANCE_BINS))
-        best = estimates(near.join(cut, "group").where(F.col("d") <= F.col("q")), HALF_FACTOR)
-    best = estimates(members.join(best, "group").where(distance() <= REWEIGHT), 1.0)
-    return chosen.join(best, "group").select("fine", "mu", "w")
+        best = estimates(near.join(sized(cut, groups), "group").where(F.col("d") <= F.col("q")), HALF_FACTOR)
+    best = estimates(members.join(sized(best, groups), "group").where(distance() <= REWEIGHT), 1.0)
+    return sized(chosen.join(best, "group").select("fine", "mu", "w"), chosen.count())
 
 
 def judged(stats: DataFrame) -> DataFrame:
