@@ -246,7 +246,9 @@ def keep_first(docs: DataFrame, width: int = 3, distance: int = 2, doc_col: str
     """
     prints = materialize(fingerprints(docs, width, doc_col, text_col))
     order = F.struct(F.col("rep").isNull(), F.col("rep"), F.col("fp"))
-    kept = materialize(grouped(prints, distance).groupBy("first").agg(F.min(order).alias("o")).select(F.col("o.rep").alias("_keep_id"), F.col("o.fp").alias("_keep_fp")))
+    row_key = lambda fp, doc: F.concat(F.hex(fp), F.when(doc.isNull(), "-").otherwise(F.concat(F.lit("="), doc.cast("string"))))
+    first = grouped(prints, distance).groupBy("first").agg(F.min(order).alias("o"))
+    kept = materialize(first.select(row_key(F.col("o.fp"), F.col("o.rep")).alias("_keep")))
     mark = "_fp" + "_" * max(map(len, docs.columns))  # longer than any column's name, so it clashes with none
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,5 +257,6 @@ def keep_first(docs: DataFrame, width: int = 3, distance: int = 2, doc_col: str
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*batch.schema.names, mark])
 
     marked = docs.mapInArrow(run, schema_with(docs, docs.columns, f"`{mark}` long"))
-    on = marked[doc_col].eqNullSafe(kept["_keep_id"]) & (marked[mark] == kept["_keep_fp"])
-    return marked.join(kept, on, "left_semi").dropDuplicates([doc_col, mark]).select(*[f"`{c}`" for c in docs.columns])
+    # Join and removal of repeated rows use the same key, so one exchange serves both.
+    marked = marked.withColumn(mark, row_key(F.col(mark), F.col(f"`{doc_col}`")))
+    return marked.join(kept, marked[mark] == kept["_keep"], "left_semi").dropDuplicates([mark]).select(*[f"`{c}`" for c in docs.columns])
