@@ -1,0 +1,176 @@
+"""Near-duplicates by similarity of word shingles: MinHash bands find the candidates, the shingles verify them.
+
+Two texts are near-duplicates if the sets of their 5-word shingles have a Jaccard similarity of 0.8 or more. Texts with
+equal sets are one node. The minima of a node make BANDS band keys, so a pair of similarity 0.8 shares a key with
+probability 0.9999. Only nodes that share a key with another are compared: under each key a sketch of MINS minima sorts
+out pairs that are four standard errors below the similarity, and the shingle sets decide the others.
+
+Links are not listed pair by pair: a key yields one edge from each linked node to the first node of its component
+there. A search takes linked nodes out of those still to be compared, so a large group of alike texts costs no square.
+The nodes of one key are compared in one task; those of a large group are spread over its keys.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ._util import as_bytes, materialize, schema_with, small_batches
+from .simhash import components, keep_rows, placed_groups, shingle_hashes
+
+WIDTH, SIMILARITY = 5, 0.8
+#: Minima of a sketch; bands and minima in each.
+MINS, BANDS, BAND = 250, 25, 5
+#: Nodes that are broadcast at most; more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
+#: Shingles that are hashed together, which bounds memory for long texts.
+STEP = 1024
+_RANDOM = np.random.default_rng(42)
+XORS, FACTORS = _RANDOM.integers(0, 1 << 64, MINS, np.uint64), _RANDOM.integers(0, 1 << 64, MINS, np.uint64) | np.uint64(1)
+
+
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, width))
+
+
+def node_of(shingles: np.ndarray) -> int:
+    """One number for a set of shingles; zero without words."""
+    return xxhash.xxh64_intdigest(shingles.tobytes()) if len(shingles) else 0
+
+
+def minima(shingles: np.ndarray, count: int) -> np.ndarray:
+    least = np.full(count, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(shingles), STEP):
+        part = (shingles[at : at + STEP] ^ (shingles[at : at + STEP] >> np.uint64(32)))[:, None]
+        np.minimum(least, ((part ^ XORS[:count]) * FACTORS[:count]).min(0), out=least)
+    return least
+
+
+def band_keys(least: np.ndarray) -> list[int]:
+    return [xxhash.xxh64_intdigest(least[b * BAND : (b + 1) * BAND].tobytes(), b) for b in range(BANDS)]
+
+
+def sketch(least: np.ndarray) -> bytes:
+    """A byte of each minimum."""
+    return (least >> np.uint64(48)).astype(np.uint8).tobytes()
+
+
+def signatures(docs: DataFrame, width: int, doc_col: str, text_col: str) -> DataFrame:
+    """doc_id, its node as a signed long, and the band keys; only those two columns of docs are read."""
+    small_batches(docs.sparkSession)
+    narrow = docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, keys = [], []
+            for text in as_bytes(batch.column(1)):
+                shingles = shingle_set(text, width)
+                nodes.append(node_of(shingles))
+                keys.append(np.array(band_keys(minima(shingles, BANDS * BAND)) if len(shingles) else [], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "keys"])
+
+    return narrow.mapInArrow(run, schema_with(narrow, ["doc_id"], "fp long, keys array<long>"))
+
+
+def marked(docs: DataFrame, print_of: Callable[[bytes | None], int], text_col: str) -> DataFrame:
+    """The node (fp) and the text of each row."""
+    narrow = docs.select(F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([print_of(t) for t in as_bytes(batch.column(0))], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), batch.column(0)], ["fp", "text"])
+
+    return narrow.mapInArrow(run, "fp long, text string")
+
+
+def sets(texts: DataFrame, width: int) -> DataFrame:
+    """The shingles and the sketch of each row (fp, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t, width) for t in as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([sketch(minima(x, MINS)) for x in found], pa.binary())], ["fp", "shingles", "sketch"])
+
+    return texts.mapInArrow(run, "fp long, shingles binary, sketch binary")
+
+
+def linked(sketches: np.ndarray, shingles: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Edges from each linked row to the first of its component."""
+    low = similarity - 4 * (similarity * (1 - similarity) / MINS) ** 0.5
+    rest, a, b = np.arange(len(sketches)), [], []
+    while len(rest) > 1:
+        first, rest = int(rest[0]), rest[1:]
+        queue = [first]
+        while queue and len(rest):
+            v = queue.pop()
+            near = (sketches[rest] == sketches[v]).sum(1) >= MINS * low
+            for k in np.flatnonzero(near).tolist():
+                x, y = shingles[rest[k]], shingles[v]
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                common = int((y[at] == x).sum())
+                near[k] = common >= similarity * (len(x) + len(y) - common) - 1e-9
+            found, rest = rest[near].tolist(), rest[~near]
+            queue += found
+            a += found
+            b += [first] * len(found)
+    return a, b
+
+
+def links(docs: DataFrame, nodes: DataFrame, width: int, similarity: float, text_col: str) -> DataFrame:
+    """Edges that keep the components of the link graph over the nodes (fp, keys) of docs."""
+    filed = nodes.select("fp", F.explode("keys").alias("key"))
+    several = filed.groupBy("key").count().where("count > 1").select("key")
+    filed = materialize(filed.join(several, "key", "left_semi"))
+    wanted = materialize(filed.select("fp").distinct())
+    few = wanted.count() <= MOST_BROADCAST
+    texts = marked(docs, lambda text: node_of(shingle_set(text, width)), text_col).join(F.broadcast(wanted) if few else wanted, "fp", "left_semi")
+    filed = filed.join(materialize(sets(texts.dropDuplicates(["fp"]), width)), "fp")
+
+    def joined(table: pa.Table) -> pa.RecordBatch:
+        key, fp = table.column("key").to_numpy(), table.column("fp").to_numpy()
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(fp), MINS)
+        shingles = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+        a, b = [], []
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            x, y = linked(sketches[start:end], shingles[start:end], similarity)
+            a += [start + k for k in x]
+            b += [start + k for k in y]
+        return pa.RecordBatch.from_arrays([pa.array(fp[a] if a else fp[:0]), pa.array(fp[b] if b else fp[:0])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            key, before = batch.column("key").to_numpy(), held[-1].column("key")[-1].as_py() if held else None
+            # Whole keys leave; the last one may go on in the next batch.
+            end = int(np.searchsorted(key, key[-1]))
+            if end or (before is not None and before != key[0]):
+                yield joined(pa.Table.from_batches([*held, batch.slice(0, end)]))
+                held = []
+            held.append(batch.slice(end))
+        if held:
+            yield joined(pa.Table.from_batches(held))
+
+    small_batches(nodes.sparkSession)
+    edges = filed.select("key", "fp", "shingles", "sketch").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return materialize(edges.distinct())
+
+
+def keep_first(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component: the one with the smallest id; of several equal rows with that id, one.
+
+    Null and wordless texts are copies of each other. Columns pass unchanged, whatever their names.
+    """
+    prints = signatures(docs, width, doc_col, text_col)
+    # Equal nodes have equal keys.
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
+    groups = placed_groups(nodes.select("fp", "rep"), components(links(docs, nodes, width, similarity, text_col)))
+    return keep_rows(docs, groups, lambda text: node_of(shingle_set(text, width)), doc_col, text_col)

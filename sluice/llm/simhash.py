@@ -13,7 +13,7 @@ it there, which keeps every component. Components come from rounds of large and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -221,7 +221,11 @@ def components(edges: DataFrame) -> DataFrame:
 def grouped(prints: DataFrame, distance: int = 2) -> DataFrame:
     """For each distinct fingerprint: its smallest doc_id, its component's first fingerprint and smallest doc_id."""
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    first = components(links(distinct, distance))
+    return placed_groups(distinct, components(links(distinct, distance)))
+
+
+def placed_groups(distinct: DataFrame, first: DataFrame) -> DataFrame:
+    """The rows (fp, rep) with the first node and the smallest rep of their component, first telling the components."""
     placed = materialize(distinct.join(first, "fp", "left").select("fp", "rep", F.coalesce("first", "fp").alias("first")))
     several = placed.join(first.select("first").distinct(), "first", "left_semi")
     least = several.groupBy("first").agg(F.min("rep").alias("least"))
@@ -245,15 +249,20 @@ def keep_first(docs: DataFrame, width: int = 3, distance: int = 2, doc_col: str
     Columns pass unchanged, whatever their names. The text moves once, to meet the list of documents to keep.
     """
     prints = materialize(fingerprints(docs, width, doc_col, text_col))
+    return keep_rows(docs, grouped(prints, distance), lambda text: fingerprint(text, width), doc_col, text_col)
+
+
+def keep_rows(docs: DataFrame, groups: DataFrame, print_of: Callable[[bytes | None], int], doc_col: str, text_col: str) -> DataFrame:
+    """The row of the smallest id of each group (see placed_groups); print_of gives the node of a text."""
     order = F.struct(F.col("rep").isNull(), F.col("rep"), F.col("fp"))
     row_key = lambda fp, doc: F.concat(F.hex(fp), F.when(doc.isNull(), "-").otherwise(F.concat(F.lit("="), doc.cast("string"))))
-    first = grouped(prints, distance).groupBy("first").agg(F.min(order).alias("o"))
+    first = groups.groupBy("first").agg(F.min(order).alias("o"))
     kept = materialize(first.select(row_key(F.col("o.fp"), F.col("o.rep")).alias("_keep")))
     mark = "_fp" + "_" * max(map(len, docs.columns))  # longer than any column's name, so it clashes with none
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, width) for t in as_bytes(batch.column(batch.schema.names.index(text_col)))], np.uint64)
+            found = np.array([print_of(t) for t in as_bytes(batch.column(batch.schema.names.index(text_col)))], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*batch.schema.names, mark])
 
     marked = docs.mapInArrow(run, schema_with(docs, docs.columns, f"`{mark}` long"))

@@ -6,6 +6,7 @@ import hashlib
 import zlib
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +126,44 @@ def test_pipeline_stages(spark, sf_dir):
     five = p.STAGES[4][1](spark, four, sf_dir)
     assert {r.doc_id for r in five.collect()} == {r.doc_id for r in four.collect()}
     assert {(r.doc_id, tuple(r.ids)) for r in p.run(spark, sf_dir).collect()} <= {(r.doc_id, tuple(r.ids)) for r in five.collect()}
+
+
+def test_pipeline_drops_edited_copies(spark, sf_dir):
+    import corpus_pipeline as p
+
+    from .conftest import WORDS
+    from .test_text_operators import words
+
+    rng, rows = np.random.default_rng(4), []
+    for k in range(60):
+        text = [WORDS[j] for j in rng.integers(0, 2000, 200)]
+        rows.append((1000 * k, " ".join(text)))
+        for n in (1, 2, 3, 12):  # edited words; 12 leave a similarity of about 0.5 to 0.6
+            edited = list(text)
+            for at in range(5, 200, 200 // n)[:n] if n < 12 else range(5, 200, 16):
+                edited[at] = "edited"
+            rows.append((1000 * k + n, " ".join(edited)))
+    shingles = lambda t: {tuple(words(t)[k : k + 5]) for k in range(len(words(t)) - 4)}
+    alike = lambda a, b: len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+    assert all(alike(rows[0][1], rows[n][1]) >= 0.85 for n in (1, 2, 3)) and alike(rows[0][1], rows[4][1]) < 0.7
+    kept = {r.doc_id for r in p.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()}
+    assert kept == {1000 * k + n for k in range(60) for n in (0, 12)}
+
+
+def test_pipeline_keeps_one_of_each_group_of_like_shingles(spark, sf_dir):
+    import corpus_pipeline as p
+
+    from .test_text_operators import LOWER, words
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect() if r.text is not None)
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (words(t.translate(LOWER)) for _, t in rows)]
+    of = [*range(len(rows))]
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((of[i], of[j]))
+                of = [a if x == b else x for x in of]
+    kept = p.near_duplicates(spark, docs.where("text is not null"), sf_dir)
+    assert sorted(r.doc_id for r in kept.collect()) == [d for k, (d, _) in enumerate(rows) if of[k] == k]
+    assert kept.columns == docs.columns and p.near_duplicates(spark, docs.limit(0), sf_dir).isEmpty()
