@@ -31,8 +31,9 @@ LEAST_GROUP, STEPS = 200, 4
 MOST_BROADCAST = 20_000
 #: Makes the covariance of the inner half of a normal sample of five parts consistent.
 HALF_FACTOR = 1.92
-#: Squared distances: rows within the first reweight the estimate (0.999 of five normal parts), rows beyond the second are rejected.
-REWEIGHT, REJECT = 20.5, 50.0
+#: Squared distances, both the 0.999 quantile of chi-square with five parts: rows within the first reweight the estimate,
+#: rows beyond the second are rejected. The spreads leave each part able to exceed it by itself.
+REWEIGHT, REJECT = 20.5, 20.5
 #: Histogram bins for a unit of a statistic, and for a doubling of a squared distance.
 BINS, DISTANCE_BINS = 64, 32
 SPACE = "[\\\\x20\\\\x09-\\\\x0D]+"

@@ -111,6 +111,25 @@ def test_quality_rejects_outliers_of_their_group(spark):
     assert all(r.kept == (r.doc_id % 50 != 0) for r in found)
 
 
+def test_quality_rejects_an_outlier_of_each_statistic(spark):
+    rng = np.random.default_rng(5)
+    word = lambda a=2, b=9: "".join(rng.choice([*"abcdefghijklmnopqrst"], rng.integers(a, b)))
+    some = lambda n, *size: [word(*size) for _ in range(n)]
+    good = [" ".join(some(rng.integers(150, 300))) for _ in range(400)]
+    passage = some(40, 5, 9)
+    bad = {
+        "length": " ".join(some(20_000, 5, 9)),
+        "word": " ".join(some(200, 14, 20)),
+        "symbols": " ".join(some(200) + ["####", "%%%%", "$$$$", "&&&&"] * 2 + some(20)),
+        "lines": "\n".join([" ".join(some(150)), *["ab"] * 100]),
+        "repeats": " ".join(some(100) + passage + some(20) + passage + some(20)),
+    }
+    rows = [(k, t, "en", "a") for k, t in enumerate([*good, *bad.values()])]
+    found = {r.doc_id: r for r in quality.report(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {name: (found[400 + k].base_failed, found[400 + k].kept) for k, name in enumerate(bad)} == dict.fromkeys(bad, (False, False))
+    assert sum(found[k].kept for k in range(400)) >= 395
+
+
 def test_estimate_matches_numpy(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 5)) * [1, 2, 3, 4, 5] + [5, 4, 3, 2, 1]
