@@ -1,13 +1,14 @@
 """Information-theoretic sanitisation of personal data.
 
-Personal data found by fixed patterns are protected entities. A term near an entity discloses it as far as knowing the
+Personal data found by fixed patterns are protected entities. A term of a text with an entity discloses it as far as knowing the
 term makes the entity likely: with counts of documents, disclosure = PMI(entity; term) / IC(entity), which is 1 if the
 term occurs with the entity only. Terms of a document that disclose one of its entities are generalised above one
 threshold and removed above a higher one, wherever they stand in that document. Terms need a least number of different
-texts in which they stand near the entity, so a single text proves nothing.
+texts that hold them and the entity, so a single text proves nothing.
 
-Everything is DataFrame expressions over whole texts. Only pairs near an entity are counted, aggregated before each
-shuffle; the corpus counts of terms take one pass. No text without an entity is changed.
+Everything is DataFrame expressions over whole texts, of which equal ones are counted together. The corpus counts of
+terms take one pass. A pair is counted only if its term is rare enough to disclose some entity of the text, which its
+corpus count tells beforehand, so no disclosing pair is lost. No text without an entity is changed.
 
 Defined results: a null text counts as empty and stays null when sanitised; copies of a text have equal spans; rows
 with null or repeated ids stay; an empty table gives an empty result.
@@ -31,8 +32,8 @@ KINDS = {
 #: Kinds of the spans that the method adds, and what stands in the text for each kind.
 ADDED = ("general", "remove")
 STANDS = {**{k: f"[{k.upper()}]" for k in KINDS}, "general": "[TERM]", "remove": ""}
-#: Characters on either side of an entity in which terms count as near it, and texts in which a pair must occur.
-NEAR, LEAST_TEXTS = 120, 3
+#: Different texts in which a pair must occur.
+LEAST_TEXTS = 3
 #: Disclosure above which a term is generalised, and removed.
 GENERALISE, REMOVE = 0.8, 0.95
 #: Terms that are broadcast at most; more are counted without.
@@ -73,39 +74,46 @@ def normal(words: str) -> str:
     return f"filter(transform({words}, w -> lower(regexp_replace(w, '^[^\\\\p{{L}}]+|[^\\\\p{{L}}]+$', ''))), w -> length(w) >= 3 and not w rlike '[0-9@]')"
 
 
-def near_terms(found: DataFrame) -> DataFrame:
-    """Distinct (t, id, entity, term): the whole words within NEAR characters of each entity of the rows."""
-    x = found.select("t", "text", F.length("text").alias("n"), F.explode("base").alias("x"))
-    x = x.select("t", F.concat(F.col("x.k").cast("string"), F.lit(":"), F.col("x.v")).alias("entity"), "n", F.expr(f"substring(text, greatest(x.s - {NEAR}, 0) + 1, least(x.s, {NEAR}))").alias("left"), F.expr(f"substring(text, x.e + 1, {NEAR})").alias("right"), F.col("x.s").alias("s"), F.col("x.e").alias("e"))
-    before = f"if(s > {NEAR}, slice(split(left, '{WORDS_SQL}'), 2, {NEAR}), split(left, '{WORDS_SQL}'))"
-    after = f"if(e + {NEAR} < n, reverse(slice(reverse(split(right, '{WORDS_SQL}')), 2, {NEAR})), split(right, '{WORDS_SQL}'))"
-    return x.select("t", "entity", F.explode(F.expr(f"array_distinct({normal(f'concat({before}, {after})')})")).alias("term"))
+WORDS_SQL = WORDS.replace("\\", "\\\\")
 
 
-WORDS_SQL = WORDS.replace("\\", "\\\\")
+def terms_of(text: str) -> Column:
+    """The distinct terms of a whole text."""
+    return F.expr(f"array_distinct({normal(f'split({text}, {chr(39)}{WORDS_SQL}{chr(39)})')})")
 
 
-def disclosing(docs: DataFrame, near: DataFrame, entities: DataFrame, text_col: str) -> DataFrame:
-    """Pairs (entity, term) whose disclosure exceeds a threshold, with level 4 (generalise) or 5 (remove).
+def disclosing(docs: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
+    """Rows (t, term) of each text's terms that disclose one of its entities, with level 4 (generalise) or 5 (remove).
 
-    near: (t, entity, term) per row of docs; entities: (entity, n_e). Counts are of rows; least support is of texts.
+    texts: the different texts with an entity (t, text, base, copies). Counts are of rows of docs, each row counting
+    once for an entity, a term or a pair; least support is of texts.
     """
-    # Equal texts are counted first, then texts: no pair gathers more than its texts.
-    pairs = near.groupBy("entity", "term", "t").count().groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("count").alias("n_et")).where(F.col("texts") >= LEAST_TEXTS)
-    pairs = materialize(pairs.drop("texts"))
     total = docs.count()
-    terms = pairs.select("term").distinct()
-    words = docs.select(F.explode(F.expr(f"array_distinct({normal(f'split({quoted(text_col)}, {chr(39)}{WORDS_SQL}{chr(39)})')})")).alias("term"))
-    if pairs.isEmpty():
-        return pairs.select("entity", "term", F.lit(0).alias("level"))
+    members = texts.select("t", "copies", F.explode(F.expr("array_distinct(transform(base, x -> concat(string(x.k), ':', x.v)))")).alias("entity"))
+    entities = materialize(members.groupBy("entity").agg(F.sum("copies").alias("n_e")))
+    # Disclosure is at most log(total n / n_t) / log(total / n_e) with n the smaller of n_e and n_t.
+    reach = F.pow("n_e", F.lit(GENERALISE)) * F.lit(float(total)) ** (1 - GENERALISE) * 1.000001
+    members = members.join(entities, "entity").select("t", "copies", F.struct("entity", "n_e", reach.alias("reach")).alias("m"))
+    members = materialize(members.groupBy("t", "copies").agg(F.collect_list("m").alias("members"), F.max("m.reach").alias("reach")))
+    most = members.agg(F.max("reach")).first()[0]
+    if most is None:
+        return texts.select("t", F.lit("").alias("term"), F.lit(0).alias("level"))
+    held = materialize(texts.select("t", F.explode(terms_of("text")).alias("term")))
+    terms = held.select("term").distinct()
+    words = docs.select(F.explode(terms_of(quoted(text_col))).alias("term"))
     if terms.count() <= MOST_BROADCAST:
-        counts = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    else:
-        counts = words.groupBy("term").agg(F.count("*").alias("n_t"))
+        words = words.join(F.broadcast(terms), "term", "left_semi")
+    counts = materialize(words.groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") <= most))
+    rare = held.join(F.broadcast(counts) if counts.count() <= MOST_BROADCAST else counts, "term")
+    found = rare.join(members, "t").where(F.col("n_t") <= F.col("reach"))
+    found = found.select("t", "term", "n_t", "copies", F.explode("members").alias("m")).where(F.col("n_t") <= F.col("m.reach"))
+    found = materialize(found.select("t", "term", "n_t", "copies", "m.entity", "m.n_e"))
+    pairs = found.groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_et")).where(F.col("texts") >= LEAST_TEXTS)
     known = F.log2(F.lit(float(total)) / F.col("n_e"))
     pmi = F.log2(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t")))
-    share = pairs.join(counts, "term").join(entities, "entity").select("entity", "term", F.when(known > 0, pmi / known).alias("disclosure"))
-    return share.where(F.col("disclosure") >= GENERALISE).select("entity", "term", F.when(F.col("disclosure") >= REMOVE, 5).otherwise(4).alias("level"))
+    share = pairs.select("entity", "term", F.when(known > 0, pmi / known).alias("disclosure"))
+    levels = share.where(F.col("disclosure") >= GENERALISE).select("entity", "term", F.when(F.col("disclosure") >= REMOVE, 5).otherwise(4).alias("level"))
+    return found.join(levels, ["entity", "term"]).groupBy("t", "term").agg(F.max("level").alias("level"))
 
 
 def quoted(name: str) -> str:
@@ -116,12 +124,10 @@ def term_spans(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Data
     """Rows (row, t, base) of all docs, row being the original columns, and (t, added): the added spans of each text."""
     text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
     rows = located(docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), text.alias("text"))).withColumn("t", F.xxhash64("text"))
-    found = materialize(rows.where("size(base) > 0").select("t", "text", "base"))
-    near = materialize(near_terms(found))
-    entities = found.select(F.explode(F.expr("array_distinct(transform(base, x -> concat(string(x.k), ':', x.v)))")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    levels = disclosing(docs, near, entities, text_col)
-    marked = near.join(levels, ["entity", "term"]).groupBy("t", "term").agg(F.max("level").alias("level")).groupBy("t").agg(F.collect_list(F.struct("term", "level")).alias("terms"))
-    texts = found.join(materialize(marked), "t").groupBy("t").agg(F.first("text").alias("text"), F.first("base").alias("base"), F.first("terms").alias("terms"))
+    found = rows.where("size(base) > 0").groupBy("t").agg(F.first("text").alias("text"), F.first("base").alias("base"), F.count("*").alias("copies"))
+    found = materialize(found)
+    marked = disclosing(docs, found, text_col).groupBy("t").agg(F.collect_list(F.struct("term", "level")).alias("terms"))
+    texts = found.join(materialize(marked), "t")
     # One pattern per text: its terms as whole words, longer ones first.
     words = "array_join(transform(array_sort(transform(terms, x -> struct(-length(x.term) as n, x.term as w))), x -> concat('\\\\\\\\Q', x.w, '\\\\\\\\E')), '|')"
     texts = texts.withColumn("pattern", F.concat(F.lit("(?iu)(?<!\\p{L})(?:"), F.expr(words.replace("\\\\\\\\", "\\\\")), F.lit(")(?!\\p{L})")))

@@ -245,6 +245,16 @@ def test_terms_that_disclose_an_entity(spark):
     assert "Zebulon" not in new[0] and "[EMAIL]" in new[0] and new[10] == dict(far)[10]
 
 
+def test_far_terms_disclose_an_entity(spark):
+    rest = " ".join(["the plan is to write today and call the corp"] * 40)
+    far = [(k, f"Zebulon says {rest} at zeb@corp.org") for k in range(4)]
+    far = [(k, f"{t} {'again ' * (k + 1)}") for k, t in far]
+    docs = spark.createDataFrame([*far, *((10 + k, f"{rest} again {k}") for k in range(200))], "doc_id long, text string")
+    new = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert all("Zebulon" not in new[k] and "[EMAIL]" in new[k] and rest in new[k] for k, _ in far)
+    assert all(new[10 + k] == f"{rest} again {k}" for k in range(200))
+
+
 def test_sanitised_rows_keep_their_shape(odd):
     new = pii.sanitise(odd)
     assert new.columns == odd.columns and new.count() == odd.count() and new.filter("text is null").count() == 2
