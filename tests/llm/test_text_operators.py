@@ -255,6 +255,11 @@ def test_far_terms_disclose_an_entity(spark):
     assert all(new[10 + k] == f"{rest} again {k}" for k in range(200))
 
 
+def test_repeated_entities_count_once_a_document(spark):
+    docs = spark.createDataFrame([(k, f"common {'zeb@corp.org common ' * 300} {k}") for k in range(3)] + [(10 + k, f"common {k}") for k in range(20)], "doc_id long, text string")
+    assert all("common" in r.text for r in pii.sanitise(docs).collect())  # 3 of 23 documents with the term hold the entity
+
+
 def test_sanitised_rows_keep_their_shape(odd):
     new = pii.sanitise(odd)
     assert new.columns == odd.columns and new.count() == odd.count() and new.filter("text is null").count() == 2
