@@ -3,8 +3,9 @@
 Personal data found by fixed patterns are protected entities. A term of a text with an entity discloses it as far as knowing the
 term makes the entity likely: with counts of documents, disclosure = PMI(entity; term) / IC(entity), which is 1 if the
 term occurs with the entity only. Terms of a document that disclose one of its entities are generalised above one
-threshold and removed above a higher one, wherever they stand in that document. Terms need a least number of different
-texts that hold them and the entity, so a single text proves nothing.
+threshold and removed above a higher one, wherever they stand in that document. The share of
+the term's documents that hold the entity enters by its lower confidence bound (Wilson), so small support lowers the
+disclosure but excludes no pair.
 
 Everything is DataFrame expressions over whole texts, of which equal ones are counted together. The corpus counts of
 terms take one pass. A pair is counted only if its term is rare enough to disclose some entity of the text, which its
@@ -32,8 +33,8 @@ KINDS = {
 #: Kinds of the spans that the method adds, and what stands in the text for each kind.
 ADDED = ("general", "remove")
 STANDS = {**{k: f"[{k.upper()}]" for k in KINDS}, "general": "[TERM]", "remove": ""}
-#: Different texts in which a pair must occur.
-LEAST_TEXTS = 3
+#: Normal quantile (0.8, one-sided) of the lower bound of the share of a term's documents that hold the entity.
+CONFIDENCE = 0.84
 #: Disclosure above which a term is generalised, and removed.
 GENERALISE, REMOVE = 0.8, 0.95
 #: Terms that are broadcast at most; more are counted without.
@@ -70,8 +71,8 @@ def located(rows: DataFrame) -> DataFrame:
 
 
 def normal(words: str) -> str:
-    """SQL for the terms among words: in small letters without what surrounds them, of three characters at least and no digits."""
-    return f"filter(transform({words}, w -> lower(regexp_replace(w, '^[^\\\\p{{L}}]+|[^\\\\p{{L}}]+$', ''))), w -> length(w) >= 3 and not w rlike '[0-9@]')"
+    """SQL for the terms among words: in small letters without what surrounds them, whatever their length, numbers included."""
+    return f"filter(transform({words}, w -> lower(regexp_replace(w, '^[^\\\\p{{L}}\\\\p{{N}}]+|[^\\\\p{{L}}\\\\p{{N}}]+$', ''))), w -> w <> '')"
 
 
 WORDS_SQL = WORDS.replace("\\", "\\\\")
@@ -86,7 +87,7 @@ def disclosing(docs: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
     """Rows (t, term) of each text's terms that disclose one of its entities, with level 4 (generalise) or 5 (remove).
 
     texts: the different texts with an entity (t, text, base, copies). Counts are of rows of docs, each row counting
-    once for an entity, a term or a pair; least support is of texts.
+    once for an entity, a term or a pair.
     """
     total = docs.count()
     members = texts.select("t", "copies", F.explode(F.expr("array_distinct(transform(base, x -> concat(string(x.k), ':', x.v)))")).alias("entity"))
@@ -108,9 +109,11 @@ def disclosing(docs: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
     found = rare.join(members, "t").where(F.col("n_t") <= F.col("reach"))
     found = found.select("t", "term", "n_t", "copies", F.explode("members").alias("m")).where(F.col("n_t") <= F.col("m.reach"))
     found = materialize(found.select("t", "term", "n_t", "copies", "m.entity", "m.n_e"))
-    pairs = found.groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_et")).where(F.col("texts") >= LEAST_TEXTS)
+    pairs = found.groupBy("entity", "term", "n_e", "n_t").agg(F.sum("copies").alias("n_et"))
     known = F.log2(F.lit(float(total)) / F.col("n_e"))
-    pmi = F.log2(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t")))
+    n, part, z = F.col("n_t"), F.col("n_et") / F.col("n_t"), CONFIDENCE
+    low = (part + z * z / (2 * n) - z * F.sqrt(part * (1 - part) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    pmi = F.log2(low * F.lit(float(total)) / F.col("n_e"))
     share = pairs.select("entity", "term", F.when(known > 0, pmi / known).alias("disclosure"))
     levels = share.where(F.col("disclosure") >= GENERALISE).select("entity", "term", F.when(F.col("disclosure") >= REMOVE, 5).otherwise(4).alias("level"))
     return found.join(levels, ["entity", "term"]).groupBy("t", "term").agg(F.max("level").alias("level"))
@@ -130,7 +133,7 @@ def term_spans(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Data
     texts = found.join(materialize(marked), "t")
     # One pattern per text: its terms as whole words, longer ones first.
     words = "array_join(transform(array_sort(transform(terms, x -> struct(-length(x.term) as n, x.term as w))), x -> concat('\\\\\\\\Q', x.w, '\\\\\\\\E')), '|')"
-    texts = texts.withColumn("pattern", F.concat(F.lit("(?iu)(?<!\\p{L})(?:"), F.expr(words.replace("\\\\\\\\", "\\\\")), F.lit(")(?!\\p{L})")))
+    texts = texts.withColumn("pattern", F.concat(F.lit("(?iu)(?<![\\p{L}\\p{N}])(?:"), F.expr(words.replace("\\\\\\\\", "\\\\")), F.lit(")(?![\\p{L}\\p{N}])")))
     texts = texts.withColumn("_p", F.split("text", F.col("pattern"), -1)).withColumn("_f", F.regexp_extract_all("text", F.col("pattern"), F.lit(0)))
     clear = "not exists(base, b -> b.s < x.e and x.s < b.e)"
     level = "coalesce(filter(terms, y -> y.term = lower(x.v))[0].level, 4)"

@@ -260,6 +260,14 @@ def test_repeated_entities_count_once_a_document(spark):
     assert all("common" in r.text for r in pii.sanitise(docs).collect())  # 3 of 23 documents with the term hold the entity
 
 
+def test_rare_terms_disclose_rare_entities(spark):
+    near = [(0, "the customer 77-1204 or Al is at zeb@corp.org today"), (1, "the customer of 2012 is at ann@corp.org today")]
+    docs = spark.createDataFrame([*near, *((10 + k, "the customer or plan is at work today in 2012") for k in range(3000))], "doc_id long, text string")
+    new = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert not {"77-1204", "Al"} & set(new[0].split()) and "[EMAIL]" in new[0] and "customer" in new[0]
+    assert new[1] == "the customer of 2012 is at [EMAIL] today".replace(" of ", new[1][len("the customer") : new[1].index("2012")]) and new[10].endswith("2012")
+
+
 def test_sanitised_rows_keep_their_shape(odd):
     new = pii.sanitise(odd)
     assert new.columns == odd.columns and new.count() == odd.count() and new.filter("text is null").count() == 2
