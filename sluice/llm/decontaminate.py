@@ -211,12 +211,13 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, **columns) -
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-def cut(text: bytes, automaton: SuffixAutomaton, max_coverage: float) -> bytes | None:
-    """The text without its hit spans, until none is left; None if hits cover more than max_coverage of its words."""
+def cut(text: bytes, automata: list[SuffixAutomaton], max_coverage: float) -> bytes | None:
+    """The text without the spans that any automaton hits, until none is left; None if hits cover more than max_coverage of its words."""
     first = True
     while True:
         plain = text.translate(NORMAL)
-        hit, _ = automaton.scan(plain.split())
+        words = plain.split()
+        hit = reduce(np.logical_or, (a.scan(words)[0] for a in automata))
         if not hit.any():
             return text
         if first and hit.mean() > max_coverage:
@@ -236,23 +237,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     """The documents with hit spans cut out of the text; documents that hits cover beyond max_coverage are dropped.
 
     All other columns pass unchanged, whatever their names. Cutting repeats until no window is left. A document
-    without a hit keeps its text to the byte; null texts stay null. One pass and no shuffle for each block of items.
+    without a hit keeps its text to the byte; null texts stay null. One pass and no shuffle: the
+    hits of all blocks of items are united, so the result does not depend on block_words.
     """
     small_batches(docs.sparkSession)
     k = docs.columns.index(text_col)
-    for shared in automata(benchmark, window, block_words):
-
-        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts, keep = [], []
-                for text in as_bytes(batch.column(k)):
-                    done = text if text is None else cut(text, shared.value, max_coverage)
-                    keep.append(text is None or done is not None)
-                    texts.append(None if done is None else done.decode())
-                columns = [*batch.columns]
-                columns[k] = pa.array(texts, batch.schema.field(k).type)
-                yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(keep))
-
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+    shared = automata(benchmark, window, block_words)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [b.value for b in shared]
+        for batch in batches:
+            texts, keep = [], []
+            for text in as_bytes(batch.column(k)):
+                done = text if text is None else cut(text, blocks, max_coverage)
+                keep.append(text is None or done is not None)
+                texts.append(None if done is None else done.decode())
+            columns = [*batch.columns]
+            columns[k] = pa.array(texts, batch.schema.field(k).type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(keep))
+
+    return docs.mapInArrow(clean, docs.schema)
 

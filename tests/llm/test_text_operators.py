@@ -79,6 +79,21 @@ def test_decontaminated_texts_hold_no_window(spark, documents, benchmark, odd):
     assert decontaminate.report(odd, benchmark.limit(0)).filter("contaminated").isEmpty()
 
 
+def test_blocks_of_items_do_not_change_the_cut(spark):
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(12))) for k in range(8)]
+    docs = [(9, "free text")]
+    for a in range(8):
+        for b in range(8):
+            other = [f"x{j}" for j in range(16)]
+            docs.append((100 + 10 * a + b, " ".join([items[a][1], *other[:8], items[b][1], *other[8:]])))  # 24 of 40 words are hit
+            half = items[a][1].split()
+            docs.append((200 + 10 * a + b, " ".join([*half[:6], items[b][1], *half[6:], *(f"y{j}" for j in range(30))])))  # a cut joins another window
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, many = (decontaminate.decontaminate(docs, items, block_words=n) for n in (250_000, 24))
+    assert in_order(map(tuple, one.collect())) == in_order(map(tuple, many.collect()))
+    assert not one.where("doc_id between 100 and 199").count() and decontaminate.report(many, items).filter("contaminated").isEmpty()
+
+
 # 2
 
 
