@@ -89,15 +89,19 @@ class Filters:
 
     def predict(self, text: bytes | None) -> tuple[str, float]:
         """The language of the largest corrected share, and that share against the sum of the best two."""
+        return self.judge(text)[:2]
+
+    def judge(self, text: bytes | None) -> tuple[str, float, float]:
+        """What predict returns, and the largest corrected share itself."""
         if not text or not self.languages or not has_letter(text):
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0
         hits, n = self.counts(text)
         share = np.clip((hits / max(1, n) - self.false) / (1 - self.false), 0, 1)
         best = int(share.argmax())
         if share[best] <= 0:
-            return self.commonest, 0.0
+            return self.commonest, 0.0, 0.0
         second = np.delete(share, best).max(initial=0)
-        return self.languages[best], float(share[best] / (share[best] + second))
+        return self.languages[best], float(share[best] / (share[best] + second)), float(share[best])
 
 
 ASCII_LETTERS = bytes([*range(65, 91), *range(97, 123)])
@@ -153,15 +157,15 @@ def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
     return narrow.mapInArrow(run, schema_with(narrow, ["doc_id"], "lang_pred string, score double"))
 
 
-def keep_identified(docs: DataFrame, filters: Filters, languages: list[str] | None = None, least_score: float = 0.0, text_col: str = "text") -> DataFrame:
-    """The rows whose language is identified with at least this score, and is one of languages if given. Columns pass unchanged."""
+def keep_identified(docs: DataFrame, filters: Filters, languages: list[str] | None = None, least_score: float = 0.0, text_col: str = "text", least_share: float = 0.0) -> DataFrame:
+    """The rows whose language is identified with at least this score and corrected share, and is one of languages if given. Columns pass unchanged."""
     small_batches(docs.sparkSession)
     model, k = shared(docs, filters), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.value.predict(t) for t in as_bytes(batch.column(k))]
-            yield batch.filter(pa.array([x != UNKNOWN and s >= least_score and (not languages or x in languages) for x, s in found]))
+            found = [model.value.judge(t) for t in as_bytes(batch.column(k))]
+            yield batch.filter(pa.array([x != UNKNOWN and s >= least_score and share >= least_share and (not languages or x in languages) for x, s, share in found]))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -306,6 +306,15 @@ def test_language(spark, documents, odd):
     assert {r.lang_pred for r in language.predict(documents, language.learn(documents.limit(0))).collect()} == {language.UNKNOWN}
 
 
+def test_pipeline_drops_texts_of_no_known_language(spark, documents, sf_dir):
+    import corpus_pipeline as p
+
+    strange = ["Съешь же ещё этих мягких французских булок", "これは日本語の文章です", "QWxhZGRpbjpvcGVuIHNlc2FtZQ8f9aKx03jdLLqpwZ", "xqzt vvkk qjxw zzpf wqkj hgfx"]
+    docs = documents.unionByName(spark.createDataFrame([(9001 + k, t, None, None, None) for k, t in enumerate(strange)], documents.schema))
+    kept = {r.doc_id for r in p.language_id(spark, docs, sf_dir).collect()}
+    assert not {9001 + k for k in range(len(strange))} & kept and len(kept) > 0.95 * documents.count()
+
+
 def test_language_is_blind_to_held_out_labels(documents):
     changed = documents.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, "zz").otherwise(F.col("lang")))
     assert in_order(map(tuple, language.report(documents).collect())) == in_order(map(tuple, language.report(changed).collect()))
