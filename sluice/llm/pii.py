@@ -1,35 +1,44 @@
 """Information-theoretic sanitisation of personal data.
 
-Personal data found by fixed patterns are protected entities. A term of a text with an entity discloses it as far as knowing the
-term makes the entity likely: with counts of documents, disclosure = PMI(entity; term) / IC(entity), which is 1 if the
-term occurs with the entity only. Terms of a document that disclose one of its entities are generalised above one
-threshold and removed above a higher one, wherever they stand in that document. The share of
-the term's documents that hold the entity enters by its lower confidence bound (Wilson), so small support lowers the
-disclosure but excludes no pair.
-
-Everything is DataFrame expressions over whole texts, of which equal ones are counted together. The corpus counts of
-terms take one pass. A pair is counted only if its term is rare enough to disclose some entity of the text, which its
-corpus count tells beforehand, so no disclosing pair is lost. No text without an entity is changed.
+Personal data found by fixed patterns are protected entities, each by its value and by its class: the domain of an
+e-mail address, the network of an IP address, the issuer of a card, the prefix of a phone number. A term of a text with an entity
+discloses it as far as knowing the term makes the entity likely: with counts of documents, disclosure =
+PMI(entity; term) / IC(entity), which is 1 if the term occurs with the entity only. Terms of a document that disclose
+one of its entities are generalised above one threshold and removed above a higher one, wherever they stand in that
+document. The share of the term's documents that hold the entity enters by its lower confidence bound (Wilson), so
+small support lowers the disclosure but excludes no pair.
+
+Everything is DataFrame expressions over whole texts, of which equal ones are counted together. Terms are counted over
+all documents by partial aggregation and only then meet the terms of texts with an entity. A pair is counted only if
+its term is rare enough to disclose some entity of the text, which its corpus count tells beforehand, so no disclosing
+pair is lost. No text without an entity is changed. Places in a text are prefix sums over chunks of its matches, so the
+work grows in proportion to its length.
 
 Defined results: a null text counts as empty and stays null when sanitised; copies of a text have equal spans; rows
-with null or repeated ids stay; an empty table gives an empty result.
+with null or repeated ids stay; an empty table gives an empty result. Texts are known by 128 bits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._util import materialize
 
 #: The kinds in order, each with its pattern and a cheaper one that every text with a match has. The
-#: look-behinds and possessive parts keep the matches and make the search linear in the text.
+#: look-behinds and possessive parts keep the matches and make the search linear in the text. Shorter runs of digits
+#: than a card has are no matches from the start.
 KINDS = {
     "email": ("(?:\\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++", "@"),
     "ip": ("(?<![0-9])[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++", "[0-9]\\.[0-9]"),
-    "card": ("[0-9](?:[\\x20-]?[0-9])++", "[0-9]"),
+    "card": ("[0-9](?:[\\x20-]?[0-9]){11,}+", "[0-9](?:[\\x20-]?[0-9]){11}"),
     "phone": ("\\+[0-9][\\x20().0-9-]+[0-9]", "\\+[0-9]"),
 }
+#: What tells the class of a value of each kind: its last or its first characters.
+CLASSES = ("'[^@]+$'", "'^[0-9]+[.][0-9]+'", "'^(?:[^0-9]*[0-9]){6}'", "'^(?:[^0-9]*[0-9]){4}'")
 #: Kinds of the spans that the method adds, and what stands in the text for each kind.
 ADDED = ("general", "remove")
 STANDS = {**{k: f"[{k.upper()}]" for k in KINDS}, "general": "[TERM]", "remove": ""}
@@ -37,50 +46,87 @@ STANDS = {**{k: f"[{k.upper()}]" for k in KINDS}, "general": "[TERM]", "remove":
 CONFIDENCE = 0.84
 #: Disclosure above which a term is generalised, and removed.
 GENERALISE, REMOVE = 0.8, 0.95
-#: Terms that are broadcast at most; more are counted without.
-MOST_BROADCAST = 200_000
-WORDS = "[\\x20\\x09-\\x0D]+"
+#: A term: what stands between blanks, from its first to its last letter or digit. A run of letters and digits.
+TERM = "[\\p{L}\\p{N}](?:[^\\x20\\x09-\\x0D]*[\\p{L}\\p{N}])?"
+RUN = "[\\p{L}\\p{N}]+"
+#: Elements whose prefix sums are made at once; appending to an array copies it, which this bounds.
+CHUNK = 256
+SPAN = "struct<s: int, k: int, e: int, v: string>"
 
 
 def _valid(kind: str) -> str:
-    """SQL condition on v, the match."""
-    digits = "regexp_replace(v, '[^0-9]', '')"
+    """SQL condition on x.v, the match."""
+    digits = "regexp_replace(x.v, '[^0-9]', '')"
     if kind == "ip":
         return "forall(transform(split(x.v, '[.]'), p -> trim(LEADING '0' FROM p)), p -> length(p) < 3 or (length(p) = 3 and p <= '255'))"
     if kind == "card":
-        d = digits.replace("v,", "x.v,")
-        luhn = f"aggregate(transform(split(reverse({d}), ''), (c, i) -> int(c) * (1 + i % 2)), 0, (a, n) -> a + if(n > 9, n - 9, n)) % 10 = 0"
-        return f"if(length({d}) between 12 and 19, {luhn}, false)"
+        luhn = f"aggregate(transform(split(reverse({digits}), ''), (c, i) -> int(c) * (1 + i % 2)), 0, (a, n) -> a + if(n > 9, n - 9, n)) % 10 = 0"
+        return f"if(length({digits}) between 12 and 19, {luhn}, false)"
     if kind == "phone":
-        return f"length({digits.replace('v,', 'x.v,')}) between 9 and 15"
+        return f"length({digits}) between 9 and 15"
     return "true"
 
 
-def spans_of(parts: str, found: str) -> str:
-    """SQL for the places of matches, from the parts between them and the matches themselves."""
-    return f"aggregate({found}, struct(0 as at, 0 as k, cast(array() as array<struct<s: int, e: int, v: string>>) as done), (a, v) -> struct(a.at + length({parts}[a.k]) + length(v) as at, a.k + 1 as k, concat(a.done, array(struct(a.at + length({parts}[a.k]) as s, a.at + length({parts}[a.k]) + length(v) as e, v as v))) as done), a -> a.done)"
+def running(rows: DataFrame, values: str, name: str, fold: Callable[[str, str], str]) -> DataFrame:
+    """Adds name, the running folds of the int array values: within each chunk first, then over the chunks."""
+    chunks = f"transform(sequence(0, greatest(size({values}) - 1, 0) div {CHUNK}), c -> slice({values}, c * {CHUNK} + 1, {CHUNK}))"
+    begin, step = "struct(0 as a, cast(array() as array<int>) as done)", fold("x.a", "v")
+    inner = f"transform({chunks}, part -> aggregate(part, {begin}, (x, v) -> struct({step} as a, concat(x.done, array({step})) as done), x -> x.done))"
+    step = fold("x.a", "if(size(part) = 0, 0, element_at(part, -1))")
+    before = f"aggregate(_inner, {begin}, (x, part) -> struct({step} as a, concat(x.done, array(x.a)) as done), x -> x.done)"
+    whole = f"flatten(zip_with(_inner, _before, (part, a) -> transform(part, v -> {fold('a', 'v')})))"
+    rows = rows.withColumn("_inner", F.expr(inner)).withColumn("_before", F.expr(before))
+    return rows.withColumn(name, F.expr(whole)).drop("_inner", "_before")
+
+
+def matches(rows: DataFrame, text: str, pattern: str, name: str, seen: Column | None = None) -> DataFrame:
+    """Adds name, an array of (s, e, v), start, end and value of each match in code points; null where seen is false."""
+    seen = F.lit(True) if seen is None else seen
+    rows = rows.withColumn("_parts", F.when(seen, F.split(text, pattern, -1))).withColumn("_found", F.when(seen, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
+    # Arrays meet by zip_with: a column named only within a lambda would be computed anew for each element.
+    rows = rows.withColumn("_sizes", F.expr("zip_with(_parts, _found, (p, v) -> length(p) + coalesce(length(v), 0))"))
+    rows = running(rows, "_sizes", "_ends", lambda a, v: f"{a} + {v}")
+    found = F.expr("filter(zip_with(_ends, _found, (e, v) -> struct(e - length(v) as s, e as e, v as v)), x -> x.v is not null)")
+    return rows.withColumn(name, found).drop("_parts", "_found", "_sizes", "_ends")
 
 
 def located(rows: DataFrame) -> DataFrame:
     """Adds base, the valid matches (s, k, e, v) by start and kind, to rows with a column text that is not null."""
     for i, (pattern, hint) in enumerate(KINDS.values()):
-        seen = F.col("text").rlike(hint)
-        rows = rows.withColumn(f"_p{i}", F.when(seen, F.split("text", pattern, -1))).withColumn(f"_f{i}", F.when(seen, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))
-    places = [f"coalesce(transform(filter({spans_of(f'_p{i}', f'_f{i}')}, x -> {_valid(kind)}), x -> struct(x.s as s, {i} as k, x.e as e, x.v as v)), array())" for i, kind in enumerate(KINDS)]
-    return rows.withColumn("base", F.expr(f"array_sort(concat({', '.join(places)}))")).drop(*[f"_{x}{i}" for i in range(len(KINDS)) for x in "pf"])
+        rows = matches(rows, "text", pattern, f"_m{i}", F.col("text").rlike(hint))
+    places = [f"coalesce(transform(filter(_m{i}, x -> {_valid(kind)}), x -> struct(x.s as s, {i} as k, x.e as e, x.v as v)), cast(array() as array<{SPAN}>))" for i, kind in enumerate(KINDS)]
+    return rows.withColumn("base", F.expr(f"array_sort(concat({', '.join(places)}))")).drop(*[f"_m{i}" for i in range(len(KINDS))])
 
 
-def normal(words: str) -> str:
-    """SQL for the terms among words: in small letters without what surrounds them, whatever their length, numbers included."""
-    return f"filter(transform({words}, w -> lower(regexp_replace(w, '^[^\\\\p{{L}}\\\\p{{N}}]+|[^\\\\p{{L}}\\\\p{{N}}]+$', ''))), w -> w <> '')"
+def before(rows: DataFrame, spans: str, name: str) -> DataFrame:
+    """Adds name, for each of the sorted spans the largest end of those ahead of it; one element more, for the end of the text."""
+    rows = running(rows.withColumn("_e", F.expr(f"transform({spans}, x -> x.e)")), "_e", "_upto", lambda a, v: f"greatest({a}, {v})")
+    return rows.withColumn(name, F.expr("concat(array(0), _upto)")).drop("_e", "_upto")
 
 
-WORDS_SQL = WORDS.replace("\\", "\\\\")
+def spliced(rows: DataFrame, text: str, spans: str, stands: str, covered: str, name: str) -> DataFrame:
+    """Adds name, the text with stands (SQL over a span x) for each span, and covered for one that begins within others.
+
+    Pieces are cut from four bytes a character, so that none is searched for from the start of the text; as the only
+    element of an array these bytes are passed on without a copy for each piece.
+    """
+    rows = before(rows, spans, "_at")
+    piece = "substring(decode(concat(X'00000078', substring(w, 4 * {a} + 1, 4 * ({b} - {a}))), 'UTF-32'), 2)"
+    parts = f"transform({spans}, (x, k) -> if(x.s >= _at[k], concat({piece.format(a='_at[k]', b='x.s')}, {stands}), {covered.format(at='_at[k]')}))"
+    tail = piece.format(a="element_at(_at, -1)", b=f"length({text})")
+    whole = f"transform(array(encode({text}, 'UTF-32')), w -> concat(array_join({parts}, ''), {tail}))[0]"
+    return rows.withColumn(name, F.expr(whole)).drop("_at")
 
 
 def terms_of(text: str) -> Column:
-    """The distinct terms of a whole text."""
-    return F.expr(f"array_distinct({normal(f'split({text}, {chr(39)}{WORDS_SQL}{chr(39)})')})")
+    """The distinct terms of a whole text, in small letters, whatever their length, numbers included."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def protected() -> Column:
+    """The entities of base: each value, and its class."""
+    classes = " ".join(f"when x.k = {k} then regexp_extract(lower(x.v), {pattern}, 0)" for k, pattern in enumerate(CLASSES))
+    return F.expr(f"array_distinct(flatten(transform(base, x -> array(concat(x.k, ':', x.v), concat(x.k, '~', case {classes} end)))))")
 
 
 def disclosing(docs: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
@@ -90,7 +136,7 @@ def disclosing(docs: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
     once for an entity, a term or a pair.
     """
     total = docs.count()
-    members = texts.select("t", "copies", F.explode(F.expr("array_distinct(transform(base, x -> concat(string(x.k), ':', x.v)))")).alias("entity"))
+    members = texts.select("t", "copies", F.explode(protected()).alias("entity"))
     entities = materialize(members.groupBy("entity").agg(F.sum("copies").alias("n_e")))
     # Disclosure is at most log(total n / n_t) / log(total / n_e) with n the smaller of n_e and n_t.
     reach = F.pow("n_e", F.lit(GENERALISE)) * F.lit(float(total)) ** (1 - GENERALISE) * 1.000001
@@ -99,13 +145,9 @@ def disclosing(docs: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
     most = members.agg(F.max("reach")).first()[0]
     if most is None:
         return texts.select("t", F.lit("").alias("term"), F.lit(0).alias("level"))
-    held = materialize(texts.select("t", F.explode(terms_of("text")).alias("term")))
-    terms = held.select("term").distinct()
-    words = docs.select(F.explode(terms_of(quoted(text_col))).alias("term"))
-    if terms.count() <= MOST_BROADCAST:
-        words = words.join(F.broadcast(terms), "term", "left_semi")
-    counts = materialize(words.groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") <= most))
-    rare = held.join(F.broadcast(counts) if counts.count() <= MOST_BROADCAST else counts, "term")
+    # Terms are added up where they are read, so the join meets each of them once.
+    counts = docs.select(F.explode(terms_of(quoted(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") <= most)
+    rare = texts.select("t", F.explode(terms_of("text")).alias("term")).join(counts, "term")
     found = rare.join(members, "t").where(F.col("n_t") <= F.col("reach"))
     found = found.select("t", "term", "n_t", "copies", F.explode("members").alias("m")).where(F.col("n_t") <= F.col("m.reach"))
     found = materialize(found.select("t", "term", "n_t", "copies", "m.entity", "m.n_e"))
@@ -123,22 +165,38 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def term_spans(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Rows (row, t, base) of all docs, row being the original columns, and (t, added): the added spans of each text."""
+def added_spans(docs: DataFrame, hit: DataFrame, text_col: str) -> DataFrame:
+    """Rows (t, added) of the texts of hit (t, text, base) that hold disclosing terms, with the spans of these.
+
+    Terms stand between blanks or are runs of letters and digits in what does; they are looked for beside the base
+    spans, and one within another is left out.
+    """
+    texts = materialize(hit.groupBy("t").agg(F.first("text").alias("text"), F.first("base").alias("base"), F.count("*").alias("copies")))
+    marked = materialize(disclosing(docs, texts, text_col))
+    blank = "repeat('\\0', {n})"
+    beside = texts.join(marked.select("t").distinct(), "t", "left_semi")
+    beside = spliced(beside, "text", "base", blank.format(n="x.e - x.s"), blank.format(n="greatest(0, x.e - {at})"), "beside")
+    beside = matches(matches(beside, "beside", TERM, "_terms"), "beside", RUN, "_runs")
+    held = beside.select("t", F.explode(F.expr("concat(_terms, _runs)")).alias("x")).select("t", "x.*", F.lower("x.v").alias("term"))
+    spans = held.join(marked, ["t", "term"]).groupBy("t").agg(F.array_sort(F.collect_list(F.struct("s", (-F.col("e")).alias("last"), F.col("level").alias("k"), "e", "v"))).alias("spans"))
+    spans = before(spans, "spans", "at")
+    return materialize(spans.select("t", F.expr("filter(zip_with(spans, at, (x, a) -> if(x.s >= a, struct(x.s as s, x.k as k, x.e as e, x.v as v), null)), x -> x is not null)").alias("added")))
+
+
+def all_spans(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The rows of docs as a column row: those without personal data, and the others with base and spans (base and added ones by start and kind).
+
+    Rows without personal data take no part in any shuffle.
+    """
     text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
-    rows = located(docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), text.alias("text"))).withColumn("t", F.xxhash64("text"))
-    found = rows.where("size(base) > 0").groupBy("t").agg(F.first("text").alias("text"), F.first("base").alias("base"), F.count("*").alias("copies"))
-    found = materialize(found)
-    marked = disclosing(docs, found, text_col).groupBy("t").agg(F.collect_list(F.struct("term", "level")).alias("terms"))
-    texts = found.join(materialize(marked), "t")
-    # One pattern per text: its terms as whole words, longer ones first.
-    words = "array_join(transform(array_sort(transform(terms, x -> struct(-length(x.term) as n, x.term as w))), x -> concat('\\\\\\\\Q', x.w, '\\\\\\\\E')), '|')"
-    texts = texts.withColumn("pattern", F.concat(F.lit("(?iu)(?<![\\p{L}\\p{N}])(?:"), F.expr(words.replace("\\\\\\\\", "\\\\")), F.lit(")(?![\\p{L}\\p{N}])")))
-    texts = texts.withColumn("_p", F.split("text", F.col("pattern"), -1)).withColumn("_f", F.regexp_extract_all("text", F.col("pattern"), F.lit(0)))
-    clear = "not exists(base, b -> b.s < x.e and x.s < b.e)"
-    level = "coalesce(filter(terms, y -> y.term = lower(x.v))[0].level, 4)"
-    added = F.expr(f"transform(filter({spans_of('_p', '_f')}, x -> {clear}), x -> struct(x.s as s, {level} as k, x.e as e, x.v as v))")
-    return rows.select("row", "t", "base"), materialize(texts.select("t", added.alias("added")))
+    rows = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), text.alias("text"))
+    matched = reduce(Column.__or__, [F.col("text").rlike(hint) & F.col("text").rlike(pattern) for pattern, hint in KINDS.values()])
+    t = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    placed = materialize(located(rows.where(matched)).withColumn("t", t))
+    hit = placed.where("size(base) > 0")
+    found = hit.join(added_spans(docs, hit, text_col), "t", "left")
+    clean = rows.where(~matched).select("row").unionByName(placed.where("size(base) = 0").select("row"))
+    return clean, found.select("row", "base", F.expr("array_sort(concat(base, coalesce(added, array())))").alias("spans"))
 
 
 def written(spans: str) -> Column:
@@ -147,19 +205,13 @@ def written(spans: str) -> Column:
     return F.expr(f"array_join(transform({spans}, x -> concat({names}[x.k], ':', x.s, ':', x.e)), ',')")
 
 
-def all_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """row, base and spans (base and added ones by start and kind) of each row of docs."""
-    rows, added = term_spans(docs, text_col)
-    return rows.join(added, "t", "left").select("row", "base", F.expr("array_sort(concat(base, coalesce(added, array())))").alias("spans"))
-
-
 def report(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts of each base kind, a digest of the base spans and all spans of each document."""
-    narrow = docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows, added = term_spans(narrow)
-    found = rows.select("row.doc_id", "t", "base").join(added, "t", "left")
+    clean, found = all_spans(docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text")))
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
+    found = clean.select("row.doc_id", none.alias("base"), none.alias("spans")).unionByName(found.select("row.doc_id", "base", "spans"))
     counts = [F.expr(f"bigint(size(filter(base, x -> x.k = {i})))").alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("array_sort(concat(base, coalesce(added, array())))").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
 
 
 def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -167,9 +219,8 @@ def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Texts without a span, null ones included, and all other columns stay as they are.
     """
-    stands = "array(" + ", ".join(f"'{v}'" for v in STANDS.values()) + ")"
-    text = f"row.{quoted(text_col)}"
-    spliced = f"aggregate(spans, struct('' as done, 0 as at), (a, x) -> if(x.s >= a.at, struct(concat(a.done, substring({text}, a.at + 1, x.s - a.at), {stands}[x.k]) as done, x.e as at), struct(a.done as done, greatest(a.at, x.e) as at)), a -> concat(a.done, substring({text}, a.at + 1)))"
-    rows = all_spans(docs, text_col)
-    new = F.expr(f"if(size(spans) = 0, {text}, {spliced})")
-    return rows.select(*[new.alias(c) if c == text_col else F.col(f"row.{quoted(c)}") for c in docs.columns])
+    clean, found = all_spans(docs, text_col)
+    stands = "array(" + ", ".join(f"'{v}'" for v in STANDS.values()) + ")[x.k]"
+    found = spliced(found.withColumn("text", F.col(f"row.{quoted(text_col)}")), "text", "spans", stands, "''", "new")
+    found = found.select(*[F.col("new").alias(c) if c == text_col else F.col(f"row.{quoted(c)}") for c in docs.columns])
+    return clean.select(*[F.col(f"row.{quoted(c)}") for c in docs.columns]).unionByName(found)

@@ -1,12 +1,14 @@
 """Decontamination, quality, attribution, substrings, personal data, language, SimHash and BPE against brute force."""
 
 import hashlib
+import math
 import re
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -283,6 +285,65 @@ def test_rare_terms_disclose_rare_entities(spark):
     assert new[1] == "the customer of 2012 is at [EMAIL] today".replace(" of ", new[1][len("the customer") : new[1].index("2012")]) and new[10].endswith("2012")
 
 
+def disclosures(docs: list[tuple[int, str]]) -> dict[int, set[tuple[str, int]]]:
+    """Brute force: the disclosing terms of each document, with their level."""
+    of_class = ("[^@]+$", "^[0-9]+[.][0-9]+", "^(?:[^0-9]*[0-9]){6}", "^(?:[^0-9]*[0-9]){4}")
+    entities, terms = {}, {}
+    for doc, text in docs:
+        found = [(*PATTERNS,).index(x.split(":")[0]) for x in personal(text)]
+        values = [text[int(x.split(":")[1]) : int(x.split(":")[2])] for x in personal(text)]
+        entities[doc] = {("value", k, v) for k, v in zip(found, values, strict=True)} | {("class", k, re.search(of_class[k], v.lower()).group()) for k, v in zip(found, values, strict=True)}
+        terms[doc] = {t.lower() for t in regex.findall(pii.TERM, text)}
+    n_e, n_t = (Counter(x for of in sets.values() for x in of) for sets in (entities, terms))
+    n_et = Counter((e, t) for doc in entities for e in entities[doc] for t in terms[doc])
+    n, z, want = len(docs), pii.CONFIDENCE, {}
+    for doc in entities:
+        for e in entities[doc]:
+            for t in terms[doc]:
+                k, part = n_t[t], n_et[e, t] / n_t[t]
+                low = (part + z * z / (2 * k) - z * math.sqrt(part * (1 - part) / k + z * z / (4 * k * k))) / (1 + z * z / k)
+                share = math.log(low * n / n_e[e]) / math.log(n / n_e[e]) if n_e[e] < n else 0
+                if share >= pii.GENERALISE:
+                    want.setdefault(doc, {})[t] = max(want.get(doc, {}).get(t, 4), 5 if share >= pii.REMOVE else 4)
+    return want
+
+
+def added(text: str, levels: dict[str, int]) -> list[tuple[int, int, str]]:
+    """The spans of the terms, between blanks or as runs, beside the base spans and not within each other."""
+    beside = text
+    for x in personal(text):
+        a, b = map(int, x.split(":")[1:])
+        beside = beside[:a] + "\0" * (b - a) + beside[b:]
+    found = {m.span() for p in (pii.TERM, pii.RUN) for m in regex.finditer(p, beside) if m.group().lower() in levels}
+    kept, end = [], 0
+    for a, b in sorted(found, key=lambda x: (x[0], -x[1])):
+        if a >= end:
+            kept.append((a, b, pii.ADDED[levels[beside[a:b].lower()] - 4]))
+        end = max(end, b)
+    return kept
+
+
+def test_all_added_spans(spark, documents):
+    crafted = [(5000 + k, f"Mr. O'Hara-Lund ({k % 3}) at desk-{k} a{k % 5}@mail{k % 2}.org, or (O'Hara-Lund's) 10.1.2.{k % 4} \U0001f600 +49 30 123456{k % 3}0") for k in range(12)]
+    docs = documents.select("doc_id", "text").where("text is not null").unionByName(spark.createDataFrame(crafted, "doc_id long, text string"))
+    rows = both(docs)
+    levels = disclosures(rows)
+    n = 0
+    spans = {r.doc_id: r.spans for r in pii.report(docs).collect()}
+    for doc, text in rows:
+        got = [x for x in spans[doc].split(",") if x.split(":")[0] in pii.ADDED]
+        want = [f"{kind}:{a}:{b}" for a, b, kind in added(text, levels.get(doc, {}))]
+        assert got == want, doc
+        n += len(got)
+    assert n > 100
+
+
+def test_long_texts_take_linear_work(spark):
+    docs = spark.createDataFrame([(1, "12," * 100_000), (2, "a@b.cc " * 30_000), (3, "1.2.3.4," * 30_000)], "doc_id long, text string")
+    new = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert new[1] == "12," * 100_000 and new[2] == "[EMAIL] " * 30_000 and new[3] == "[IP]," * 30_000
+
+
 def test_sanitised_rows_keep_their_shape(odd):
     new = pii.sanitise(odd)
     assert new.columns == odd.columns and new.count() == odd.count() and new.filter("text is null").count() == 2
