@@ -1,6 +1,6 @@
 """SimHash near-duplicates by a Gray-order hierarchical index.
 
-A fingerprint has a bit set where more than half of the text's 3-word shingle hashes have it. Two different
+A fingerprint has a bit set where more than half of the text's shingle hashes have it. Two different
 fingerprints that differ in at most `distance` bits agree on one of distance + 1 blocks of bits, so each fingerprint
 is filed once per block under a root node, the masked pattern of that block. Below a root the fingerprints are sorted
 by Gray rank; runs of them share masked bit patterns, which form the upper nodes, and a search drops a whole run as
@@ -9,11 +9,23 @@ filing them again on a block of the remaining bits, so no task ever holds more t
 
 Links are not listed pair by pair: a root yields one edge from each linked fingerprint to the smallest one linked to
 it there, which keeps every component. Components come from rounds of large and small stars over tables.
+
+keep_first links texts by the similarity of their shingle sets instead. Texts of similarity 0.8 differ in some 15 % of
+their bits, too many for blocks that must agree. So fingerprints of 128 bits are filed under roots of sampled bits in as
+many tables as a pair of that similarity needs to share a root with probability RECALL; root bits grow with the
+logarithm of the texts, so roots hold few texts of no likeness. The index finds the candidates; of a text with many of
+them only the edges of a minimum spanning forest by differing bits and its nearest are kept. Only edges whose shingle sets
+are similar enough are links.
+
+Defined results: a null or wordless text has fingerprint zero and links like any other, so such texts are copies of each
+other; rows with a null id take part; repeated rows stay in near_duplicates and go in keep_first; an empty table gives an
+empty result; other columns pass unchanged, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +39,17 @@ SEED = 42
 #: Members of a root that one task indexes; larger roots are refined.
 ROOT_MEMBERS = 1 << 15
 FULL = (1 << 64) - 1
+#: 64-bit words of a fingerprint for shingle similarity; the share of pairs just at the similarity that meet under a root,
+#: of more similar ones more; and members of a root on average, as a power of two.
+WORDS, RECALL, ROOM = 2, 0.9, 6
+#: Members of one root that are searched together; a larger root is cut in Gray order, at other places in each table.
+RUN = 2048
+#: Members of a root up to which it is searched together with others.
+JOINT = 256
+#: Near ones of a member under a root up to which all are candidates; candidates of each member beyond, besides a forest.
+ALL, NEAREST = 128, 2
+#: Tables whose edges are verified first; edges of the others within a component known by then need no look.
+FIRST_TABLES = 8
 
 
 def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
@@ -75,26 +98,39 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The labels once those of a and b are made equal, the smaller one standing for both."""
+    while True:
+        la, lb = label[a], label[b]
+        if (la == lb).all():
+            return label
+        least = np.minimum(la, lb)
+        np.minimum.at(label, la, least)
+        np.minimum.at(label, lb, least)
+        while (label[label] != label).any():
+            label = label[label]
+
+
 class GrayIndex:
-    """Fingerprints in Gray order under nodes that hold the bits which all of their members share."""
+    """Fingerprints of one or more 64-bit words in Gray order under nodes that hold the bits which all of their members share."""
 
     FAN = 8
     #: Searches that go down the levels together; a fingerprint has at most 2080 others within two bits.
     STEP = 1024
 
     def __init__(self, members: np.ndarray):
-        self.order = np.argsort(gray_rank(members), kind="stable")
+        self.order = np.lexsort([gray_rank(w) for w in members.T[::-1]])
         self.members = members[self.order]
         #: From the bottom up: the shared bits of each node and the mask that says which they are.
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = [(self.members, np.full(len(members), FULL, np.uint64))]
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = [(self.members, np.full(members.shape, FULL, np.uint64))]
         low = high = self.members
         while len(low) > 1:
             at = np.arange(0, len(low), self.FAN)
             low, high = np.bitwise_and.reduceat(low, at), np.bitwise_or.reduceat(high, at)
             self.levels.append((low, ~(low ^ high)))
 
-    def pairs(self, distance: int, roots: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places in Gray order of all pairs within the distance that agree on the bits of roots, one block of searches at a time."""
+    def pairs(self, distance: int, roots: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places in Gray order, and differing bits, of all pairs within the distance that agree on the bits of roots in their first word."""
         roots = roots[self.order]
         for a in range(0, len(self.members), self.STEP):
             who = np.arange(a, min(a + self.STEP, len(self.members)))
@@ -102,32 +138,67 @@ class GrayIndex:
             for k in range(len(self.levels) - 1, -1, -1):
                 pattern, mask = self.levels[k]
                 differ = (self.members[who] ^ pattern[node]) & mask[node]
-                keep = (np.bitwise_count(differ) <= distance) & (differ & roots[who] == 0)
-                who, node = who[keep], node[keep]
+                bits = np.bitwise_count(differ).sum(1, dtype=np.int64)
+                keep = (bits <= distance) & (differ[:, 0] & roots[who] == 0)
+                who, node, bits = who[keep], node[keep], bits[keep]
                 if k:
                     node = (node[:, None] * self.FAN + np.arange(self.FAN)).ravel()
                     inside = node < len(self.levels[k - 1][0])
                     who, node = np.repeat(who, self.FAN)[inside], node[inside]
-            yield who, node
+            yield who, node, bits
 
     def components(self, distance: int, roots: np.ndarray) -> np.ndarray:
         """For each member, in the order given, the place of the first member of its component."""
         label = np.arange(len(self.members))
-        for a, b in self.pairs(distance, roots):
-            while True:
-                la, lb = label[a], label[b]
-                if (la == lb).all():
-                    break
-                least = np.minimum(la, lb)
-                np.minimum.at(label, la, least)
-                np.minimum.at(label, lb, least)
-                while (label[label] != label).any():
-                    label = label[label]
+        for a, b, _ in self.pairs(distance, roots):
+            label = unite(label, a, b)
         found = np.empty_like(label)
         found[self.order] = self.order[label]
         return found
 
 
+def spanning(members: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which edges, given in order of their length, belong to the minimum spanning forest."""
+    keep, label, left = np.zeros(len(a), bool), np.arange(members), np.arange(len(a))
+    while True:
+        left = left[label[a[left]] != label[b[left]]]
+        if not len(left):
+            return keep
+        # The first edge out of each component, in one order for all, belongs to the forest.
+        best = np.full(members, len(a))
+        np.minimum.at(best, label[a[left]], left)
+        np.minimum.at(best, label[b[left]], left)
+        best = np.unique(best[best < len(a)])
+        keep[best] = True
+        label = unite(label, a[best], b[best])
+
+
+def shortest(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Which edges, given in order of their length, are among the first so many of one of their ends."""
+    node, edge = np.concatenate((a, b)), np.tile(np.arange(len(a)), 2)
+    order = np.lexsort((edge, node))
+    node, edge = node[order], edge[order]
+    first = np.r_[True, node[1:] != node[:-1]] if len(node) else np.zeros(0, bool)
+    rank = np.arange(len(node)) - np.maximum.accumulate(np.where(first, np.arange(len(node)), 0)) if len(node) else node
+    keep = np.zeros(len(a), bool)
+    keep[edge[rank < most]] = True
+    return keep
+
+
+def worth(index: GrayIndex, distance: int, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate edges, as places in the order given: all pairs within the distance of members with at most ALL such
+    partners; of the others a minimum spanning forest and the NEAREST edges of each member."""
+    found = [tuple(x[a < b] for x in (a, b, bits)) for a, b, bits in index.pairs(distance, roots)]
+    a, b, bits = map(np.concatenate, zip(*found, strict=True))
+    order = np.lexsort((b, a, bits))
+    a, b = a[order], b[order]
+    near = np.bincount(np.concatenate((a, b)), minlength=len(index.order))
+    keep = (near[a] <= ALL) & (near[b] <= ALL)
+    large = np.flatnonzero(~keep)
+    keep[large] = spanning(len(index.order), a[large], b[large]) | shortest(a[large], b[large], NEAREST)
+    return index.order[a[keep]], index.order[b[keep]]
+
+
 def refined(filed: DataFrame, distance: int) -> DataFrame:
     """File each fingerprint once for each block of the bits below its root, with that block moved up into the root.
 
@@ -154,7 +225,7 @@ def star_edges(filed: DataFrame, distance: int) -> DataFrame:
         for p in np.unique(path):
             at = np.flatnonzero(path == p)
             roots = ~(np.uint64(FULL) >> bits[at].astype(np.uint64))
-            first = GrayIndex(x[at].view(np.uint64)).components(distance, roots)
+            first = GrayIndex(x[at].view(np.uint64)[:, None]).components(distance, roots)
             linked = np.flatnonzero(first != np.arange(len(at)))
             a.append(fp[at[linked]])
             b.append(fp[at[first[linked]]])
@@ -218,20 +289,6 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("fp"), F.col("b").alias("first")).unionByName(edges.select(F.col("b").alias("fp"), F.col("b").alias("first")).distinct())
 
 
-def grouped(prints: DataFrame, distance: int = 2) -> DataFrame:
-    """For each distinct fingerprint: its smallest doc_id, its component's first fingerprint and smallest doc_id."""
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    return placed_groups(distinct, components(links(distinct, distance)))
-
-
-def placed_groups(distinct: DataFrame, first: DataFrame) -> DataFrame:
-    """The rows (fp, rep) with the first node and the smallest rep of their component, first telling the components."""
-    placed = materialize(distinct.join(first, "fp", "left").select("fp", "rep", F.coalesce("first", "fp").alias("first")))
-    several = placed.join(first.select("first").distinct(), "first", "left_semi")
-    least = several.groupBy("first").agg(F.min("rep").alias("least"))
-    return materialize(placed.join(least, "first", "left").select("fp", "rep", "first", F.coalesce("least", "rep").alias("component_id")))
-
-
 def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's fingerprint, as 16 hex digits, and the smallest doc_id of its component.
 
@@ -239,33 +296,173 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, doc_col:
     smallest id of their component, null where it has none. Repeated rows stay.
     """
     prints = materialize(fingerprints(docs, width, doc_col, text_col))
-    groups = grouped(prints, distance).select("fp", "component_id")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    first = components(links(distinct, distance))
+    placed = materialize(distinct.join(first, "fp", "left").select("fp", "rep", F.coalesce("first", "fp").alias("first")))
+    several = placed.join(first.select("first").distinct(), "first", "left_semi")
+    least = several.groupBy("first").agg(F.min("rep").alias("least"))
+    groups = materialize(placed.join(least, "first", "left").select("fp", F.coalesce("least", "rep").alias("component_id")))
     return prints.join(groups, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, width: int = 3, distance: int = 2, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component: the one with the smallest id; of several equal rows with that id, one.
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, width))
 
-    Columns pass unchanged, whatever their names. The text moves once, to meet the list of documents to keep.
-    """
-    prints = materialize(fingerprints(docs, width, doc_col, text_col))
-    return keep_rows(docs, grouped(prints, distance), lambda text: fingerprint(text, width), doc_col, text_col)
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(text: bytes | None, width: int) -> list[int]:
+    """WORDS words of bits set in over half of the hashes of the distinct shingles, each word from hashes of its own."""
+    hashes = shingle_set(text, width)
+    ones = np.zeros((WORDS, 64), np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        for k in range(WORDS):
+            part = mixed(hashes[at : at + (1 << 16)] + np.uint64(k * 0x9E3779B97F4A7C15 & FULL))
+            ones[k] += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return [sum(1 << b for b in np.flatnonzero(2 * word > len(hashes)).tolist()) for word in ones]
+
+
+def plan(texts: int, similarity: float) -> tuple[int, int, int]:
+    """Root bits, tables and the distance of candidates for so many different fingerprints."""
+    same, n = 1 - math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi, 64 * WORDS  # chance that a bit agrees
+    bits = min(48, max(4, math.ceil(math.log2(texts + 1)) - ROOM))
+    # A pair with k differing bits shares a root whose bits all fall beside these.
+    chance = [math.comb(n, k) * (1 - same) ** k * same ** (n - k) for k in range(n + 1)]
+    meet = [math.comb(n - k, bits) / math.comb(n, bits) for k in range(n + 1)]
+    tables = 1
+    while sum(p * (1 - (1 - m) ** tables) for p, m in zip(chance, meet, strict=True)) < RECALL:
+        tables += 1 + tables // 50
+    return bits, tables, math.ceil(n * (1 - same) + 3 * math.sqrt(n * same * (1 - same)))
 
 
-def keep_rows(docs: DataFrame, groups: DataFrame, print_of: Callable[[bytes | None], int], doc_col: str, text_col: str) -> DataFrame:
-    """The row of the smallest id of each group (see placed_groups); print_of gives the node of a text."""
-    order = F.struct(F.col("rep").isNull(), F.col("rep"), F.col("fp"))
-    row_key = lambda fp, doc: F.concat(F.hex(fp), F.when(doc.isNull(), "-").otherwise(F.concat(F.lit("="), doc.cast("string"))))
-    first = groups.groupBy("first").agg(F.min(order).alias("o"))
-    kept = materialize(first.select(row_key(F.col("o.fp"), F.col("o.rep")).alias("_keep")))
-    mark = "_fp" + "_" * max(map(len, docs.columns))  # longer than any column's name, so it clashes with none
+def filed(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
+    """Each node (node, w0, w1) once per table: its bits in an order of the table's own, the first word as its Gray rank."""
+    orders = [np.random.default_rng((SEED, t)).permutation(64 * WORDS) for t in range(tables)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([print_of(t) for t in as_bytes(batch.column(batch.schema.names.index(text_col)))], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*batch.schema.names, mark])
+            words = np.stack([batch.column(f"w{k}").to_numpy() for k in range(WORDS)], axis=1)
+            each = np.unpackbits(np.ascontiguousarray(words, ">i8").view(np.uint8).reshape(len(batch), -1), axis=1)
+            for t, order in enumerate(orders):
+                x = np.ascontiguousarray(np.packbits(each[:, order], axis=1)).view(">u8").astype(np.uint64)
+                # Signed longs sort like the ranks once their first bit is turned over.
+                rank = (gray_rank(x[:, 0]) ^ np.uint64(1 << 63)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), t, np.int32)), pa.array(rank), pa.array(x[:, 1].view(np.int64)), batch.column("node")], ["t", "rank", "x1", "node"])
+
+    return nodes.select("node", *[f"w{k}" for k in range(WORDS)]).mapInArrow(run, "t int, rank long, x1 long, node long")
+
+
+def candidates(nodes: DataFrame, similarity: float, texts: int) -> DataFrame:
+    """Edges (a, b, t) of the forests of candidates under all roots of all tables."""
+    bits, tables, distance = plan(texts, similarity)
+
+    def joined(table: pa.Table) -> pa.RecordBatch:
+        t, rank, x1, node = (table.column(c).to_numpy() for c in ("t", "rank", "x1", "node"))
+        g = rank.view(np.uint64) ^ np.uint64(1 << 63)
+        x = np.stack((g ^ (g >> np.uint64(1)), x1.view(np.uint64)), axis=1)
+        root = g >> np.uint64(64 - bits)
+        starts = np.flatnonzero(np.r_[True, (root[1:] != root[:-1]) | (t[1:] != t[:-1])])
+        sizes = np.diff(np.r_[starts, len(g)])
+        # Large roots in runs of their own; between them the small ones of a table together.
+        cuts = {0, len(g), *np.flatnonzero(np.diff(t)) + 1}
+        for start, size in zip(starts[sizes > JOINT].tolist(), sizes[sizes > JOINT].tolist(), strict=True):
+            cuts |= {*range(start, start + size, RUN), start + size}
+        cuts = sorted(cuts)
+        a, b, of = [], [], []
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            if high - low < 2:
+                continue
+            i, j = worth(GrayIndex(x[low:high]), distance, np.full(high - low, FULL << (64 - bits) & FULL, np.uint64))
+            a.append(node[low + i])
+            b.append(node[low + j])
+            of.append(np.full(len(i), t[low], np.int32))
+        a, b, of = (np.concatenate(v) if v else np.zeros(0, d) for v, d in ((a, np.int64), (b, np.int64), (of, np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(of)], ["a", "b", "t"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) < ROOT_MEMBERS:
+                continue
+            # Whole roots leave, and whole runs of one that goes on in the next batch.
+            table = pa.Table.from_batches(held).combine_chunks()
+            t, root = table.column("t").to_numpy(), table.column("rank").to_numpy() >> (64 - bits)
+            same = (t == t[-1]) & (root == root[-1])
+            begin = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+            end = begin + (len(same) - begin) // RUN * RUN
+            yield joined(table.slice(0, end))
+            held = table.slice(end).to_batches()
+        if held:
+            yield joined(pa.Table.from_batches(held).combine_chunks())
+
+    small_batches(nodes.sparkSession)
+    return filed(nodes, bits, tables).repartition("t", F.shiftright("rank", 64 - bits)).sortWithinPartitions("t", "rank").mapInArrow(run, "a long, b long, t int")
+
+
+def similar(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges (a, b) whose shingle sets (node, 32 bits for each shingle) have a Jaccard similarity of at least the one given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def similar_components(nodes: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Node (fp) and first node of its component, of the nodes that have links. rows holds the text of each node."""
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t, width) >> np.uint64(32)).astype(np.uint32).tobytes() for t in as_bytes(batch.column(1))], pa.binary())], ["node", "shingles"])
 
-    marked = docs.mapInArrow(run, schema_with(docs, docs.columns, f"`{mark}` long"))
-    # Join and removal of repeated rows use the same key, so one exchange serves both.
-    marked = marked.withColumn(mark, row_key(F.col(mark), F.col(f"`{doc_col}`")))
-    return marked.join(kept, marked[mark] == kept["_keep"], "left_semi").dropDuplicates([mark]).select(*[f"`{c}`" for c in docs.columns])
+    found = materialize(candidates(nodes, similarity, nodes.count()))
+    wanted = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = materialize(rows.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(shingled, "node long, shingles binary"))
+    linked = materialize(similar(found.where(F.col("t") < FIRST_TABLES).select("a", "b").distinct(), sets, similarity))
+    known = components(linked)
+    rest = found.where(F.col("t") >= FIRST_TABLES).select("a", "b").distinct()
+    for side in ("a", "b"):
+        rest = rest.join(known.select(F.col("fp").alias(side), F.col("first").alias(f"in_{side}")), side, "left")
+    rest = rest.where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b")
+    return components(linked.unionByName(similar(rest, sets, similarity)))
+
+
+def keep_first(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component of texts with similar shingle sets: the one with the smallest id.
+
+    Of several rows with that id the first by a digest of all columns stays. Columns pass unchanged, whatever their
+    names. Each text is fingerprinted once and written beside its prints; the rows to drop are matched by a row number.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    mark, k = "_fp" + "_" * max(map(len, docs.columns)), docs.columns.index(text_col)  # longer than any column's name
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([wide_fingerprint(t, width) for t in as_bytes(batch.column(k))], np.uint64).reshape(-1, WORDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found.T)], [*batch.schema.names, *names])
+
+    names = [f"{mark}{j}" for j in range(WORDS)]
+    marked = docs.mapInArrow(run, schema_with(docs, docs.columns, ", ".join(f"`{c}` long" for c in names)))
+    marked = materialize(marked.withColumn(mark, F.monotonically_increasing_id()))
+    tie = F.xxhash64(F.struct(*[f"`{c}`" for c in docs.columns]).cast("string"))
+    doc = F.col(f"`{doc_col}`")
+    narrow = marked.select(F.col(mark).alias("row"), *[F.col(c).alias(f"w{j}") for j, c in enumerate(names)], F.struct(doc.isNull().alias("none"), doc.alias("doc"), tie.alias("tie"), F.col(mark).alias("row")).alias("order"))
+    nodes = materialize(narrow.groupBy(*[f"w{j}" for j in range(WORDS)]).agg(F.min("order").alias("order")).withColumn("node", F.col("order.row")))
+    first = similar_components(nodes, marked.select(F.col(mark).alias("node"), F.col(f"`{text_col}`").alias("text")), width, similarity)
+    placed = nodes.join(first, nodes["node"] == first["fp"], "left").select("order", F.coalesce("first", "node").alias("first"))
+    kept = placed.groupBy("first").agg(F.min("order").alias("order")).select(F.col("order.row").alias("row"))
+    dropped = materialize(marked.select(F.col(mark).alias("row")).join(kept, "row", "left_anti"))
+    return marked.join(dropped, marked[mark] == dropped["row"], "left_anti").select(*[f"`{c}`" for c in docs.columns])
