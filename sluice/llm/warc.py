@@ -32,6 +32,8 @@ from ._util import materialize, schema_with, small_batches
 
 #: Payload bytes of one range of pages, the fewest ranges, and the compressed size at which a file is closed.
 RANGE_BYTES, LEAST_RANGES, FILE_BYTES = 256 << 20, 64, 64 << 20
+#: Tasks that rename or read files at most.
+MOST_TASKS = 10_000
 DATE = "2000-01-01T00:00:00Z"
 NAMES = uuid.UUID("6d1c0f4a-5a0e-4c55-8f0e-0a6b8e1f7a10")
 MANIFEST = "slice int, seq int, temporary string, file string, bytes long, records long, sha256 string"
@@ -43,7 +45,8 @@ def base32_sha1(payload: bytes) -> str:
 
 def record(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
     """One gzip member that holds a WARC record; the same input gives the same bytes."""
-    head = "".join(f"{k}: {v}\r\n" for k, v in [("WARC-Type", kind), *headers, ("WARC-Date", DATE), ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}"), ("Content-Length", str(len(block)))])
+    ends = [("WARC-Date", DATE), ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}"), ("Content-Length", str(len(block)))]
+    head = "".join(f"{k}: {v}\r\n" for k, v in [("WARC-Type", kind), *headers, *ends])
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     return packer.compress(b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n") + packer.flush()
 
@@ -95,6 +98,11 @@ class Roller:
             self.out = None
 
 
+def tasks_for(manifest: DataFrame) -> int:
+    """One task for each file of a manifest, up to a bound beyond which a task takes several."""
+    return max(1, min(manifest.count(), MOST_TASKS))
+
+
 def sliced(rows: DataFrame, keys: list[int]) -> DataFrame:
     """Adds the range of each page_id; the bounds are an array in the closure, one long per range."""
     bounds = np.array([k for k in keys if k < 1 << 63], np.int64)
@@ -129,7 +137,8 @@ def write(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "
     note = notes.schema["note"].dataType
     both = rows.withColumn("note", F.lit(None).cast(note)).unionByName(notes, allowMissingColumns=True)
     both = both.withColumns({"id": F.col("id").cast("string"), "note": F.col("note").cast("struct<first: string>")})
-    dealt = sliced(both, keys).repartition("slice").sortWithinPartitions("slice", "key", "id", "digest", F.col("note").isNull(), "url")
+    # Each range is a task of its own; hashing would put several into one.
+    dealt = sliced(both, keys).repartitionById(ranges, "slice").sortWithinPartitions("slice", "key", "id", "digest", F.col("note").isNull(), "url")
 
     target, folder = fs.FileSystem.from_uri(root)
     target.create_dir(posixpath.join(folder, "_temporary"))
@@ -159,7 +168,8 @@ def write(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "
             yield batch
 
     written = materialize(dealt.mapInArrow(archive, MANIFEST))
-    written.repartition("file").mapInArrow(rename, MANIFEST).write.parquet(f"{root}/manifest")
+    # A count that is given is kept by adaptive execution, so renames are spread too.
+    written.repartition(tasks_for(written)).mapInArrow(rename, MANIFEST).write.parquet(f"{root}/manifest")
     target.delete_dir(posixpath.join(folder, "_temporary"))
     return spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
 
@@ -227,4 +237,4 @@ def read(spark: SparkSession, root: str, with_payload: bool = True) -> DataFrame
                         held, size = [], 0
                 yield pa.RecordBatch.from_pylist(held, schema)
 
-    return manifest.select("file").repartition("file").mapInArrow(run, RECORDS)
+    return manifest.select("file").repartition(tasks_for(manifest)).mapInArrow(run, RECORDS)
