@@ -102,7 +102,7 @@ def test_slots_are_gapless(spark, sf_dir, odd, monkeypatch):
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline as p
 
-    from .test_text_operators import linked, marked, personal, print_of
+    from .test_text_operators import marked, personal, similar_groups
 
     assert [name for name, _ in p.STAGES] == ["language_id", "near_duplicates", "decontamination", "personal_data", "tokens"]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -113,8 +113,8 @@ def test_pipeline_stages(spark, sf_dir):
     assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in one.collect()} >= {9001, 9002, 9003} and one.count() > 0.95 * docs.count() - 3
     two = p.STAGES[1][1](spark, one, sf_dir).cache()
     rows = sorted((r.doc_id, r.text) for r in one.collect())
-    roots = linked([print_of(t) for _, t in rows], 2)
-    assert sorted(r.doc_id for r in two.collect()) == sorted({rows[k][0] for k in roots})
+    of = similar_groups([t for _, t in rows])
+    assert sorted(r.doc_id for r in two.collect()) == [d for k, (d, _) in enumerate(rows) if of[k] == k]
     three = p.STAGES[2][1](spark, two, sf_dir).cache()
     before = {d: hit for d, _, hit, *_ in marked([(r.doc_id, r.text) for r in two.collect()], items)}
     after = {r.doc_id: r.text for r in three.collect()}
@@ -148,22 +148,3 @@ def test_pipeline_drops_edited_copies(spark, sf_dir):
     assert all(alike(rows[0][1], rows[n][1]) >= 0.85 for n in (1, 2, 3)) and alike(rows[0][1], rows[4][1]) < 0.7
     kept = {r.doc_id for r in p.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()}
     assert kept == {1000 * k + n for k in range(60) for n in (0, 12)}
-
-
-def test_pipeline_keeps_one_of_each_group_of_like_shingles(spark, sf_dir):
-    import corpus_pipeline as p
-
-    from .test_text_operators import LOWER, words
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = sorted((r.doc_id, r.text) for r in docs.collect() if r.text is not None)
-    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (words(t.translate(LOWER)) for _, t in rows)]
-    of = [*range(len(rows))]
-    for i in range(len(rows)):
-        for j in range(i):
-            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                a, b = sorted((of[i], of[j]))
-                of = [a if x == b else x for x in of]
-    kept = p.near_duplicates(spark, docs.where("text is not null"), sf_dir)
-    assert sorted(r.doc_id for r in kept.collect()) == [d for k, (d, _) in enumerate(rows) if of[k] == k]
-    assert kept.columns == docs.columns and p.near_duplicates(spark, docs.limit(0), sf_dir).isEmpty()

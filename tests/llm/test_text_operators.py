@@ -147,6 +147,46 @@ def test_quality_rejects_an_outlier_of_each_statistic(spark):
     assert sum(found[k].kept for k in range(400)) >= 395
 
 
+def log_det(x: np.ndarray) -> float:
+    cov = quality.HALF_FACTOR * np.cov(x.T, bias=True) + np.diag([s**2 for s in quality.SPREAD.values()])
+    return float(np.linalg.slogdet(cov)[1])
+
+
+def searched(x: np.ndarray, rng: np.random.Generator, starts: int = 60) -> float:
+    """Smallest log determinant of a half, from random starts with concentration steps until they settle."""
+    best = np.inf
+    for _ in range(starts):
+        half, last = rng.permutation(len(x))[: len(x) // 2], np.inf
+        while (now := log_det(x[half])) < last - 1e-6:
+            last = now
+            cov = quality.HALF_FACTOR * np.cov(x[half].T, bias=True) + np.diag([s**2 for s in quality.SPREAD.values()])
+            off = x - x[half].mean(0)
+            half = np.argsort((off @ np.linalg.inv(cov) * off).sum(1))[: len(x) // 2]
+        best = min(best, last)
+    return best
+
+
+def test_smallest_determinant_of_contaminated_groups(spark):
+    rng, groups = np.random.default_rng(8), {}
+    for k in range(6):
+        mixing = rng.normal(size=(5, 5))
+        bulk = rng.normal(size=(400, 5)) @ mixing
+        away = rng.normal(size=(40 * k, 5)) * 0.3 + rng.normal(size=5) * 8  # up to a third of a group in one place
+        groups[f"g{k}"] = np.vstack((bulk, away)) if k else bulk
+    rows = spark.createDataFrame([(g, [float(v) for v in x]) for g, at in groups.items() for x in at], "group string, x array<double>")
+    found = {r.group: r for r in quality.searched(quality.materialize(rows), len(groups)).collect()}
+    for g, x in groups.items():
+        assert found[g].log_det <= searched(x, rng) + 0.15, g  # halves are taken by bins of distance
+        assert np.abs(np.array(found[g].mu) - x[:400].mean(0)).max() < 1.0, g
+
+
+def test_quality_levels(spark):
+    rows = [(k, "alpha beta gamma delta epsilon zeta eta theta iota " * 3 + " ".join(f"w{k}x{j}" for j in range(60 + k % 30)), "en", "big" if k < 30 else f"small{k % 4}") for k in range(45)]
+    rows += [(100, rows[0][1], "xx", "lone")]
+    found = {r.doc_id: r.level for r in quality.report(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert found[0] == "source" and found[44] == "language" and found[100] == "all"
+
+
 def test_estimate_matches_numpy(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 5)) * [1, 2, 3, 4, 5] + [5, 4, 3, 2, 1]
@@ -367,6 +407,48 @@ def test_language(spark, documents, odd):
     assert {r.lang_pred for r in language.predict(documents, language.learn(documents.limit(0))).collect()} == {language.UNKNOWN}
 
 
+def gram_set(text: str) -> set[bytes]:
+    plain = re.sub(rb" +", b" ", b" " + re.sub(rb"[^a-z\x80-\xff]", b" ", text.translate(LOWER).encode()) + b" ")
+    return {plain[k : k + 4] for k in range(len(plain) - 3)}
+
+
+def test_filters_hold_every_gram_of_every_language(spark, documents):
+    some = documents.where("lang is not null and text is not null").limit(150)
+    filters = language.learn(some)
+    held = {}
+    for r in some.collect():
+        held.setdefault(r.lang, set()).update(gram_set(r.text))
+    assert filters.languages == sorted(held)
+    every = sorted(set().union(*held.values()))
+    mask = filters.masks(np.array([int.from_bytes(g) for g in every], np.uint32))
+    lacking = hits = 0
+    for i, name in enumerate(filters.languages):
+        found = mask[i // 8] >> (i % 8) & 1
+        want = np.array([g in held[name] for g in every])
+        assert (found[want] == 1).all()
+        lacking, hits = lacking + int((~want).sum()), hits + int(found[~want].sum())
+    assert hits <= 0.02 * lacking
+
+
+def test_corrected_shares_match_exact_counts(spark, documents):
+    filters = language.learn(documents)
+    held = {}
+    for r in documents.where("lang is not null and text is not null").collect():
+        held.setdefault(r.lang, set()).update(gram_set(r.text))
+    text = next(r.text for r in documents.where("length(text) > 3000").collect()) + " zq xqj wvk jjq" * 20
+    plain = re.sub(rb" +", b" ", b" " + re.sub(rb"[^a-z\x80-\xff]", b" ", text.translate(LOWER).encode()) + b" ")
+    each = [plain[k : k + 4] for k in range(len(plain) - 3)]
+    for name, share in zip(filters.languages, filters.shares(text.encode()), strict=True):
+        assert abs(share - sum(g in held[name] for g in each) / len(each)) < 0.02
+
+
+def test_pieces_of_a_text_hold_each_gram_once(monkeypatch):
+    text = "das ist ein ümlaut, and some more wörds".encode() * 40
+    whole = np.concatenate([*language.grams(text)])
+    monkeypatch.setattr(language, "STEP", 7)
+    assert (np.concatenate([*language.grams(text)]) == whole).all() and len(whole) == len(language.folded(text)) - 3
+
+
 def test_pipeline_drops_texts_of_no_known_language(spark, documents, sf_dir):
     import corpus_pipeline as p
 
@@ -437,16 +519,70 @@ def test_dense_fingerprints_keep_every_link(spark, monkeypatch, limit):
     assert {frozenset(g) for g in groups.values()} == {frozenset(g) for g in got.values()}
 
 
-def test_one_of_each_group_stays(documents, odd):
-    kept = simhash.keep_first(documents)
-    groups = simhash.near_duplicates(documents)
+def similar_groups(texts: list[str | None], width=5, similarity=0.8) -> list[int]:
+    """Brute force: for each text the first text of its component by similarity of shingle sets."""
+    sets = []
+    for t in texts:
+        w = words((t or "").translate(LOWER))
+        sets.append({tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set())
+    of = [*range(len(texts))]
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                low, high = sorted((of[i], of[j]))
+                of = [low if x == high else x for x in of]
+    return of
+
+
+def test_one_of_each_group_stays(spark, documents, odd):
+    rows = sorted((r.doc_id, r.text) for r in documents.where("text is not null").collect())
+    of = similar_groups([t for _, t in rows])
+    kept = simhash.keep_first(documents.where("text is not null"))
     assert kept.columns == documents.columns
-    assert {r.doc_id for r in kept.collect()} == {r.component_id for r in groups.collect()}
+    assert sorted(r.doc_id for r in kept.collect()) == [d for k, (d, _) in enumerate(rows) if of[k] == k]
     some = simhash.keep_first(odd)
-    assert some.columns == odd.columns and some.count() == len({simhash_root for simhash_root in linked([print_of(t) for _, t in both(odd)], 2)})
+    assert some.columns == odd.columns and some.count() == len(set(similar_groups([t for _, t in both(odd)])))
     assert simhash.near_duplicates(odd.limit(0)).isEmpty() and simhash.keep_first(odd.limit(0)).isEmpty()
 
 
+def test_choice_of_a_row_does_not_follow_the_input(spark):
+    rows = [(1, "a text", "x"), (1, "a text", "y"), (1, "a text", None), (2, "a text", "w"), (None, "other", "v"), (None, "other", "u")]
+    first, second = (spark.createDataFrame(r, "doc_id long, text string, tag string").repartition(n) for r, n in ((rows, 1), (rows[::-1], 3)))
+    assert in_order(map(tuple, simhash.keep_first(first).collect())) == in_order(map(tuple, simhash.keep_first(second).collect()))
+
+
+@pytest.mark.parametrize("run", [2048, 8])
+def test_large_groups_of_near_copies(spark, monkeypatch, run):
+    monkeypatch.setattr(simhash, "RUN", run)
+    rng, texts = np.random.default_rng(5), []
+    for _ in range(3):
+        base = rng.integers(0, 500, 150)
+        for _ in range(120):
+            edited = base.copy()
+            edited[rng.integers(0, 150, 2)] = rng.integers(0, 500, 2)
+            texts.append(" ".join(f"w{x}" for x in edited))
+    texts += [" ".join(f"w{x}" for x in rng.integers(0, 500, 150)) for _ in range(150)]
+    of = similar_groups(texts)
+    kept = simhash.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(of)) and len(set(of)) == 153
+
+
+@pytest.mark.parametrize("texts", [1_000, 1_000_000])
+def test_recall_at_the_similarity(texts):
+    """Pairs just above the limit share a root and are near enough about as often as RECALL says, whatever the number of texts."""
+    rng, found = np.random.default_rng(6), 0
+    bits, tables, distance = simhash.plan(texts, 0.8)
+    orders = [np.random.default_rng((simhash.SEED, t)).permutation(64 * simhash.WORDS)[:bits] for t in range(tables)]
+    for _ in range(300):
+        base = [f"v{x}" for x in rng.integers(0, 1 << 30, 300)]
+        other = list(base)
+        for at in rng.choice(60, 6, replace=False):
+            other[5 * at + 2] = "new"  # 30 of 296 shingles: a similarity of 0.82
+        a, b = (np.unpackbits(np.array([int(x) for x in simhash.wide_fingerprint(" ".join(t).encode(), 5)], ">u8").view(np.uint8)) for t in (base, other))
+        found += (a != b).sum() <= distance and any((a[o] == b[o]).all() for o in orders)
+    assert found >= 270
+
+
 # 10
 
 
