@@ -22,10 +22,12 @@ def small_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, the one that driver and executors share.
 
-    Only where the session names none, as in tests on one machine, a temporary folder is taken and set.
+    Only where the session names none and all is one machine, as in tests, a temporary folder is taken and set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="sluice-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"

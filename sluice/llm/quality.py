@@ -34,8 +34,9 @@ SPREAD = {"length": 0.3, "word": 0.04, "symbols": 0.6, "lines": 0.8, "repeats":
 P = len(SPREAD)
 #: Rows that a group needs for an estimate of its own: five for each part of the vector.
 LEAST_GROUP = 5 * P
-#: Concentration steps from every start; fall of the log determinant below which a group has settled.
-FIRST_STEPS, SETTLED = 2, 1e-3
+#: Concentration steps from every start, and of each round after; fall of the log determinant in a round below which a
+#: group has settled.
+STEPS, SETTLED = 2, 1e-3
 #: Groups whose estimates, some 250 bytes each, are broadcast; more are joined by shuffles, which split hot groups.
 MOST_BROADCAST = 20_000
 #: Makes the covariance of the inner half of a normal sample of five parts consistent.
@@ -180,15 +181,18 @@ def smallest(found: DataFrame) -> DataFrame:
     return best.select("group", "b.start", "b.mu", "b.w", "b.log_det")
 
 
+def stepped(members: DataFrame, best: DataFrame, rows: int) -> DataFrame:
+    """STEPS concentration steps in one job."""
+    for _ in range(STEPS):
+        best = concentrated(members, best, rows)
+    return best
+
+
 def searched(members: DataFrame, groups: int) -> DataFrame:
     """The estimate of the smallest determinant found for each group of members (group, x): group, mu, w, log_det."""
-    best = starts(members, groups)
-    for k in range(FIRST_STEPS):
-        best = concentrated(members, best, 4 * groups)
-        best = materialize(smallest(best) if k == FIRST_STEPS - 1 else best)
-    best = best.withColumn("active", F.lit(True))
+    best = materialize(smallest(stepped(members, starts(members, groups), 4 * groups)).withColumn("active", F.lit(True)))
     while not (active := best.where("active")).isEmpty():
-        new = concentrated(members, active.select("group", "start", "mu", "w"), groups).select("group", *[F.col(c).alias(f"new_{c}") for c in ("mu", "w", "log_det")])
+        new = stepped(members, active.select("group", "start", "mu", "w"), groups).select("group", *[F.col(c).alias(f"new_{c}") for c in ("mu", "w", "log_det")])
         falls = F.coalesce(F.col("new_log_det") < F.col("log_det") - SETTLED, F.lit(False))
         taken = [F.when(falls, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in ("mu", "w", "log_det")]
         best = materialize(best.join(sized(new, groups), "group", "left").select("group", "start", *taken, falls.alias("active")))

@@ -132,10 +132,11 @@ def groups_of(rows: DataFrame) -> DataFrame:
 
 
 def assign(docs: DataFrame, shards: int = 24, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's shard and a gapless slot in it, ordered by text hash and doc_id.
+    """Each row's shard and a gapless slot in it, ordered by text hash and doc_id within a cell of hashes.
 
     Only narrow rows move, never texts. Rows are numbered within cells; cells with many rows, such as those of a hot
-    text, are split by doc_id, so no task numbers a whole shard or group.
+    text, are split by a hash of doc_id, so no task numbers a whole shard or group; there slots go by that hash first.
+    Rows equal in text and doc_id are numbered in one task.
     """
     rows = materialize(keyed(docs, doc_col, text_col))
     _, keys = plan(materialize(groups_of(rows)), shards)

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._util import LOWER, as_bytes, materialize, schema_with, small_batches
@@ -48,8 +48,10 @@ RUN = 2048
 JOINT = 256
 #: Near ones of a member under a root up to which all are candidates; candidates of each member beyond, besides a forest.
 ALL, NEAREST = 128, 2
-#: Tables whose edges are verified first; edges of the others within a component known by then need no look.
-FIRST_TABLES = 8
+#: Nearest candidates of each text that are verified first; others within a component known by then need no look.
+FIRST = 3
+#: Rows that are broadcast at most, of 16 bytes each; more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 
 
 def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
@@ -185,18 +187,18 @@ def shortest(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     return keep
 
 
-def worth(index: GrayIndex, distance: int, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate edges, as places in the order given: all pairs within the distance of members with at most ALL such
+def worth(index: GrayIndex, distance: int, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate edges and their differing bits, the edges as places in the order given: all pairs within the distance of members with at most ALL such
     partners; of the others a minimum spanning forest and the NEAREST edges of each member."""
     found = [tuple(x[a < b] for x in (a, b, bits)) for a, b, bits in index.pairs(distance, roots)]
     a, b, bits = map(np.concatenate, zip(*found, strict=True))
     order = np.lexsort((b, a, bits))
-    a, b = a[order], b[order]
+    a, b, bits = a[order], b[order], bits[order]
     near = np.bincount(np.concatenate((a, b)), minlength=len(index.order))
     keep = (near[a] <= ALL) & (near[b] <= ALL)
     large = np.flatnonzero(~keep)
     keep[large] = spanning(len(index.order), a[large], b[large]) | shortest(a[large], b[large], NEAREST)
-    return index.order[a[keep]], index.order[b[keep]]
+    return index.order[a[keep]], index.order[b[keep]], bits[keep]
 
 
 def refined(filed: DataFrame, distance: int) -> DataFrame:
@@ -357,7 +359,7 @@ def filed(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
 
 
 def candidates(nodes: DataFrame, similarity: float, texts: int) -> DataFrame:
-    """Edges (a, b, t) of the forests of candidates under all roots of all tables."""
+    """Edges (a, b, bits) of candidates under all roots of all tables, with their differing bits."""
     bits, tables, distance = plan(texts, similarity)
 
     def joined(table: pa.Table) -> pa.RecordBatch:
@@ -376,12 +378,12 @@ def candidates(nodes: DataFrame, similarity: float, texts: int) -> DataFrame:
         for low, high in zip(cuts, cuts[1:], strict=False):
             if high - low < 2:
                 continue
-            i, j = worth(GrayIndex(x[low:high]), distance, np.full(high - low, FULL << (64 - bits) & FULL, np.uint64))
+            i, j, bit = worth(GrayIndex(x[low:high]), distance, np.full(high - low, FULL << (64 - bits) & FULL, np.uint64))
             a.append(node[low + i])
             b.append(node[low + j])
-            of.append(np.full(len(i), t[low], np.int32))
+            of.append(bit.astype(np.int32))
         a, b, of = (np.concatenate(v) if v else np.zeros(0, d) for v, d in ((a, np.int64), (b, np.int64), (of, np.int32)))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(of)], ["a", "b", "t"])
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(of)], ["a", "b", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -401,7 +403,7 @@ def candidates(nodes: DataFrame, similarity: float, texts: int) -> DataFrame:
             yield joined(pa.Table.from_batches(held).combine_chunks())
 
     small_batches(nodes.sparkSession)
-    return filed(nodes, bits, tables).repartition("t", F.shiftright("rank", 64 - bits)).sortWithinPartitions("t", "rank").mapInArrow(run, "a long, b long, t int")
+    return filed(nodes, bits, tables).repartition("t", F.shiftright("rank", 64 - bits)).sortWithinPartitions("t", "rank").mapInArrow(run, "a long, b long, bits int")
 
 
 def similar(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -420,49 +422,80 @@ def similar(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def similar_components(nodes: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Node (fp) and first node of its component, of the nodes that have links. rows holds the text of each node."""
+def few(small: DataFrame) -> DataFrame:
+    """A narrow side of a join, counted: broadcast while it has few rows."""
+    return F.broadcast(small) if small.count() <= MOST_BROADCAST else small
+
+
+def similar_components(nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Node (fp) and first node of its component, of the nodes that have links. texts: key (k0, k1) and text of all rows.
+
+    Each text's nearest candidates are verified first. What these leave in different components is verified next.
+    """
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t, width) >> np.uint64(32)).astype(np.uint32).tobytes() for t in as_bytes(batch.column(1))], pa.binary())], ["node", "shingles"])
-
-    found = materialize(candidates(nodes, similarity, nodes.count()))
-    wanted = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = materialize(rows.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(shingled, "node long, shingles binary"))
-    linked = materialize(similar(found.where(F.col("t") < FIRST_TABLES).select("a", "b").distinct(), sets, similarity))
+            sets = [np.unique(shingle_hashes(t, width) >> np.uint64(32)).astype(np.uint32).tobytes() for t in as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    found = materialize(candidates(nodes, similarity, nodes.count()).distinct())
+    ends = found.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "bits", "a", "b"), F.struct(F.col("b").alias("node"), "bits", "a", "b"))).alias("e")).select("e.*")
+    # A text has a bounded number of candidates in each table.
+    nearest = ends.groupBy("node").agg(F.slice(F.array_sort(F.collect_set(F.struct("bits", "a", "b"))), 1, FIRST).alias("edges"))
+    first = materialize(nearest.select(F.explode("edges").alias("e")).select("e.a", "e.b").distinct())
+    wanted = materialize(nodes.join(ends.select("node").distinct(), "node", "left_semi").select("node", "k0", "k1"))
+    held = texts.join(few(wanted), ["k0", "k1"]).dropDuplicates(["node"])
+    sets = materialize(held.select("node", "text").mapInArrow(shingled, "node long, shingles binary"))
+    linked = materialize(similar(first, sets, similarity))
     known = components(linked)
-    rest = found.where(F.col("t") >= FIRST_TABLES).select("a", "b").distinct()
+    rest = found.select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     for side in ("a", "b"):
         rest = rest.join(known.select(F.col("fp").alias(side), F.col("first").alias(f"in_{side}")), side, "left")
-    rest = rest.where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b")
-    return components(linked.unionByName(similar(rest, sets, similarity)))
+    rest = materialize(rest.where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b"))
+    more = materialize(similar(rest, sets, similarity))
+    return known if more.isEmpty() else components(linked.unionByName(more))
+
+
+def row_keys(docs: DataFrame) -> list[Column]:
+    """128 bits of a row's values and of which are null; rows with equal keys are equal in all columns."""
+    parts = []
+    for f in docs.schema:
+        c = F.col(f"`{f.name}`")
+        # Maps have no hash of their own.
+        parts += [F.to_json(F.struct(c)) if "map<" in f.dataType.simpleString() else c, c.isNull()]
+    return [F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts)]
 
 
 def keep_first(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component of texts with similar shingle sets: the one with the smallest id.
 
-    Of several rows with that id the first by a digest of all columns stays. Columns pass unchanged, whatever their
-    names. Each text is fingerprinted once and written beside its prints; the rows to drop are matched by a row number.
+    Of several rows with that id the first by a digest of all columns stays, and one of equal rows. Columns pass
+    unchanged, whatever their names. Each text is fingerprinted once; texts are neither stored nor moved, but for those
+    that have candidates and rows that occur several times.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    mark, k = "_fp" + "_" * max(map(len, docs.columns)), docs.columns.index(text_col)  # longer than any column's name
+    small_batches(docs.sparkSession)
+    k0, k1 = row_keys(docs)
+    doc, text = F.col(f"`{doc_col}`"), F.col(f"`{text_col}`")
+    narrow = docs.select(doc.alias("doc"), k0.alias("k0"), k1.alias("k1"), text.alias("text"))
+    names = [f"w{j}" for j in range(WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([wide_fingerprint(t, width) for t in as_bytes(batch.column(k))], np.uint64).reshape(-1, WORDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found.T)], [*batch.schema.names, *names])
-
-    names = [f"{mark}{j}" for j in range(WORDS)]
-    marked = docs.mapInArrow(run, schema_with(docs, docs.columns, ", ".join(f"`{c}` long" for c in names)))
-    marked = materialize(marked.withColumn(mark, F.monotonically_increasing_id()))
-    tie = F.xxhash64(F.struct(*[f"`{c}`" for c in docs.columns]).cast("string"))
-    doc = F.col(f"`{doc_col}`")
-    narrow = marked.select(F.col(mark).alias("row"), *[F.col(c).alias(f"w{j}") for j, c in enumerate(names)], F.struct(doc.isNull().alias("none"), doc.alias("doc"), tie.alias("tie"), F.col(mark).alias("row")).alias("order"))
-    nodes = materialize(narrow.groupBy(*[f"w{j}" for j in range(WORDS)]).agg(F.min("order").alias("order")).withColumn("node", F.col("order.row")))
-    first = similar_components(nodes, marked.select(F.col(mark).alias("node"), F.col(f"`{text_col}`").alias("text")), width, similarity)
+            found = np.array([wide_fingerprint(t, width) for t in as_bytes(batch.column(3))], np.uint64).reshape(-1, WORDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, found.T)], ["doc", "k0", "k1", *names])
+
+    prints = materialize(narrow.mapInArrow(run, schema_with(narrow, ["doc", "k0", "k1"], ", ".join(f"{c} long" for c in names))))
+    order = F.struct(F.col("doc").isNull().alias("none"), "doc", "k0", "k1")
+    nodes = prints.groupBy(*names).agg(F.min(order).alias("order")).select(F.monotonically_increasing_id().alias("node"), *names, "order", "order.k0", "order.k1")
+    nodes = materialize(nodes)
+    first = similar_components(nodes, narrow.select("k0", "k1", "text"), width, similarity)
     placed = nodes.join(first, nodes["node"] == first["fp"], "left").select("order", F.coalesce("first", "node").alias("first"))
-    kept = placed.groupBy("first").agg(F.min("order").alias("order")).select(F.col("order.row").alias("row"))
-    dropped = materialize(marked.select(F.col(mark).alias("row")).join(kept, "row", "left_anti"))
-    return marked.join(dropped, marked[mark] == dropped["row"], "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    kept = placed.groupBy("first").agg(F.min("order").alias("order")).select("order.k0", "order.k1", F.lit(True).alias("kept"))
+    rows = prints.groupBy("k0", "k1").agg(F.count("*").alias("n")).join(kept, ["k0", "k1"], "left")
+    mark = "_k" + "_" * max(map(len, docs.columns))  # longer than any column's name, so it clashes with none
+    # Rows that go, and those of which one stays; all others stay as they are.
+    gone = materialize(rows.where("kept is null or n > 1").select(F.col("k0").alias(mark + "0"), F.col("k1").alias(mark + "1"), "kept"))
+    keyed, on = docs.withColumns({mark + "0": k0, mark + "1": k1}), [mark + "0", mark + "1"]
+    single = keyed.join(few(gone.select(*on)), on, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    several = keyed.join(few(gone.where("kept").select(*on)), on, "left_semi").dropDuplicates(on).select(*[f"`{c}`" for c in docs.columns])
+    return single.unionByName(several)

@@ -216,6 +216,47 @@ def test_attribution_adds_up(spark, odd, rule):
     assert attribution.attribute(odd.limit(0), PATH, ["text"]).isEmpty()
 
 
+def sections(fields: list[str], separator: str) -> list[tuple[int, int, int]]:
+    """Field, number and end byte of each line of the rendered text, a line holding its break and a field's last one the separator."""
+    out, at = [], 0
+    for k, text in enumerate(fields):
+        lines = text.split("\n")
+        for n, line in enumerate(lines):
+            last = n == len(lines) - 1
+            at += len(line.encode()) + len((separator if k < len(fields) - 1 else "").encode() if last else b"\n")
+            out.append((k, n, at))
+    return out
+
+
+@pytest.mark.parametrize("rule", attribution.RULES)
+def test_tokens_of_each_section(spark, odd, rule):
+    """Every byte is looked at by itself; the library's tokens have a character for each of their bytes."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PATH)
+    special = spark.createDataFrame([(901, "a\nb\n\n\nc", "s\nt"), (902, "é\n😀\n　\nñ  x", ""), (903, "x\n" * 300, None), (904, "word\n\n\n\n  indented\n\tand\r\nmore", "z")], "doc_id long, text string, source string")
+    docs = odd.select("doc_id", "text", "source").unionByName(special)
+    want = Counter()
+    for r in docs.collect():
+        fields = [r.source or "", r.text or ""]
+        ends = sections(fields, "\n")
+        of_byte = [k for k, (_, _, end) in enumerate(ends) for _ in range(end - (ends[k - 1][2] if k else 0))]
+        counts, at = [0.0] * len(ends), 0
+        for token in t.encode("\n".join(fields), add_special_tokens=False).tokens:
+            held = Counter(of_byte[at : at + len(token)])
+            at += len(token)
+            if rule == "start":
+                counts[min(held)] += 1
+            elif rule == "majority":
+                counts[min(held, key=lambda k: (-held[k], k))] += 1
+            else:
+                for k, n in held.items():
+                    counts[k] += n / len(token)
+        want.update((r.doc_id, ("source", "text")[f], n, round(c, 6)) for (f, n, _), c in zip(ends, counts, strict=True))
+    found = attribution.attribute(docs, PATH, ["source", "text"], rule=rule).collect()
+    assert Counter((r.doc_id, r.field, r.section, round(float(r.n_tokens), 6)) for r in found) == want
+
+
 def test_allocation_rules():
     sizes, ends = np.array([2, 4, 3]), np.array([3, 3, 9])
     assert attribution.allocate(sizes, ends, "start")[0].tolist() == [2, 0, 1]
