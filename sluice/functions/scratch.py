@@ -1,4 +1,4 @@
-"""Folders for intermediate tables that driver and executors share."""
+"""Folders for intermediate tables that driver and executors share, and their listing."""
 
 from __future__ import annotations
 
@@ -9,9 +9,38 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new path under spark.checkpoint.dir; only where that is unset, as in tests, under a temporary folder."""
+    """A new path under spark.checkpoint.dir; only where that is unset and all is one machine, under a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="sluice-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names of the entries of a folder in any file system that Spark reaches; none if it does not exist."""
+    files, at = _files(spark, path)
+    return [x.getPath().getName() for x in files.listStatus(at)] if files.exists(at) else []
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _files(spark, path)
+    return files.exists(at)
+
+
+def removed(spark: SparkSession, path: str) -> bool:
+    """Delete a folder with all that it holds."""
+    files, at = _files(spark, path)
+    return files.delete(at, True)
+
+
+def moved(spark: SparkSession, source: str, target: str) -> bool:
+    files, at = _files(spark, source)
+    return files.rename(at, _files(spark, target)[1])
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at

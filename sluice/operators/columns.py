@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,11 +54,11 @@ def cast_column(df: DataFrame, column: str, target: str) -> DataFrame:
     return df.withColumn(column, F.col(column).try_cast(spark_type(target))) if column in df.columns else df
 
 
-def split_casts(df: DataFrame, targets: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+def split_casts(df: DataFrame, targets: dict[str, str], keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """Rows whose casts all succeed, cast; and the other rows as they were, with the reason in _error."""
     targets = {c: spark_type(t) for c, t in targets.items() if c in df.columns}
     errors = [F.when(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull(), F.concat(F.lit(f"{c}: cannot cast to {t}: "), F.col(c).cast("string"))) for c, t in targets.items()]
-    marked = df.withColumn("_error", F.concat_ws("; ", *errors))
+    marked = keep(df.withColumn("_error", F.concat_ws("; ", *errors)))
     good = marked.filter("_error = ''").drop("_error").withColumns({c: F.col(c).try_cast(t) for c, t in targets.items()})
     return good, marked.filter("_error <> ''")
 
@@ -159,5 +161,7 @@ def array_to_map(col: Column, key: str = "id") -> Column:
     items = F.from_json(F.when(F.ltrim(col).startswith("["), col), "array<string>")
     keyed = F.transform(items, lambda x, i: F.struct(F.coalesce(F.get_json_object(x, f"$.{key}"), i.cast("string")).alias("k"), x.alias("v"), i.alias("i")))
     objects = F.filter(keyed, lambda x: F.ltrim(x["v"]).startswith("{"))
-    last = F.filter(objects, lambda x: ~F.exists(objects, lambda y: (y["k"] == x["k"]) & (y["i"] > x["i"])))
-    return F.map_from_entries(F.coalesce(F.transform(last, lambda x: F.struct(x["k"], x["v"])), F.array().cast("array<struct<k:string,v:string>>")))
+    # Sorted by key and place, an object is the last of its key where its neighbour has another one.
+    ordered = F.array_sort(F.transform(objects, lambda x: F.struct(x["k"].alias("k"), x["i"].alias("i"), x["v"].alias("v"))))
+    pairs = F.transform(F.array(ordered), lambda s: F.zip_with(s, F.slice(s, F.lit(2), F.size(s)), lambda x, y: F.when(y.isNull() | (x["k"] != y["k"]), F.struct(x["k"], x["v"]))))[0]
+    return F.map_from_entries(F.coalesce(F.filter(pairs, lambda x: x.isNotNull()), F.array().cast("array<struct<k:string,v:string>>")))

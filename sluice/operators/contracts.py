@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,9 +38,12 @@ def errors_of(df: DataFrame, contract: dict) -> Column:
     return F.filter(F.array(*found), lambda e: e.isNotNull()) if found else F.array().cast("array<string>")
 
 
-def validate(df: DataFrame, contract: dict) -> tuple[DataFrame, DataFrame]:
-    """Valid rows as they are, and violating rows with their errors in `_errors`; one pass computes both."""
-    marked = df.withColumn("_errors", errors_of(df, contract))
+def validate(df: DataFrame, contract: dict, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """Valid rows as they are, and violating rows with their errors in `_errors`.
+
+    Each of the two reads df, unless keep stores the tagged rows between.
+    """
+    marked = keep(df.withColumn("_errors", errors_of(df, contract)))
     return marked.filter(F.size("_errors") == 0).drop("_errors"), marked.filter(F.size("_errors") > 0)
 
 
@@ -47,6 +52,13 @@ def summary(df: DataFrame, contract: dict) -> DataFrame:
     return df.select(F.explode(errors_of(df, contract)).alias("error")).groupBy("error").agg(F.count("*").alias("violations"))
 
 
+def pass_rate(df: DataFrame, contract: dict) -> DataFrame:
+    """Rows, rows that pass, rows that fail, and the percentage that passes; 100 for no rows."""
+    found = df.select((F.size(errors_of(df, contract)) > 0).cast("int").alias("bad")).agg(F.count("*").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("failed"))
+    rate = F.coalesce(F.round(100.0 * (F.col("n") - F.col("failed")) / F.nullif("n", F.lit(0)), 2), F.lit(100.0))
+    return found.select("n", (F.col("n") - F.col("failed")).alias("passed"), "failed", rate.alias("pass_rate"))
+
+
 def dead_letters(bad: DataFrame, error: Column, job_id: str, patterns: tuple[str, ...] = SENSITIVE) -> DataFrame:
     """Dead letters of rows: their payload as JSON with sensitive fields redacted, and the error."""
     data = [c for c in bad.columns if c not in ("_errors", "_error")]

@@ -19,11 +19,12 @@ def without(target: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], order: list[str] = ()) -> DataFrame:
-    """Rows of the source replace or join those of the target; of equal keys the last by order wins.
+    """Rows of the source replace or join those of the target; of equal keys the last by order, or else by all columns, wins.
 
     Without non-key columns rows that exist stay as they are. Null keys are equal to each other. One shuffle each.
     """
-    source = latest_per_key(source, keys, *order) if order else source.dropDuplicates(keys)
+    rest = [c for c in source.columns if c not in keys]
+    source = latest_per_key(source, keys, *(order or rest)) if rest else source.distinct()
     if set(target.columns) <= set(keys):
         return target.unionByName(without(source.select(*target.columns), target, keys))
     kept = without(target, source, keys)

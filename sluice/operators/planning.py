@@ -45,7 +45,7 @@ def parallelism(sized: DataFrame, rows_per_worker: int = 10_000, least: int = 1,
     size = max(100, min(50_000, half))
     total = sized.agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("total_rows"), F.coalesce(F.sum("byte_count"), F.lit(0)).alias("total_bytes"))
     workers = F.greatest(F.lit(least), F.least(F.lit(most), F.ceil(F.col("total_rows") / rows_per_worker).cast("int")))
-    return total.select("total_rows", "total_bytes", workers.alias("workers"), F.lit(size).alias("shard_size"), F.ceil(F.col("total_rows") / size).cast("long").alias("shards"))
+    return total.select("total_rows", "total_bytes", workers.alias("workers"), F.lit(size).alias("shard_size"), F.greatest(F.lit(1), F.ceil(F.col("total_rows") / size)).cast("long").alias("shards"))
 
 
 def intervals(spark: SparkSession, rows: int, shards: int) -> DataFrame:
@@ -79,10 +79,40 @@ def discover(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def candidate_keys(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Which columns have a different, non-null value in each row."""
-    found = df.select(*[F.struct(F.countDistinct(c).alias("d"), F.count(c).alias("n"), F.count("*").alias("rows")).alias(c) for c in columns])
-    rows = found.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c)["d"].alias("distinct_values"), ((F.col(c)["d"] == F.col(c)["rows"]) & (F.col(c)["n"] == F.col(c)["rows"])).alias("is_key")) for c in columns])).alias("r"))
-    return rows.select("r.*")
+    """Which columns have a different, non-null value in each row. Each is counted by itself, so no row is multiplied."""
+
+    def counted(c: str) -> DataFrame:
+        values = df.groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n"))
+        known = F.when(F.col("v").isNotNull(), F.col("n"))
+        # No rows are no key of anything, but nothing contradicts it.
+        return values.agg(F.lit(c).alias("column_name"), F.count(known).alias("distinct_values"), F.coalesce((F.max("n") <= 1) & (F.count(known) == F.count("*")), F.lit(True)).alias("is_key"))
+
+    return reduce(DataFrame.unionByName, [counted(c) for c in columns])
+
+
+def foreign_keys(tables: dict[str, DataFrame]) -> DataFrame:
+    """References between tables by inclusion: a column all of whose values are in a key of another table.
+
+    Columns are compared if their types are equal and their names are the same after the first underscore, the prefix
+    being the table's. rows counts those that have a value.
+    """
+    part = lambda c: c.partition("_")[2] or c
+    kinds = {(t, f.name): f.dataType for t, df in tables.items() for f in df.schema if isinstance(f.dataType, (T.IntegralType, T.StringType))}
+    pairs = [(a, b) for a in kinds for b in kinds if a[0] != b[0] and part(a[1]) == part(b[1]) and kinds[a] == kinds[b]]
+    spark = next(iter(tables.values())).sparkSession
+    wanted = sorted({b for _, b in pairs})
+    keys = [candidate_keys(tables[t], [c]).select(F.lit(t).alias("t"), F.lit(c).alias("c"), "is_key") for t, c in wanted]
+    known = {(r.t, r.c) for r in reduce(DataFrame.unionByName, keys).filter("is_key").collect()} if keys else set()  # a row a column
+    found = [(a, b) for a, b in pairs if b in known]
+    schema = "table_name string, column_name string, parent_table string, parent_column string, rows long"
+
+    def checked(a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
+        child = tables[a[0]].select(F.col(a[1]).alias("v")).filter("v is not null").groupBy("v").count()
+        there = tables[b[0]].select(F.col(b[1]).alias("v"), F.lit(True).alias("held"))
+        rows = child.join(there, "v", "left").agg(F.sum("count").alias("rows"), F.count(F.when(F.col("held").isNull(), 1)).alias("missing"))
+        return rows.filter("missing = 0 and rows > 0").select(*[F.lit(x).alias(n) for x, n in zip((*a, *b), ("table_name", "column_name", "parent_table", "parent_column"), strict=True)], "rows")
+
+    return reduce(DataFrame.unionByName, [checked(a, b) for a, b in found]) if found else spark.createDataFrame([], schema)
 
 
 def progress(plan: DataFrame, log: DataFrame, key: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,11 +34,11 @@ def encrypt_fields(df: DataFrame, fields: list[str], key: bytes | str) -> DataFr
     return df.withColumns({f: encrypted(F.col(f), key) for f in fields if f in df.columns})
 
 
-def decrypt_fields(df: DataFrame, fields: list[str], key: bytes | str) -> tuple[DataFrame, DataFrame]:
+def decrypt_fields(df: DataFrame, fields: list[str], key: bytes | str, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """Decrypted rows; and the rows in which a value did not decrypt, as they were, with the reason in _error."""
     fields = [f for f in fields if f in df.columns]
     errors = [F.when(F.col(f).isNotNull() & decrypted(F.col(f), key).isNull(), F.lit(f"{f}: cannot decrypt")) for f in fields]
-    marked = df.withColumn("_error", F.concat_ws("; ", *errors))
+    marked = keep(df.withColumn("_error", F.concat_ws("; ", *errors)))
     good = marked.filter("_error = ''").drop("_error").withColumns({f: decrypted(F.col(f), key) for f in fields})
     return good, marked.filter("_error <> ''")
 

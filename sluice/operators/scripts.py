@@ -3,30 +3,54 @@
 from __future__ import annotations
 
 import json
-import time
+import signal
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
-FLAVOURS = ("arrow", "pandas", "records")
+FLAVOURS = ("arrow", "pandas", "polars", "records")
 
 
 def compiled(code: str) -> tuple[Callable, str]:
     """The function of a script and its flavour, by its name; raises SyntaxError or ValueError."""
     names: dict = {}
     exec(compile(code, "<script>", "exec"), names)
-    for name, flavour in (("transform_df", "pandas"), ("transform_records", "records"), ("transform", "arrow")):
+    for name, flavour in (("transform_df", "pandas"), ("transform_polars", "polars"), ("transform_records", "records"), ("transform", "arrow")):
         if callable(names.get(name)):
             return names[name], flavour
-    raise ValueError("the script defines no transform, transform_df or transform_records")
+    raise ValueError("the script defines no transform, transform_df, transform_polars or transform_records")
+
+
+@contextmanager
+def deadline(seconds: float | None) -> Iterator[None]:
+    """Interrupt what runs longer, endless loops included: a timer signal raises TimeoutError in the worker's main thread."""
+    if not seconds:
+        yield
+        return
+
+    def late(*_: object) -> None:
+        raise TimeoutError(f"script timed out after {seconds} seconds")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
 
 
 def _apply(fn: Callable, flavour: str, batch: pa.RecordBatch) -> pa.Table:
     if flavour == "pandas":
         return pa.Table.from_pandas(fn(batch.to_pandas()), preserve_index=False)
+    if flavour == "polars":
+        import polars  # where it is installed
+
+        return fn(polars.from_arrow(pa.Table.from_batches([batch]))).to_arrow()
     if flavour == "records":
         return pa.Table.from_pylist(fn(batch.to_pylist()))
     out = fn(batch)
@@ -34,25 +58,27 @@ def _apply(fn: Callable, flavour: str, batch: pa.RecordBatch) -> pa.Table:
 
 
 def run(df: DataFrame, fn: Callable, flavour: str, schema: T.StructType | str, timeout: float | None = None) -> DataFrame:
-    """The batches of df through a function; a failing batch fails the job. Each batch is on its own and of bounded size."""
+    """The batches of df through a function; a failing batch, or one that takes longer than timeout seconds, fails the job.
+
+    Each batch is on its own and of bounded size.
+    """
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kind)
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            began = time.monotonic()
-            out = _apply(fn, flavour, batch)
-            if timeout and time.monotonic() - began > timeout:
-                raise TimeoutError(f"script timed out after {timeout} seconds")
+            with deadline(timeout):
+                out = _apply(fn, flavour, batch)
             yield from out.select(arrow.names).cast(arrow).to_batches()
 
     return df.mapInArrow(batches, kind)
 
 
-def run_isolated(df: DataFrame, fn: Callable, flavour: str, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
+def run_isolated(df: DataFrame, fn: Callable, flavour: str, schema: T.StructType | str, timeout: float | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """Good output rows; and dead rows (row_payload, error). A failing batch is run again row by row in the same worker.
 
-    Both results come from one tagged output, so persist or write it if both are used.
+    A batch has timeout seconds and so has each row. Both results come from one tagged output, which keep may store;
+    without, the script runs for each of them.
     """
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     tagged = T.StructType([T.StructField("row", kind), T.StructField("row_payload", T.StringType()), T.StructField("error", T.StringType())])
@@ -62,17 +88,19 @@ def run_isolated(df: DataFrame, fn: Callable, flavour: str, schema: T.StructType
         for batch in source:
             done, dead = [], []
             try:
-                done = _apply(fn, flavour, batch).select(arrow.names).cast(arrow).to_pylist()
+                with deadline(timeout):
+                    done = _apply(fn, flavour, batch).select(arrow.names).cast(arrow).to_pylist()
             except Exception:  # noqa: BLE001  the script is the user's
                 for k in range(len(batch)):
                     row = batch.slice(k, 1)
                     try:
-                        done += _apply(fn, flavour, row).select(arrow.names).cast(arrow).to_pylist()
+                        with deadline(timeout):
+                            done += _apply(fn, flavour, row).select(arrow.names).cast(arrow).to_pylist()
                     except Exception as e:  # noqa: BLE001
                         dead.append({"row": None, "row_payload": json.dumps(row.to_pylist()[0], default=str), "error": f"{type(e).__name__}: {e}"})
             yield pa.RecordBatch.from_pylist([{"row": r, "row_payload": None, "error": None} for r in done] + dead, out_schema)
 
-    out = df.mapInArrow(batches, tagged)
+    out = keep(df.mapInArrow(batches, tagged))
     return out.filter("error is null").select("row.*"), out.filter("error is not null").select("row_payload", "error")
 
 

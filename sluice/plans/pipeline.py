@@ -2,22 +2,60 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.functions.scratch import shared_path
 from sluice.operators import changes, columns, contracts, enrich, protect, rows, scripts
 from sluice.sources import files, sinks
 
-#: Column steps by name: (frame, step) -> frame.
+def _named(step: dict, *names: str, default: object = None) -> object:
+    """The first of several names of an option that a step gives."""
+    return next((step[n] for n in names if step.get(n) is not None), default)
+
+
+def _field(step: dict) -> str:
+    return _named(step, "column", "field")
+
+
+def _dates(df: DataFrame, step: dict) -> DataFrame:
+    source = _named(step, "source_format", "input_format", default="%Y%m%d")
+    target = _named(step, "target_format", "output_format", default="%Y-%m-%d")
+    return columns.reformat_date(df, _field(step), source, target, _named(step, "target_column", "new_name"))
+
+
+def _renamed(df: DataFrame, step: dict) -> DataFrame:
+    return columns.rename_columns(df, step.get("mapping") or {_field(step): _named(step, "new_name", "target", "value")})
+
+
+#: Names of the column steps of a specification and of the options of each.
+OPTIONS = {
+    **dict.fromkeys(("filter",), ("expression",)),
+    **dict.fromkeys(("select", "select_columns", "select_fields", "keep_columns", "drop", "drop_columns", "drop_fields"), ("columns", "fields")),
+    **dict.fromkeys(("rename", "rename_field", "rename_column"), ("mapping", "column", "field", "new_name", "target", "value")),
+    **dict.fromkeys(("cast", "type_cast"), ("column", "field", "target_type")),
+    **dict.fromkeys(("date_format", "format_date", "date_transform"), ("column", "field", "source_format", "target_format", "input_format", "output_format", "target_column", "new_name")),
+    "add_constant": ("column", "value"),
+    "drop_nulls": ("column",),
+    "mask": ("columns",),
+    "camel_case": (),
+    "expression": ("target_column", "expression"),
+    "timestamp": ("column",),
+    **dict.fromkeys(("script", "script_transform"), ("code", "function", "flavour", "schema", "timeout")),
+    "plugin": ("name",),
+}
+#: Column steps by name: (frame, step) -> frame. Casts, scripts and plugins have branches of their own.
 STEPS = {
     **dict.fromkeys(("filter",), lambda df, s: rows.where(df, s["expression"])),
-    **dict.fromkeys(("select", "select_columns", "select_fields", "keep_columns"), lambda df, s: columns.select_columns(df, s.get("columns") or s.get("fields"))),
-    **dict.fromkeys(("drop", "drop_columns", "drop_fields"), lambda df, s: columns.drop_columns(df, s.get("columns") or s.get("fields"))),
-    **dict.fromkeys(("rename", "rename_field", "rename_column"), lambda df, s: columns.rename_columns(df, s.get("mapping") or {s.get("field") or s["column"]: s.get("new_name") or s.get("target") or s["value"]})),
-    **dict.fromkeys(("cast", "type_cast"), lambda df, s: columns.cast_column(df, s.get("column") or s["field"], s["target_type"])),
-    **dict.fromkeys(("date_format", "format_date", "date_transform"), lambda df, s: columns.reformat_date(df, s.get("column") or s["field"], s.get("input_format", "%Y%m%d"), s.get("output_format", "%Y-%m-%d"), s.get("target_column") or s.get("new_name"))),
+    **dict.fromkeys(("select", "select_columns", "select_fields", "keep_columns"), lambda df, s: columns.select_columns(df, _named(s, "columns", "fields"))),
+    **dict.fromkeys(("drop", "drop_columns", "drop_fields"), lambda df, s: columns.drop_columns(df, _named(s, "columns", "fields"))),
+    **dict.fromkeys(("rename", "rename_field", "rename_column"), _renamed),
+    **dict.fromkeys(("date_format", "format_date", "date_transform"), _dates),
     "add_constant": lambda df, s: columns.add_constant(df, s["column"], s["value"]),
     "drop_nulls": lambda df, s: rows.drop_nulls(df, [s["column"]]),
     "mask": lambda df, s: columns.mask(df, s["columns"]),
@@ -27,12 +65,24 @@ STEPS = {
 }
 
 
+def checked(steps: list[dict]) -> list[dict]:
+    """The steps, if their types and options are known; a misspelt option would be ignored otherwise."""
+    for step in steps:
+        if step.get("type") not in OPTIONS:
+            raise ValueError(f"unknown step type {step.get('type')!r}; known are {', '.join(OPTIONS)}")
+        unknown = set(step) - {"type", *OPTIONS[step["type"]]}
+        if unknown:
+            raise ValueError(f"unknown options {sorted(unknown)} of step {step['type']}; known are {', '.join(OPTIONS[step['type']])}")
+    return steps
+
+
 @dataclass
 class Result:
-    """Rows for the destinations, violations of the contract, dead letters of casts and scripts, and the watermark row."""
+    """Rows for the destinations, violations of the contract, rows that keep it, dead letters of casts and scripts, and the watermark row."""
 
     good: DataFrame
     violations: DataFrame
+    valid: DataFrame | None = None
     letters: list[DataFrame] = field(default_factory=list)
     watermark: DataFrame | None = None
 
@@ -43,13 +93,18 @@ class Pipeline:
 
     spec: dict
     lookups: dict[str, DataFrame] = field(default_factory=dict)
+    plugins: scripts.Plugins = field(default_factory=scripts.Plugins)
+
+    def __post_init__(self) -> None:
+        checked(self.spec.get("steps", []))
 
-    def apply(self, df: DataFrame) -> Result:
+    def apply(self, df: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Result:
+        """The chain as one plan. Where rows part into good and bad ones, keep may store the tagged rows; else each reads the source."""
         spec = self.spec
         delta = spec.get("delta", {})
         df = changes.after(df, delta["watermark_column"], delta.get("initial_watermark")) if delta else df
-        good, bad = contracts.validate(df, spec.get("contract", {}))
-        out = Result(good, bad)
+        good, bad = contracts.validate(df, spec.get("contract", {}), keep)
+        out = Result(good, bad, good)
         out.watermark = changes.high_watermark(good, delta["watermark_column"]) if delta else None
         job = spec.get("job_id", "job")
         good = rows.apply_rules(good, spec.get("rules", []), spec.get("skip_unknown", False))
@@ -57,24 +112,33 @@ class Pipeline:
             lookup, key, target = self.lookups[e["lookup"]], e["join_key"], e.get("target_field")
             good = enrich.nested(good, lookup, key, target, e.get("order", [])) if target and target != "_flatten_" else enrich.flattened(good, lookup, key, e.get("order", []))
         if "script" in spec:
-            s = spec["script"]
-            fn, flavour = (s["function"], s["flavour"]) if "function" in s else scripts.compiled(s["code"])
-            good, dead = scripts.run_isolated(good, fn, flavour, s["schema"])
-            out.letters.append(dead.select(F.lit(job).alias("job_id"), "row_payload", F.col("error").alias("error_trace"), F.lit(False).alias("replayed")))
+            good = self._script(good, spec["script"], out, keep)
         if "encrypt" in spec:
-            good = protect.encrypt_fields(good, spec["encrypt"]["fields"], spec["encrypt"]["key"])
+            # Each pass would draw other nonces.
+            good = keep(protect.encrypt_fields(good, spec["encrypt"]["fields"], spec["encrypt"]["key"]))
         for step in spec.get("steps", []):
             if step["type"] in ("cast", "type_cast"):
-                good, dead = columns.split_casts(good, {step.get("column") or step["field"]: step["target_type"]})
+                good, dead = columns.split_casts(good, {_field(step): step["target_type"]}, keep)
                 out.letters.append(contracts.dead_letters(dead, F.col("_error"), job))
+            elif step["type"] in ("script", "script_transform"):
+                good = self._script(good, step, out, keep)
+            elif step["type"] == "plugin":
+                good = self.plugins.execute(step["name"], good)
             else:
                 good = STEPS[step["type"]](good, step)
         if "decrypt" in spec:
-            good, dead = protect.decrypt_fields(good, spec["decrypt"]["fields"], spec["decrypt"]["key"])
+            good, dead = protect.decrypt_fields(good, spec["decrypt"]["fields"], spec["decrypt"]["key"], keep)
             out.letters.append(contracts.dead_letters(dead, F.col("_error"), job))
         out.good = good
         return out
 
+    def _script(self, df: DataFrame, s: dict, out: Result, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        fn, flavour = (s["function"], s["flavour"]) if "function" in s else scripts.compiled(s["code"])
+        good, dead = scripts.run_isolated(df, fn, flavour, s.get("schema", df.schema), s.get("timeout"), keep)
+        job = self.spec.get("job_id", "job")
+        out.letters.append(dead.select(F.lit(job).alias("job_id"), "row_payload", F.col("error").alias("error_trace"), F.lit(False).alias("replayed")))
+        return good
+
     def source(self, spark: SparkSession) -> DataFrame:
         """All sources of the specification, one after another."""
         read = {"csv": lambda s: files.csv(spark, s["path"], s.get("delimiter", ","), s.get("schema")), "parquet": lambda s: files.parquet(spark, s["path"]), "sql": lambda s: spark.sql(s["query"])}
@@ -82,14 +146,45 @@ class Pipeline:
         return next(iter(found.values())) if len(found) == 1 else rows.union_sources(found)
 
     def run(self, spark: SparkSession) -> Result:
-        """Read, check the contract's strictness and the failure policy, then write destinations and dead letters."""
-        result = self.apply(self.source(spark))
+        """Read; check strictness and failure policy; write dead letters, destinations and a progress row.
+
+        Tagged rows are written once, in the shared folder, so scripts run once and all branches see the same rows. A
+        breach raises after the dead letters are written and before any destination is. Percentages are of whole runs
+        and of the shards that the policy's expression `shard` names.
+        """
+        began, job = time.time(), self.spec.get("job_id", "job")
+        result = self.apply(self.source(spark), lambda df: stored(spark, df))
+        result.good = stored(spark, result.good)
+        letters = reduce(DataFrame.unionByName, [contracts.violation_letters(result.violations, job), *result.letters])
+        letters = stored(spark, letters)
+        if "dead_letters" in self.spec:
+            sinks.append(letters, self.spec["dead_letters"])
         if self.spec.get("contract", {}).get("strict"):
             contracts.require_valid(result.violations)
-        destinations = {d["name"]: (d["path"], d.get("condition")) for d in self.spec.get("destinations", [])}
-        sinks.fan_out(result.good, destinations)
-        letters = [contracts.violation_letters(result.violations, self.spec.get("job_id", "job")), *result.letters]
-        if "dead_letters" in self.spec:
-            for part in letters:
-                sinks.append(part, self.spec["dead_letters"])
+        policy = self.spec.get("failure_policy")
+        if policy:
+            contracts.enforce_policy(contracts.evaluate_policy(self._failures(result, letters, policy.get("shard")), policy))
+        sinks.fan_out(result.good, self.spec.get("destinations", []))
+        if "progress" in self.spec:
+            written, failed = result.good.count(), letters.count()
+            seconds = time.time() - began
+            row = [(job, written, failed, round(seconds, 3), int(written / max(seconds, 0.001)))]
+            sinks.append(spark.createDataFrame(row, "job_id string, rows_written long, rows_failed long, seconds double, rows_per_second long"), self.spec["progress"])
         return result
+
+    @staticmethod
+    def _failures(result: Result, letters: DataFrame, shard: str | None) -> DataFrame:
+        """Rows and failures of the run; by shard too if the contract's rows tell it."""
+        if not shard:
+            rows = result.good.select(F.lit(False).alias("bad")).unionAll(letters.select(F.lit(True)))
+            return contracts.failure_counts(rows, F.lit(None).cast("string"), F.col("bad")).filter("whole")
+        of = lambda df, bad: df.select(F.expr(shard).alias("shard"), F.lit(bad).alias("bad"))
+        rows = of(result.valid, False).unionAll(of(result.violations, True))
+        return contracts.failure_counts(rows, F.col("shard"), F.col("bad"))
+
+
+def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """A frame written in the shared folder and read again."""
+    path = shared_path(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.functions.scratch import shared_path
+from sluice.functions.scratch import exists, shared_path
 from sluice.operators import changes, contracts, enrich, merge, planning, rows, runlog, scripts
 from sluice.plans.pipeline import Pipeline
+from sluice.sources import files, sinks
+from sluice.sources.versioned import VersionedTable
 from sluice.streaming import stream
 
 from .queries_tables import BEFORE, FEED, NOW, change_feed, micros, query, snapshots, table
@@ -78,6 +80,12 @@ def dq_summary(spark, sf_dir):
     return contracts.summary(dirty(spark, sf_dir), CONTRACT)
 
 
+@query(f"""SELECT count(*) AS n, count(*) FILTER (len(errors) = 0) AS passed, count(*) FILTER (len(errors) > 0) AS failed,
+round(100.0 * count(*) FILTER (len(errors) = 0) / count(*), 2) AS pass_rate FROM ({CHECKED})""")
+def dq_pass_rate(spark, sf_dir):
+    return contracts.pass_rate(dirty(spark, sf_dir), CONTRACT)
+
+
 @query("SELECT event_id AS id, 'kind: cannot cast to bigint: ' || event_type AS error_trace FROM events WHERE event_type <> 'view'")
 def transform_dlq(spark, sf_dir):
     from sluice.operators import columns
@@ -353,38 +361,72 @@ def stream_pipeline(spark, sf_dir):
     return spark.read.parquet(out).drop("batch")
 
 
-@query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
-def stream_replay_idempotent(spark, sf_dir):
-    incoming = _events_stream(spark, sf_dir).select("user_id", "event_id")
-    target = stream.VersionedTable(spark, shared_path(spark), incoming.schema)
-    for _ in range(2):  # all batches a second time change nothing
-        again = stream.VersionedTable(spark, shared_path(spark), incoming.schema)
-        first = target.read() if target.version is not None else None
-        if first is not None:
-            again.write(first, -1)
-        stream.each_batch(incoming, lambda b, n, t=again: t.write(_largest(t.read(), b), n), shared_path(spark)).awaitTermination()
-        target = again
-    return target.read()
-
-
-def _largest(target: DataFrame, batch: DataFrame) -> DataFrame:
-    """Merge in which a row replaces only an older one."""
-    return merge.upsert(target, target.unionByName(batch), ["user_id"], ["event_id"])
+@query("SELECT count(*) AS input_rows, 3 AS batches FROM events")
+def stream_progress(spark, sf_dir):
+    run = stream.run_chain(_events_stream(spark, sf_dir), Pipeline({}), shared_path(spark), shared_path(spark), shared_path(spark))
+    run.awaitTermination()
+    return stream.progress(run).agg(F.sum("input_rows").alias("input_rows"), F.count("*").cast("int").alias("batches"))
 
 
-@query("SELECT event_id, value, 'INSERT' AS op FROM events")
+@query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
+def stream_replay_idempotent(spark, sf_dir):
+    """Batches merge into a table that is opened anew; then all of them come again under their old numbers."""
+    source, root, first = shared_path(spark), shared_path(spark), shared_path(spark)
+    df = table(spark, sf_dir, "events").select("user_id", "event_id")
+    for checkpoint, part in ((first, df.filter("event_id % 2 = 0")), (first, df), (shared_path(spark), df.limit(0))):
+        part.repartition(2, "event_id").write.mode("append").parquet(source)
+        incoming = stream.available(spark, source, df.schema, files_per_batch=1)
+        stream.merge_stream(incoming, VersionedTable(spark, root, df.schema), ["user_id"], ["event_id"], checkpoint).awaitTermination()
+    return VersionedTable(spark, root, df.schema).read()
+
+
+@query("""SELECT event_id, value, 'INSERT' AS op FROM events
+UNION ALL SELECT event_id, value + 1, 'UPDATE' FROM events WHERE event_id % 3 = 0
+UNION ALL SELECT event_id + 1000000000, value, 'INSERT' FROM events WHERE event_id % 10 = 0""")
 def stream_cdc(spark, sf_dir):
-    once = _events_stream(spark, sf_dir).select("event_id", "value")
-    state = stream.VersionedTable(spark, shared_path(spark), T._parse_datatype_string("event_id long, _hash string"))
-    out = shared_path(spark)
-    stream.detect_changes(once, state, out, ["event_id"], shared_path(spark)).awaitTermination()
-    again = shared_path(spark)
-    before, state.version = state.read(), None  # the same rows once more, against the kept state
-    root = shared_path(spark)
-    kept = stream.VersionedTable(spark, root, before.schema)
-    kept.write(before, -1)
-    stream.detect_changes(once, kept, again, ["event_id"], shared_path(spark)).awaitTermination()
-    return spark.read.parquet(out).unionByName(spark.read.parquet(again)).select("event_id", "value", F.col(merge.OP).alias("op"))
+    """New rows, then after a restart changed, unchanged and more new ones."""
+    source, state, out, checkpoint = (shared_path(spark) for _ in range(4))
+    once = table(spark, sf_dir, "events").select("event_id", "value")
+    later = once.filter("event_id % 3 = 0").withColumn("value", F.col("value") + 1)
+    later = later.unionByName(once.filter("event_id % 3 = 1")).unionByName(once.filter("event_id % 10 = 0").withColumn("event_id", F.col("event_id") + 1_000_000_000))
+    for rows_in in (once, later):
+        rows_in.repartition(2, "event_id").write.mode("append").parquet(source)
+        kept = VersionedTable(spark, state, T._parse_datatype_string("event_id long, _hash string"))
+        incoming = stream.available(spark, source, once.schema, files_per_batch=1)
+        stream.detect_changes(incoming, kept, out, ["event_id"], checkpoint).awaitTermination()
+    return spark.read.parquet(out).select("event_id", "value", F.col(merge.OP).alias("op"))
+
+
+# The chain from source to sink
+
+
+@query(f"SELECT c_custkey, 'DataQualityViolation: ' || array_to_string(errors, ', ') AS error_trace, false AS written FROM ({CHECKED}) WHERE len(errors) > 0")
+def chain_policy_halt(spark, sf_dir):
+    """More than ten percent of the rows fail: dead letters are written, the run stops, and nothing reaches the destination."""
+    source, letters, target = (shared_path(spark) for _ in range(3))
+    sinks.parquet(dirty(spark, sf_dir), source)
+    spec = {"sources": [{"type": "parquet", "path": source}], "contract": CONTRACT, "failure_policy": {"mode": "threshold", "run_percent": 10}, "dead_letters": letters}
+    try:
+        Pipeline(spec | {"destinations": [{"name": "clean", "path": target}]}).run(spark)
+    except contracts.ContractViolation:
+        found = files.parquet(spark, letters)
+        return found.select(F.get_json_object("row_payload", "$.c_custkey").cast("bigint").alias("c_custkey"), "error_trace", F.lit(exists(spark, target)).alias("written"))
+    raise AssertionError("the failure policy did not stop the run")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 2 ELSE 1 END AS version, strftime(CAST(o_orderdate AS DATE), '%d.%m.%Y') AS day
+FROM orders WHERE o_orderstatus <> 'P'""")
+def chain_upsert_sink(spark, sf_dir):
+    """Three runs on one keyed destination: all rows, some of them anew, and deletes."""
+    source, target = shared_path(spark), shared_path(spark)
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", F.date_format("o_orderdate", "yyyyMMdd").alias("day"))
+    sinks.parquet(df, source)
+    dates = {"type": "date_format", "field": "day", "source_format": "%Y%m%d", "target_format": "%d.%m.%Y"}
+    for mode, rule, version in (("upsert", [], 1), ("upsert", [{"field": "o_totalprice", "operator": ">", "value": 300000}], 2), ("delete", [{"field": "o_orderstatus", "operator": "==", "value": "P"}], 3)):
+        steps = [dates, {"type": "add_constant", "column": "version", "value": version}]
+        spec = {"sources": [{"type": "parquet", "path": source}], "rules": rule, "steps": steps, "destinations": [{"name": "orders", "path": target, "mode": mode, "match_keys": ["o_orderkey"]}]}
+        Pipeline(spec).run(spark)
+    return VersionedTable(spark, target).read().select("o_orderkey", F.col("version").cast("int").alias("version"), "day")
 
 
 # Scripts
@@ -510,6 +552,13 @@ def candidate_keys(spark, sf_dir):
     return planning.candidate_keys(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey"])
 
 
+@query("""SELECT 'customer' AS table_name, 'c_nationkey' AS column_name, 'nation' AS parent_table, 'n_nationkey' AS parent_column, count(*) AS rows FROM customer
+UNION ALL SELECT 'supplier', 's_nationkey', 'nation', 'n_nationkey', count(*) FROM supplier
+UNION ALL SELECT 'nation', 'n_regionkey', 'region', 'r_regionkey', count(*) FROM nation""")
+def foreign_keys(spark, sf_dir):
+    return planning.foreign_keys({t: table(spark, sf_dir, t) for t in ("region", "nation", "supplier", "customer")})
+
+
 @query("""SELECT c_nationkey AS pipeline, n AS total, coalesce(done, 0) AS processed, greatest(0, n - coalesce(done, 0)) AS pending FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1)
 LEFT JOIN (SELECT s_nationkey, CAST(sum(10) AS BIGINT) AS done FROM supplier GROUP BY 1) ON s_nationkey = c_nationkey""")
 def workload_progress(spark, sf_dir):

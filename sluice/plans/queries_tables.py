@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.functions.scratch import shared_path
-from sluice.operators import columns, enrich, merge, protect, rows
+from sluice.operators import columns, enrich, merge, planning, protect, rows
 from sluice.sources import files, jdbc, messages, registry, sinks, zipcsv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -238,6 +238,24 @@ def sink_parquet(spark, sf_dir):
     return files.parquet(spark, path)
 
 
+@query("SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag FROM lineitem")
+def sink_csv_round_trip(spark, sf_dir):
+    path = shared_path(spark)
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag")
+    sinks.csv(df, path, "overwrite")
+    return files.csv(spark, path, schema=df.schema)
+
+
+@query("SELECT count(*) AS n, true AS within, true AS named FROM lineitem")
+def sink_rolling_bytes(spark, sf_dir):
+    path, df = shared_path(spark), table(spark, sf_dir, "lineitem")
+    made = sinks.rolling(df, path, max_bytes=200_000, prefix="lines") + sinks.rolling(df.limit(0), path, max_bytes=200_000, prefix="lines")
+    size = planning.row_bytes(df)
+    per_file = spark.read.parquet(path).groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n"), F.sum(size).alias("b"))
+    named = F.max(F.when(F.col("f").rlike("/lines_[0-9]{5}[.]parquet$"), 0).otherwise(1)) == 0
+    return per_file.agg(F.sum("n").alias("n"), ((F.max("b") < 250_000) & (F.count("*") <= made)).alias("within"), named.alias("named"))
+
+
 @query("SELECT count(*) AS n, true AS within FROM orders")
 def sink_rolling_files(spark, sf_dir):
     path = shared_path(spark)

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.functions.scratch import listed, moved, removed
+
+from . import jdbc
+
 
 def csv(df: DataFrame, path: str, mode: str = "append", **options) -> None:
     """CSV with a header in each file; written to temporary files and committed together."""
@@ -21,15 +26,73 @@ def append(df: DataFrame, path: str, format: str = "parquet") -> None:
     df.write.format(format).mode("append").save(path)
 
 
-def replace(df: DataFrame, path: str, format: str = "parquet") -> None:
-    """All of a folder, or with dynamic partitions only those that the rows touch."""
-    df.write.format(format).mode("overwrite").save(path)
-
-
-def rolling(df: DataFrame, path: str, format: str = "parquet", max_rows: int = 100_000, partitions: int | None = None) -> None:
-    """Files of at most max_rows rows each."""
-    df = df.repartition(partitions) if partitions else df
-    df.write.option("maxRecordsPerFile", max_rows).format(format).mode("append").save(path)
+def replace(df: DataFrame, path: str, format: str = "parquet", by: list[str] = ()) -> None:
+    """All of a folder, or with partition columns only those partitions that the rows touch."""
+    writer = df.write.format(format).mode("overwrite")
+    writer = writer.partitionBy(*by).option("partitionOverwriteMode", "dynamic") if by else writer
+    writer.save(path)
+
+
+def rolling(df: DataFrame, path: str, format: str = "parquet", max_rows: int = 100_000, max_bytes: int = 100 << 20, prefix: str = "part", partitions: int | None = None) -> int:
+    """Files prefix_00001 and so on of at most max_rows rows, and of no more rows than hold max_bytes of values on average.
+
+    Spark writes and commits the files beside the target; renaming them there is the driver's, one call a file. Numbers
+    go on after those that exist. Returns the number of new files.
+    """
+    from sluice.operators.planning import row_bytes
+
+    spark = df.sparkSession
+    mean = df.agg(F.avg(row_bytes(df))).first()[0] or 1.0
+    staged, df = f"{path.rstrip('/')}/_staged-{uuid.uuid4().hex}", df.repartition(partitions) if partitions else df
+    df.write.option("maxRecordsPerFile", max(1, min(max_rows, int(max_bytes / mean)))).format(format).save(staged)
+    found = [re.fullmatch(rf"{re.escape(prefix)}_([0-9]+)\..*", n) for n in listed(spark, path)]
+    number = max((int(m[1]) for m in found if m), default=0)
+    names = sorted(n for n in listed(spark, staged) if n.startswith("part-"))
+    for k, name in enumerate(names, number + 1):
+        moved(spark, f"{staged}/{name}", f"{path.rstrip('/')}/{prefix}_{k:05d}.{format}")
+    removed(spark, staged)
+    return len(names)
+
+
+#: What a destination may do with rows: names of its modes.
+MODES = ("append", "replace", "upsert", "delete", "apply_changes")
+
+
+def keyed(df: DataFrame, path: str, mode: str, keys: list[str], order: list[str]) -> None:
+    """Upsert rows into a versioned table, delete their keys from it, or apply them as a change feed."""
+    from sluice.operators import merge
+    from sluice.sources.versioned import VersionedTable
+
+    table = VersionedTable(df.sparkSession, path)
+    if not table.versions():
+        table.write(merge.strip_metadata(df).limit(0))
+    before = table.read()
+    if mode == "upsert":
+        after = merge.upsert(before, merge.strip_metadata(df), keys, order)
+    elif mode == "delete":
+        after = merge.delete(before, df, keys)
+    else:
+        after = merge.apply_changes(before, df, keys, order or [merge.SEQ])
+    table.write(after)
+
+
+def load(df: DataFrame, destination: dict) -> None:
+    """Write the rows that meet a destination's condition, in its mode: to files, a versioned table by keys, or a database."""
+    rows = df.filter(F.coalesce(condition(destination.get("condition")), F.lit(False)))
+    mode, format = destination.get("mode", "append"), destination.get("format", "parquet")
+    keys = destination.get("match_keys", [])
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode} of destination {destination.get('name')}; known are {', '.join(MODES)}")
+    if "url" in destination:
+        if mode != "append":
+            raise ValueError("a database takes rows by append; merge them before")
+        jdbc.append(rows, destination["url"], destination["table"])
+    elif mode in ("append", "replace"):
+        {"append": append, "replace": replace}[mode](rows, destination["path"], format)
+    elif not keys:
+        raise ValueError(f"mode {mode} needs match_keys")
+    else:
+        keyed(rows, destination["path"], mode, keys, destination.get("order", []))
 
 
 def condition(text: str | None) -> Column:
@@ -43,11 +106,7 @@ def routed(df: DataFrame, destinations: dict[str, str | None]) -> DataFrame:
     return df.withColumn("destination", F.explode(names))
 
 
-def fan_out(df: DataFrame, destinations: dict[str, tuple[str, str | None]], format: str = "parquet") -> None:
-    """Write the rows that meet each destination's condition to its path; the frame is computed once."""
-    df.persist()
-    try:
-        for path, text in destinations.values():
-            df.filter(F.coalesce(condition(text), F.lit(False))).write.format(format).mode("append").save(path)
-    finally:
-        df.unpersist()
+def fan_out(df: DataFrame, destinations: list[dict]) -> None:
+    """Load the rows into each destination that they are meant for. The frame is read once for each, so hand in a stored one."""
+    for destination in destinations:
+        load(df, destination)

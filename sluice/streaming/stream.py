@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from sluice.operators import changes, merge
+from sluice.operators.rows import latest_per_key
 from sluice.plans.pipeline import Pipeline
 from sluice.sources import sinks
+from sluice.sources.versioned import VersionedTable
 
 
 def available(spark: SparkSession, path: str, schema, files_per_batch: int | None = None, format: str = "parquet") -> DataFrame:
@@ -36,33 +38,38 @@ def run_chain(stream: DataFrame, pipeline: Pipeline, target: str, letters: str,
     return each_batch(stream, action, checkpoint)
 
 
-class VersionedTable:
-    """A table kept as numbered versions in a folder: a merge writes the next one and never the one that it reads."""
+def progress(query: StreamingQuery) -> DataFrame:
+    """A row for each batch that had input: its number, rows, milliseconds and rows a second."""
+    spark = query.sparkSession if hasattr(query, "sparkSession") else SparkSession.active()
+    found = {p["batchId"]: p for p in map(dict, query.recentProgress) if p["numInputRows"]}
+    rows = [(n, p["numInputRows"], p["durationMs"].get("triggerExecution"), p["processedRowsPerSecond"]) for n, p in sorted(found.items())]
+    return spark.createDataFrame(rows, "batch long, input_rows long, duration_ms long, rows_per_second double")
 
-    def __init__(self, spark: SparkSession, root: str, schema):
-        self.spark, self.root, self.schema, self.version = spark, root, schema, None
 
-    def read(self) -> DataFrame:
-        if self.version is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v{self.version}")
+def merge_stream(stream: DataFrame, table: VersionedTable, keys: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
+    """Upsert each micro-batch by key; of equal keys, in the batch or the table, the last by order wins.
 
-    def write(self, df: DataFrame, version: int) -> None:
-        sinks.replace(df, f"{self.root}/v{version}")
-        self.version = version
+    A batch starts from the version before its own number, so the same batch twice gives the same table, after a crash too.
+    """
 
+    def action(batch: DataFrame, number: int) -> None:
+        before = table.read(before=number)
+        table.write(merge.upsert(before, before.unionByName(batch), keys, order), number)
+
+    return each_batch(stream, action, checkpoint)
 
-def merge_stream(stream: DataFrame, table: VersionedTable, keys: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
-    """Upsert each micro-batch by key; the same batch twice gives the same table."""
-    return each_batch(stream, lambda batch, n: table.write(merge.upsert(table.read(), batch, keys, order), n), checkpoint)
 
+def detect_changes(stream: DataFrame, state: VersionedTable, out: str, keys: list[str], checkpoint: str, order: list[str] = ()) -> StreamingQuery:
+    """Emit rows that are new or changed against the kept hashes; unchanged repeats give nothing.
 
-def detect_changes(stream: DataFrame, state: VersionedTable, out: str, keys: list[str], checkpoint: str) -> StreamingQuery:
-    """Emit rows that are new or changed against the kept hashes; unchanged repeats give nothing."""
+    Of the rows of a key in one batch the last by order counts; without an order, by all its columns. A change says
+    INSERT or UPDATE.
+    """
 
     def action(batch: DataFrame, number: int) -> None:
-        before = state.read()
-        new = batch.dropDuplicates(keys)
+        before = state.read(before=number)
+        by = list(order) or [c for c in batch.columns if c not in keys]
+        new = latest_per_key(batch, keys, *by)
         changed, _ = changes.diff(before.join(new, keys, "left_semi"), new, keys)
         sinks.replace(changed.drop(merge.SEQ), f"{out}/batch={number}")
         state.write(merge.upsert(before, changes.state_of(new, keys), keys), number)

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from sluice.operators import changes, columns, contracts, enrich, merge, planning, protect, rows, scripts
 from sluice.plans.pipeline import Pipeline
-from sluice.sources import messages, registry, sinks
+from sluice.sources import jdbc, messages, registry, sinks
+from sluice.sources.versioned import VersionedTable
 
 
 def test_contract_splits_rows_and_names_columns(spark):
@@ -89,6 +90,10 @@ def test_scripts_and_isolation(spark):
     slow = "import time\ndef transform(batch):\n    time.sleep(0.3)\n    return batch\n"
     with pytest.raises(Exception, match="timed out"):
         scripts.run(df, *scripts.compiled(slow), df.schema, timeout=0.1).collect()
+    endless = "def transform_records(rows):\n    while any('BAD' in r['name'] for r in rows):\n        pass\n    return rows\n"
+    good, dead = scripts.run_isolated(df, *scripts.compiled(endless), df.schema, timeout=0.2)
+    assert sorted(r.id for r in good.collect()) == [1, 3, 4] and "timed out" in dead.first().error
+    assert scripts.compiled("def transform_polars(df):\n    return df\n")[1] == "polars"
 
 
 def test_encryption(spark):
@@ -137,13 +142,18 @@ def test_enrichment_keeps_rows(spark):
     df = spark.createDataFrame([(1, "x"), (None, "y"), (9, "z")], "k long, name string")
     lookup = spark.createDataFrame([(1, "first", 1), (1, "second", 2), (None, "none", 1)], "k long, name string, v int")
     out = {r.k: r.found for r in enrich.nested(df, lookup, "k", "found", ["v"]).collect()}
-    assert out[1].name == "second" and out[None] is None and out[9] is None
+    assert out[1].name == "second" and out[None] is None and out[9].asDict() == {"name": None, "v": None}
+    assert enrich.nested(df, lookup, "k", "found", ["v"]).filter("k = 9").select(F.to_json("found")).first()[0] == "{}"
+    assert enrich.nested(df, lookup, "k", "found").filter("k = 1").first().found.name == "second"  # by all columns
     assert {r.k: r.name for r in enrich.flattened(df, lookup, "k", ["v"]).collect()} == {1: "second", None: "y", 9: "z"}
 
 
 def test_planning(spark):
     sized = spark.createDataFrame([("claims", 2500, 1)], "source string, row_count long, byte_count long")
     assert planning.parallelism(sized, 1000, 1, 8).first().workers == 3
+    assert planning.parallelism(sized.limit(0)).first().shards == 1
+    keys = {r.column_name: (r.distinct_values, r.is_key) for r in planning.candidate_keys(spark.sql("select id, id % 3 as third, nullif(id, 4) as gap from range(10)"), ["id", "third", "gap"]).collect()}
+    assert keys == {"id": (10, True), "third": (3, False), "gap": (9, False)}
     bounds = [(r.first, r.last) for r in planning.intervals(spark, 10, 3).collect()]
     assert bounds == [(0, 4), (4, 8), (8, 10)]
     df = spark.createDataFrame([("a", b"x" * 200_000)], "g string, data binary")
@@ -175,3 +185,89 @@ def test_pipeline_run_writes_all_parts(spark, tmp_path):
     assert [(r.id, r.age) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, 30)]
     assert spark.read.parquet(str(tmp_path / "none")).isEmpty()
     assert spark.read.parquet(str(tmp_path / "dead")).count() == 3
+
+
+def people(spark, tmp_path, n=40):
+    source = str(tmp_path / "people")
+    spark.range(n).selectExpr("id", "if(id % 4 = 0, null, concat('p', id)) as email", "date_format(date_add(date '2024-01-01', int(id)), 'yyyyMMdd') as day").write.parquet(source)
+    return {"sources": [{"type": "parquet", "path": source}], "contract": {"not_null": ["email"]}, "dead_letters": str(tmp_path / "dead"), "progress": str(tmp_path / "progress")}
+
+
+def test_failure_policy_stops_a_run(spark, tmp_path):
+    spec = people(spark, tmp_path) | {"destinations": [{"name": "out", "path": str(tmp_path / "out")}]}
+    for policy in ({"mode": "stop_on_failure"}, {"mode": "threshold", "run_percent": 20}, {"mode": "threshold", "run_count": 10, "run_percent": 0}, {"mode": "threshold", "chunk_count": 3, "run_percent": 0, "shard": "id div 10"}):
+        with pytest.raises(contracts.ContractViolation, match="policy"):
+            Pipeline(spec | {"failure_policy": policy}).run(spark)
+        assert not (tmp_path / "out").exists()
+    for policy in ({"mode": "continue"}, {"mode": "threshold", "run_percent": 26}):
+        Pipeline(spec | {"failure_policy": policy}).run(spark)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 60
+    assert {(r.rows_written, r.rows_failed) for r in spark.read.parquet(str(tmp_path / "progress")).collect()} == {(30, 10)}
+
+
+def test_keyed_destinations(spark, tmp_path):
+    spec, target = people(spark, tmp_path), str(tmp_path / "table")
+    for mode, rule, tag in (("upsert", [], "a"), ("upsert", [{"field": "id", "operator": "<", "value": 10}], "b"), ("delete", [{"field": "id", "operator": ">", "value": 30}], "c")):
+        destination = {"name": "t", "path": target, "mode": mode, "match_keys": ["id"]}
+        Pipeline(spec | {"rules": rule, "steps": [{"type": "add_constant", "column": "tag", "value": tag}], "destinations": [destination]}).run(spark)
+    found = {r.id: r.tag for r in VersionedTable(spark, target).read().collect()}
+    assert found == {k: "b" if k < 10 else "a" for k in range(31) if k % 4}
+    feed = spark.createDataFrame([(1, "new", "UPDATE", "1"), (2, None, "DELETE", "2"), (99, "more", "INSERT", "3")], f"id long, tag string, {merge.OP} string, {merge.SEQ} string")
+    sinks.load(feed, {"name": "t", "path": target, "mode": "apply_changes", "match_keys": ["id"]})
+    found = {r.id: r.tag for r in VersionedTable(spark, target).read().collect()}
+    assert found[1] == "new" and 2 not in found and found[99] == "more" and found[3] == "b"
+    with pytest.raises(ValueError, match="match_keys"):
+        sinks.load(feed, {"name": "t", "path": target, "mode": "upsert"})
+    with pytest.raises(ValueError, match="unknown mode"):
+        sinks.load(feed, {"name": "t", "path": target, "mode": "merge"})
+
+
+def test_versioned_table_survives_reopening(spark, tmp_path):
+    kind, root = "k long, v long", str(tmp_path / "versions")
+    assert VersionedTable(spark, root, kind).read().isEmpty()
+    for n in range(4):
+        VersionedTable(spark, root, kind).write(spark.createDataFrame([(1, n)], kind), n)
+    assert VersionedTable(spark, root).read().first().v == 3 and VersionedTable(spark, root).versions() == [2, 3]
+    assert VersionedTable(spark, root).read(before=3).first().v == 2  # what a repeated batch 3 starts from
+    (tmp_path / "versions" / "v4").mkdir()  # a crash before the commit leaves no version
+    assert VersionedTable(spark, root).read().first().v == 3
+
+
+def test_step_options(spark):
+    df = spark.createDataFrame([("20240131", 1)], "day string, n int")
+    for source, target in (("source_format", "target_format"), ("input_format", "output_format")):
+        out = Pipeline({"steps": [{"type": "date_format", "field": "day", source: "%Y%m%d", target: "%d/%m/%Y"}]}).apply(df).good
+        assert out.first().day == "31/01/2024"
+    with pytest.raises(ValueError, match="unknown step type"):
+        Pipeline({"steps": [{"type": "explode", "column": "day"}]})
+    with pytest.raises(ValueError, match="unknown options"):
+        Pipeline({"steps": [{"type": "date_format", "field": "day", "sourceformat": "%Y"}]})
+    chain = Pipeline({"steps": [{"type": "script", "code": "def transform_records(rows):\n    return [dict(r, n=r['n'] + 1) for r in rows]\n"}, {"type": "plugin", "name": "twice"}]})
+    chain.plugins.load("twice", lambda batch: batch.take([0, 0]), df.schema)
+    assert [r.n for r in chain.apply(df).good.collect()] == [2, 2]
+
+
+def test_keys_of_a_database(spark):
+    url = "jdbc:derby:memory:keys;create=true"
+    jdbc.append(spark.createDataFrame([(1,)], "WARM long"), url, "WARM")  # loads the driver
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url)
+    statement = connection.createStatement()
+    statement.execute("CREATE TABLE PARENT (ID BIGINT PRIMARY KEY, NAME VARCHAR(10))")
+    statement.execute("CREATE TABLE CHILD (A BIGINT, B BIGINT, P BIGINT REFERENCES PARENT (ID), PRIMARY KEY (A, B))")
+    connection.close()
+    assert {(r.kind, r.column_name, r.position, r.parent_table, r.parent_column) for r in jdbc.keys(spark, url, "CHILD").collect()} == {("primary", "A", 1, None, None), ("primary", "B", 2, None, None), ("foreign", "P", 1, "PARENT", "ID")}
+
+
+def test_partitions_are_replaced_alone(spark, tmp_path):
+    path = str(tmp_path / "parts")
+    sinks.replace(spark.sql("select id, id % 3 as p from range(9)"), path, by=["p"])
+    sinks.replace(spark.sql("select 100 as id, 1 as p"), path, by=["p"])
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [0, 2, 3, 5, 6, 8, 100]
+
+
+def test_rolled_files(spark, tmp_path):
+    path = str(tmp_path / "rolled")
+    df = spark.range(1000).repartition(1)
+    assert sinks.rolling(df, path, max_rows=300, prefix="x") == 4 and sinks.rolling(df, path, max_bytes=4000, prefix="x") == 2
+    assert sorted(p.name for p in (tmp_path / "rolled").glob("x_*")) == [f"x_{k:05d}.parquet" for k in range(1, 7)]
+    assert spark.read.parquet(path).count() == 2000
