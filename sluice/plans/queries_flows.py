@@ -404,13 +404,13 @@ def stream_cdc(spark, sf_dir):
 def chain_policy_halt(spark, sf_dir):
     """More than ten percent of the rows fail: dead letters are written, the run stops, and nothing reaches the destination."""
     source, letters, target = (shared_path(spark) for _ in range(3))
-    sinks.parquet(dirty(spark, sf_dir), source)
+    sinks.parquet(dirty(spark, sf_dir).withColumnRenamed("c_custkey", "id"), source)
     spec = {"sources": [{"type": "parquet", "path": source}], "contract": CONTRACT, "failure_policy": {"mode": "threshold", "run_percent": 10}, "dead_letters": letters}
     try:
         Pipeline(spec | {"destinations": [{"name": "clean", "path": target}]}).run(spark)
     except contracts.ContractViolation:
         found = files.parquet(spark, letters)
-        return found.select(F.get_json_object("row_payload", "$.c_custkey").cast("bigint").alias("c_custkey"), "error_trace", F.lit(exists(spark, target)).alias("written"))
+        return found.select(F.get_json_object("row_payload", "$.id").cast("bigint").alias("c_custkey"), "error_trace", F.lit(exists(spark, target)).alias("written"))
     raise AssertionError("the failure policy did not stop the run")
 
 
