@@ -36,7 +36,7 @@ P = len(SPREAD)
 LEAST_GROUP = 5 * P
 #: Concentration steps from every start, and of each round after; fall of the log determinant in a round below which a
 #: group has settled.
-STEPS, SETTLED = 2, 1e-3
+STEPS, SETTLED = 2, 1e-2
 #: Groups whose estimates, some 250 bytes each, are broadcast; more are joined by shuffles, which split hot groups.
 MOST_BROADCAST = 20_000
 #: Makes the covariance of the inner half of a normal sample of five parts consistent.
