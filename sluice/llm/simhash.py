@@ -14,7 +14,7 @@ keep_first links texts by the similarity of their shingle sets instead. Texts of
 their bits, too many for blocks that must agree. So fingerprints of 128 bits are filed under roots of sampled bits in as
 many tables as a pair of that similarity needs to share a root with probability RECALL; root bits grow with the
 logarithm of the texts, so roots hold few texts of no likeness. The index finds the candidates; of a text with many of
-them only the edges of a minimum spanning forest by differing bits and its nearest are kept. Only edges whose shingle sets
+them only the edges of a minimum spanning forest by differing bits are kept, its nearest one among them. Only edges whose shingle sets
 are similar enough are links.
 
 Defined results: a null or wordless text has fingerprint zero and links like any other, so such texts are copies of each
@@ -46,8 +46,8 @@ WORDS, RECALL, ROOM = 2, 0.9, 6
 RUN = 2048
 #: Members of a root up to which it is searched together with others.
 JOINT = 256
-#: Near ones of a member under a root up to which all are candidates; candidates of each member beyond, besides a forest.
-ALL, NEAREST = 128, 2
+#: Near ones of a member under a root up to which all are candidates; beyond, those that a spanning forest joins it to.
+ALL = 128
 #: Nearest candidates of each text that are verified first; others within a component known by then need no look.
 FIRST = 3
 #: Rows that are broadcast at most, of 16 bytes each; more are joined by a shuffle.
@@ -175,21 +175,9 @@ def spanning(members: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = unite(label, a[best], b[best])
 
 
-def shortest(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Which edges, given in order of their length, are among the first so many of one of their ends."""
-    node, edge = np.concatenate((a, b)), np.tile(np.arange(len(a)), 2)
-    order = np.lexsort((edge, node))
-    node, edge = node[order], edge[order]
-    first = np.r_[True, node[1:] != node[:-1]] if len(node) else np.zeros(0, bool)
-    rank = np.arange(len(node)) - np.maximum.accumulate(np.where(first, np.arange(len(node)), 0)) if len(node) else node
-    keep = np.zeros(len(a), bool)
-    keep[edge[rank < most]] = True
-    return keep
-
-
 def worth(index: GrayIndex, distance: int, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidate edges and their differing bits, the edges as places in the order given: all pairs within the distance of members with at most ALL such
-    partners; of the others a minimum spanning forest and the NEAREST edges of each member."""
+    partners; of the others a minimum spanning forest, which joins each member to its nearest."""
     found = [tuple(x[a < b] for x in (a, b, bits)) for a, b, bits in index.pairs(distance, roots)]
     a, b, bits = map(np.concatenate, zip(*found, strict=True))
     order = np.lexsort((b, a, bits))
@@ -197,7 +185,7 @@ def worth(index: GrayIndex, distance: int, roots: np.ndarray) -> tuple[np.ndarra
     near = np.bincount(np.concatenate((a, b)), minlength=len(index.order))
     keep = (near[a] <= ALL) & (near[b] <= ALL)
     large = np.flatnonzero(~keep)
-    keep[large] = spanning(len(index.order), a[large], b[large]) | shortest(a[large], b[large], NEAREST)
+    keep[large] = spanning(len(index.order), a[large], b[large])
     return index.order[a[keep]], index.order[b[keep]], bits[keep]
 
 
