@@ -42,6 +42,8 @@ FULL = (1 << 64) - 1
 #: 64-bit words of a fingerprint for shingle similarity; the share of pairs just at the similarity that meet under a root,
 #: of more similar ones more; and members of a root on average, as a power of two.
 WORDS, RECALL, ROOM = 2, 0.9, 6
+#: Tables at least: for few texts, whose roots have few bits, they cost little and leave hardly a pair apart.
+LEAST_TABLES = 24
 #: Members of one root that are searched together; a larger root is cut in Gray order, at other places in each table.
 RUN = 2048
 #: Members of a root up to which it is searched together with others.
@@ -323,7 +325,7 @@ def plan(texts: int, similarity: float) -> tuple[int, int, int]:
     # A pair with k differing bits shares a root whose bits all fall beside these.
     chance = [math.comb(n, k) * (1 - same) ** k * same ** (n - k) for k in range(n + 1)]
     meet = [math.comb(n - k, bits) / math.comb(n, bits) for k in range(n + 1)]
-    tables = 1
+    tables = LEAST_TABLES
     while sum(p * (1 - (1 - m) ** tables) for p, m in zip(chance, meet, strict=True)) < RECALL:
         tables += 1 + tables // 50
     return bits, tables, math.ceil(n * (1 - same) + 3 * math.sqrt(n * same * (1 - same)))
