@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, attribution, bpe, decontaminate, fingerprint, language, pii, quality, sharding, simhash, substrings, warc
+from . import alignment, attribution, bpe, conversations, decontaminate, fingerprint, language, pii, quality, sharding, simhash, substrings, warc
 from ._util import shared_dir
 from .oracles import SQL
 
@@ -76,13 +76,18 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of the damaged conversations and their cheapest repair."""
+    return conversations.report(table(spark, sf_dir, "conversations"))
+
+
 def op13_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Syncmer fingerprint of each document and of its edited text, and how alike it is to that and to the next document."""
     return fingerprint.report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_warc, op4_attribution, op5_substrings, op6_pii, op7_language, op8_simhash, op9_sharding, op10_bpe, op11_alignment, op13_syncmers)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_warc, op4_attribution, op5_substrings, op6_pii, op7_language, op8_simhash, op9_sharding, op10_bpe, op11_alignment, op12_conversations, op13_syncmers)}
 
 
 def oracle_sql() -> dict[str, str]:
