@@ -52,7 +52,8 @@ def least_of(value: Column, values: Column, at: list[Column]) -> Column:
 
 def inner(text: Column) -> Column:
     """Hashes of all inner substrings of a text of at least INNER code points."""
-    return bound(F.split(text, ""), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - INNER), lambda i: F.xxhash64(*[F.get(c, i + j) for j in range(INNER)])))
+    from_each = lambda c: F.transform(c, lambda x, i: F.xxhash64(x, *[F.get(c, i + j) for j in range(1, INNER)]))
+    return bound(F.split(text, ""), lambda c: F.slice(from_each(c), F.lit(1), F.size(c) - (INNER - 1)))
 
 
 def chosen(piece: Column) -> Column:
