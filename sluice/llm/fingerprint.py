@@ -3,7 +3,7 @@
 A k-mer (WIDTH code points) is chosen if its least inner substring (INNER code points, ordered by hash) lies at its
 start or its end. The choice depends on the k-mer alone, not on its surroundings, so equal passages have equal anchors
 wherever they stand, and the anchors of a text put together from parts are those of the parts and of the seams. Any
-SHORT consecutive code points hold an anchor. An anchor is a position and the 32-bit hash of its k-mer. A fingerprint lists the hashes of a text's anchors in their
+SHORT consecutive code points hold an anchor. An anchor is a position and the 32-bit hash of its k-mer, packed into one number (pos_of, hash_of). A fingerprint lists the hashes of a text's anchors in their
 order, repeats included; a text too short to be sure of one (SHORT) lists its inner substrings instead, or itself. The
 likeness of two fingerprints is the share of their hashes that can be paired with equal ones (Dice of bags).
 
@@ -57,17 +57,33 @@ def inner(text: Column) -> Column:
 
 
 def chosen(piece: Column) -> Column:
-    """Anchors (pos, hash) of one piece of at least WIDTH code points. A k-mer is hashed by inner substrings that cover it."""
-    first = lambda h: F.transform(h, lambda x, i: F.when(least_of(x, h, [i + j for j in range(1, SPAN)]), i))
-    last = lambda h: F.transform(h, lambda x, i: F.when(least_of(x, h, [i - j for j in range(1, SPAN)]), i - (SPAN - 1)))
-    places = lambda h: F.sort_array(F.array_distinct(F.array_compact(F.concat(first(h), last(h)))))
-    anchor = lambda h, i: F.struct(i.alias("pos"), F.hash(*[F.get(h, i + j) for j in range(0, SPAN, INNER)]).alias("hash"))
-    return bound(inner(piece), lambda h: F.transform(places(h), lambda i: anchor(h, i)))
+    """Anchors of one piece of at least WIDTH code points. A k-mer is hashed by inner substrings that cover it."""
+    edges = lambda h: F.slice(F.transform(h, lambda x, i: F.least(x, F.get(h, i + (SPAN - 1)))), F.lit(1), F.size(h) - (SPAN - 1))
+    hashed = lambda h, i: F.hash(*[F.get(h, i + j) for j in range(0, SPAN, INNER)])
+    taken = lambda h: F.transform(edges(h), lambda e, i: F.when(least_of(e, h, [i + j for j in range(1, SPAN - 1)]), packed(i, hashed(h, i))))
+    return bound(inner(piece), lambda h: F.array_compact(taken(h)))
+
+
+def packed(pos: Column, hashed: Column) -> Column:
+    """An anchor as one number: the position above the hash's 32 bits."""
+    return F.shiftleft(pos.cast("long"), 32).bitwiseOR(hashed.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def pos_of(anchor: Column) -> Column:
+    return F.shiftright(anchor, 32).cast("int")
+
+
+def hash_of(anchor: Column) -> Column:
+    return anchor.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def moved(found: Column, by: Column) -> Column:
+    """Anchors with their positions moved up."""
+    return F.transform(found, lambda a: a + F.shiftleft(by.cast("long"), 32))
 
 
 def anchors(text: Column) -> Column:
-    """Anchors (pos, hash) of the k-mers of a whole text, in order; none if no k-mer is chosen. Positions count from 0."""
-    moved = lambda found, by: F.transform(found, lambda a: F.struct((a["pos"] + by).cast("int").alias("pos"), a["hash"].alias("hash")))
+    """Anchors of the k-mers of a whole text, in order; none if no k-mer is chosen. Positions count from 0."""
     small = lambda large: F.flatten(F.transform(pieces(large, PIECE), lambda p, i: moved(chosen(p), i * PIECE)))
     long = F.flatten(F.transform(pieces(text, LARGE), lambda p, i: moved(small(p), i * LARGE)))
     return F.when(F.char_length(text) <= LARGE, small(text)).otherwise(long)
@@ -75,19 +91,19 @@ def anchors(text: Column) -> Column:
 
 def hashes(found: Column, text: Column) -> Column:
     """The hashes of a text's anchors in their order; of a short text those of its inner substrings, or its own."""
-    n, none = F.char_length(text), F.array().cast("array<int>")
-    short = F.when(n >= INNER, F.transform(inner(text), lambda h: F.hash(h))).when(n > 0, F.array(F.hash(text))).otherwise(none)
-    return F.when(n >= SHORT, found["hash"]).otherwise(short)
+    n, none = F.char_length(text), F.array().cast("array<bigint>")
+    short = F.when(n >= INNER, F.transform(inner(text), lambda h: hash_of(F.hash(h).cast("long")))).when(n > 0, F.array(hash_of(F.hash(text).cast("long")))).otherwise(none)
+    return F.when(n >= SHORT, F.transform(found, hash_of)).otherwise(short)
 
 
 def written(values: Column) -> Column:
     """A fingerprint as text: eight hexadecimal digits for each hash."""
-    return F.array_join(F.transform(values, lambda h: F.lower(F.lpad(F.hex(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), "")
+    return F.lower(F.array_join(F.transform(values, lambda h: F.lpad(F.hex(h), 8, "0")), ""))
 
 
 def common(a: Column, b: Column) -> Column:
     """Number of the hashes of two fingerprints that can be paired with an equal one of the other."""
-    sides = F.sort_array(F.concat(F.transform(a, lambda h: h.cast("long") * 2), F.transform(b, lambda h: h.cast("long") * 2 + 1)))
+    sides = F.sort_array(F.concat(F.transform(a, lambda h: h * 2), F.transform(b, lambda h: h * 2 + 1)))
     # Running over the sorted hashes: the last one, its occurrences in a that are still unpaired, pairs so far.
     start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).alias("open"), F.lit(0).alias("pairs"))
     same = lambda s, v: F.coalesce(s["last"] == F.shiftright(v, 1), F.lit(False))
@@ -108,11 +124,10 @@ def likeness(a: Column, b: Column) -> Column:
 def spliced(head: Column, tail: Column, found: Column, next_found: Column, n_head: Column, n_tail: Column) -> Column:
     """Anchors of head + tail, from those of two texts that begin with them; only the seam is looked at again."""
     seam = F.concat(F.right(head, F.lit(WIDTH - 1)), F.left(tail, F.lit(WIDTH - 1)))
-    kept = F.filter(found, lambda a: a["pos"] + WIDTH <= n_head)
+    kept = F.filter(found, lambda a: pos_of(a) + WIDTH <= n_head)
     at = F.greatest(F.lit(0), n_head - (WIDTH - 1))
-    crossing = F.when(F.char_length(seam) >= WIDTH, F.transform(chosen(seam), lambda a: F.struct((a["pos"] + at).cast("int").alias("pos"), a["hash"].alias("hash")))).otherwise(F.slice(found, 1, 0))
-    after = F.transform(F.filter(next_found, lambda a: a["pos"] + WIDTH <= n_tail), lambda a: F.struct((a["pos"] + n_head).cast("int").alias("pos"), a["hash"].alias("hash")))
-    return F.concat(kept, crossing, after)
+    crossing = F.when(F.char_length(seam) >= WIDTH, moved(chosen(seam), at)).otherwise(F.array().cast("array<bigint>"))
+    return F.concat(kept, crossing, moved(F.filter(next_found, lambda a: pos_of(a) + WIDTH <= n_tail), n_head))
 
 
 def ranges(ids: DataFrame, many: int) -> list[int]:
@@ -148,11 +163,13 @@ def followed(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -
     upper = F.struct(F.when(top, 0).otherwise(own + 1).alias("range"), F.when(top, 2).otherwise(1).alias("guest"))
     edge = F.coalesce(F.get(F.lit(bounds).cast("array<long>"), own) == F.col("id"), F.lit(False))
     dealt = rows.select("id", "body", F.explode(F.when(edge, F.array(to, upper)).otherwise(F.array(to))).alias("to"))
-    dealt = dealt.select("id", "body", "to.range", "to.guest").repartition(many, "range")
-    dealt = dealt.withColumn("found", anchors(F.col("body")))
-    order = Window.partitionBy("range").orderBy((F.col("guest") == 2).asc(), F.col("id").desc_nulls_last(), "body")
+    # Sorted before the anchors are there, so that only texts are sorted; the window takes that order.
+    order = [F.col("last").asc(), F.col("id").desc_nulls_last(), F.col("body").asc()]
+    dealt = dealt.select("id", "body", "to.range", "to.guest", (F.col("to.guest") == 2).alias("last"))
+    dealt = dealt.repartition(many, "range").sortWithinPartitions("range", *order).withColumn("found", anchors(F.col("body")))
+    order = Window.partitionBy("range").orderBy(*order)
     follow = F.lead(F.struct("body", "found")).over(order)
-    return dealt.withColumn("next", follow).where(F.col("guest") == 0).select("id", "body", "found", F.coalesce("next.body", F.lit("")).alias("next_body"), F.coalesce("next.found", F.slice("found", 1, 0)).alias("next_found"))
+    return dealt.withColumn("next", follow).where(F.col("guest") == 0).select("id", "body", "found", F.coalesce("next.body", F.lit("")).alias("next_body"), F.coalesce("next.found", F.array().cast("array<bigint>")).alias("next_found"))
 
 
 def report(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -33,11 +33,11 @@ def test_anchors_are_those_of_the_definition(spark, odd, monkeypatch, piece, lar
     monkeypatch.setattr(fp, "LARGE", large)
     texts = [r.text[:3000] for r in odd.where("text is not null").select("text").collect()] + ["é😀" * 40, "ab" * 30, "a" * 19, "a" * 20, "the quick brown fox jumps over the lazy dog " * 5]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
-    for r in df.select("t", fp.anchors(F.col("t")).alias("found")).collect():
+    for r in df.select("t", F.transform(fp.anchors(F.col("t")), lambda a: F.struct(fp.pos_of(a).alias("pos"), fp.hash_of(a).alias("hash"))).alias("found")).collect():
         assert [a.pos for a in r.found] == by_definition(r.t), r.t[:50]
     # A hash tells the k-mer, whatever stands around it.
     known: dict = {}
-    for r in df.select("t", fp.anchors(F.col("t")).alias("found")).collect():
+    for r in df.select("t", F.transform(fp.anchors(F.col("t")), lambda a: F.struct(fp.pos_of(a).alias("pos"), fp.hash_of(a).alias("hash"))).alias("found")).collect():
         for a in r.found:
             assert known.setdefault(a.hash, r.t[a.pos : a.pos + fp.WIDTH]) == r.t[a.pos : a.pos + fp.WIDTH]
 
