@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,10 @@ from .bpe import byte_alphabet
 
 #: Ids fit in so many bits, and so do the rows of a batch.
 ID_BITS = 20
-#: Pairs of ids that a task forms at a time.
-PAIRS = 1 << 20
+#: Pairs of ids that a task forms at a time, and bytes of texts that it aligns at a time.
+PAIRS, CHUNK = 1 << 20, 512 << 10
+#: Fixed value: the pattern by which byte-level vocabularies of this kind split texts.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Counted pairs, some 40 bytes each, that are broadcast at most.
 MOST_BROADCAST = 1 << 20
 
@@ -43,22 +45,40 @@ class Encoders:
 
     def __init__(self, first: str, second: bytes):
         import sentencepiece
-        import tokenizers
 
-        self.first = tokenizers.Tokenizer.from_str(first)
-        self.first.encode_special_tokens = True
-        self.first.no_truncation()
-        self.first.no_padding()
         self.second = sentencepiece.SentencePieceProcessor(model_proto=second)
         alphabet, spec = byte_alphabet(), json.loads(first)
-        special = {x["content"] for x in spec["added_tokens"]}
-        self.texts = [b""] * (1 + max(self.first.get_vocab().values()))
-        for token, i in self.first.get_vocab().items():
-            self.texts[i] = token.encode() if token in special else bytes(map(alphabet.__getitem__, token))
+        special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        ranks = {bytes(map(alphabet.__getitem__, token)): i for token, i in spec["model"]["vocab"].items() if token not in special}
+        self.first = self._ranked(ranks, spec["model"]["merges"], alphabet) or self._general(first)
+        self.texts = [b""] * (1 + max([*ranks.values(), *special.values()]))
+        for token, i in [*ranks.items(), *((t.encode(), i) for t, i in special.items())]:
+            self.texts[i] = token
         self.pieces = [self._piece(self.second.id_to_piece(i)) for i in range(self.second.get_piece_size())]
         self.sizes = [np.array([len(x) for x in side], np.int64) for side in (self.texts, self.pieces)]
         self.decimal = np.array([str(i) for i in range(max(len(self.texts), len(self.pieces)))], object)
 
+    @staticmethod
+    def _ranked(ranks: dict[bytes, int], merges: list, alphabet: dict[str, int]) -> Callable[[list[str]], list[list[int]]] | None:
+        """The encoder that goes by the ids of merged tokens, three times as fast; only where ids follow the order of the merges."""
+        import tiktoken
+
+        whole = [bytes(map(alphabet.__getitem__, "".join(m) if isinstance(m, list) else m.replace(" ", ""))) for m in merges]
+        if [ranks.get(x) for x in whole] != [*range(256, 256 + len(whole))] or len(ranks) != 256 + len(whole):
+            return None
+        found = tiktoken.Encoding("first", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [found.encode_ordinary(t) for t in texts]
+
+    @staticmethod
+    def _general(spec: str) -> Callable[[list[str]], list[list[int]]]:
+        import tokenizers
+
+        found = tokenizers.Tokenizer.from_str(spec)
+        found.encode_special_tokens = True
+        found.no_truncation()
+        found.no_padding()
+        return lambda texts: [x.ids for x in found.encode_batch_fast(texts, add_special_tokens=False)]
+
     @staticmethod
     def _piece(piece: str) -> bytes:
         byte = re.fullmatch(r"<0x([0-9A-F]{2})>", piece)
@@ -67,7 +87,7 @@ class Encoders:
     def encode(self, texts: list[bytes | None]) -> list[tuple[list[int], list[int]]]:
         """Ids of each text by both; none where the bytes do not come back."""
         plain = [(t or b"").decode() for t in texts]
-        first = [x.ids for x in self.first.encode_batch_fast([" " + t for t in plain], add_special_tokens=False)]
+        first = self.first([" " + t for t in plain])
         second = self.second.encode(plain, num_threads=1)
         out = []
         for t, a, b in zip(texts, first, second, strict=True):
@@ -105,6 +125,16 @@ def coalesced(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return group
 
 
+def in_chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch (doc_id, text) in slices of some CHUNK bytes of text, a longer text alone."""
+    ends = np.cumsum([len(t or b"") for t in as_bytes(batch.column(1))])
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 class Aligned:
     """The tokens of a batch of texts: row, id, side (0 or 1), bytes and group of each, by group, side and place."""
 
@@ -174,7 +204,7 @@ def groups(docs: DataFrame, first: str, second: str, doc_col: str = "doc_id", te
     files, narrow = shared(docs.sparkSession, first, second), docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in in_chunks(whole)):
             found = Aligned(worker(files), as_bytes(batch.column(1)))
             heads = found.heads()
             if not len(heads):
@@ -196,7 +226,7 @@ def linked(docs: DataFrame, first: str, second: str, doc_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in (x for whole in batches for x in in_chunks(whole)):
             encoders, n = worker(files), batch.num_rows
             found = Aligned(encoders, as_bytes(batch.column(1)))
             row, a, b, links = found.links()

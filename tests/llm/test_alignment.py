@@ -68,6 +68,7 @@ EXTRA = ["<|endoftext|> and <s> are plain text </s>", "a▁b", "  two  spaces ",
 @pytest.mark.parametrize("broadcast", [alignment.MOST_BROADCAST, 0])
 def test_report_against_brute_force(spark, odd, documents, monkeypatch, broadcast):
     monkeypatch.setattr(alignment, "MOST_BROADCAST", broadcast)
+    monkeypatch.setattr(alignment, "CHUNK", 2000 if broadcast else alignment.CHUNK)
     extra = spark.createDataFrame(list(enumerate(EXTRA)), "doc_id long, text string")
     docs = odd.select("doc_id", "text").unionByName(extra).unionByName(documents.select("doc_id", "text"))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
@@ -75,6 +76,13 @@ def test_report_against_brute_force(spark, odd, documents, monkeypatch, broadcas
     assert sorted(got, key=str) == sorted(by_hand(rows), key=str)
 
 
+def test_both_encoders_agree(documents):
+    files = open(A, encoding="utf-8").read(), open(B, "rb").read()
+    texts = [" " + (r.text or "") for r in documents.limit(100).collect()] + [" " + t for t in EXTRA]
+    encoders = alignment.Encoders(*files)
+    assert encoders.first(texts) == alignment.Encoders._general(files[0])(texts)
+
+
 def test_pairs_in_parts(spark, documents, monkeypatch):
     texts = [(r.text or "").encode() for r in documents.limit(60).collect()]
     encoders = alignment.Encoders(open(A, encoding="utf-8").read(), open(B, "rb").read())
