@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -36,6 +37,39 @@ def removed(spark: SparkSession, path: str) -> bool:
     return files.delete(at, True)
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as text."""
+    files, at = _files(spark, path)
+    stream = files.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file whole or not at all; False if there is one of that name, which then stays.
+
+    A rename that does not overwrite decides between writers. It is atomic in HDFS and the stores that implement it so; a local
+    file system checks first and renames then.
+    """
+    files, at = _files(spark, path)
+    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    stream = files.create(draft, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(draft, at, options)
+    except Py4JJavaError as e:
+        files.delete(draft, False)
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
 def moved(spark: SparkSession, source: str, target: str) -> bool:
     files, at = _files(spark, source)
     return files.rename(at, _files(spark, target)[1])

@@ -33,16 +33,19 @@ def run_summary(log: DataFrame, job: str, time: str, rows: Column) -> DataFrame:
 def history(log: DataFrame, time: str, value: str, step: str) -> DataFrame:
     """Count, mean, 95th percentile (interpolated) and peak of a value for each interval of time.
 
-    Rows are added up by interval and value first; the percentile is read off running counts over sorted values, which
-    can spill, so no interval's values are held at once.
+    For the percentile rows are added up by interval and value first, and it is read off running counts over sorted
+    values, which can spill, so no interval's values are held at once. The mean is that of the rows: sums by value round
+    otherwise where it lies halfway.
     """
-    counts = log.groupBy(F.window(F.col(time), step)["start"].alias("start"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    by, known = Window.partitionBy("start"), F.when(F.col("v").isNotNull(), F.col("c")).otherwise(0)
-    runs = counts.withColumn("upto", F.sum(known).over(by.orderBy(F.col("v").asc_nulls_first()))).withColumn("at", 0.95 * (F.sum(known).over(by) - 1))
-    low, high = (F.min(F.when((F.col("upto") > f("at")) & F.col("v").isNotNull(), F.col("v"))) for f in (F.floor, F.ceil))
+    start = F.window(F.col(time), step)["start"].alias("start")
+    plain = log.groupBy(start).agg(F.count("*").alias("n"), F.round(F.avg(value), 4).alias("mean"), F.max(value).alias("peak"))
+    counts = log.where(F.col(value).isNotNull()).groupBy(start, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    by = Window.partitionBy("start")
+    runs = counts.withColumn("upto", F.sum("c").over(by.orderBy("v"))).withColumn("at", 0.95 * (F.sum("c").over(by) - 1))
+    low, high = (F.min(F.when(F.col("upto") > f("at"), F.col("v"))) for f in (F.floor, F.ceil))
     p95 = low + (high - low) * (F.max("at") - F.floor(F.max("at")))
-    mean = F.sum(F.col("v") * F.col("c")) / F.sum(known)
-    return runs.groupBy("start").agg(F.sum("c").alias("n"), F.round(mean, 4).alias("mean"), F.round(p95, 4).alias("p95"), F.max("v").alias("peak"))
+    found = runs.groupBy("start").agg(F.round(p95, 4).alias("p95")).withColumnRenamed("start", "s")
+    return plain.join(found, F.col("start") == F.col("s"), "left").select("start", "n", "mean", "p95", "peak")
 
 
 def illegal_steps(log: DataFrame, job: str, state: str, order: list[str], allowed: list[tuple[str, str]]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import json
 import signal
 from collections.abc import Callable, Iterator
@@ -19,6 +20,15 @@ def compiled(code: str) -> tuple[Callable, str]:
     """The function of a script and its flavour, by its name; raises SyntaxError or ValueError."""
     names: dict = {}
     exec(compile(code, "<script>", "exec"), names)
+    return chosen(names)
+
+
+def imported(module: str) -> tuple[Callable, str]:
+    """The function of a module that the driver and the executors can import, and its flavour."""
+    return chosen(vars(importlib.import_module(module)))
+
+
+def chosen(names: dict) -> tuple[Callable, str]:
     for name, flavour in (("transform_df", "pandas"), ("transform_polars", "polars"), ("transform_records", "records"), ("transform", "arrow")):
         if callable(names.get(name)):
             return names[name], flavour

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.functions.scratch import exists, shared_path
+from sluice.functions.scratch import exists, listed, moved, shared_path
 from sluice.operators import changes, contracts, enrich, merge, planning, rows, runlog, scripts
 from sluice.plans.pipeline import Pipeline
-from sluice.sources import files, sinks
+from sluice.sources import files, messages, registry, sinks
 from sluice.sources.versioned import VersionedTable
 from sluice.streaming import stream
 
@@ -358,7 +358,7 @@ def stream_pipeline(spark, sf_dir):
     chain = Pipeline({"contract": {"allowed_values": {"event_type": ["click", "view", "purchase"]}}, "rules": [{"field": "value", "operator": ">", "value": 20}], "steps": [{"type": "drop", "columns": ["event_type"]}]})
     out = shared_path(spark)
     stream.run_chain(_events_stream(spark, sf_dir), chain, out, shared_path(spark), shared_path(spark)).awaitTermination()
-    return spark.read.parquet(out).drop("batch")
+    return spark.read.parquet(out).drop("app", "batch")
 
 
 @query("SELECT count(*) AS input_rows, 3 AS batches FROM events")
@@ -385,18 +385,92 @@ UNION ALL SELECT event_id, value + 1, 'UPDATE' FROM events WHERE event_id % 3 =
 UNION ALL SELECT event_id + 1000000000, value, 'INSERT' FROM events WHERE event_id % 10 = 0""")
 def stream_cdc(spark, sf_dir):
     """New rows, then after a restart changed, unchanged and more new ones."""
-    source, state, out, checkpoint = (shared_path(spark) for _ in range(4))
+    source, out, checkpoint = (shared_path(spark) for _ in range(3))
     once = table(spark, sf_dir, "events").select("event_id", "value")
     later = once.filter("event_id % 3 = 0").withColumn("value", F.col("value") + 1)
     later = later.unionByName(once.filter("event_id % 3 = 1")).unionByName(once.filter("event_id % 10 = 0").withColumn("event_id", F.col("event_id") + 1_000_000_000))
     for rows_in in (once, later):
         rows_in.repartition(2, "event_id").write.mode("append").parquet(source)
-        kept = VersionedTable(spark, state, T._parse_datatype_string("event_id long, _hash string"))
         incoming = stream.available(spark, source, once.schema, files_per_batch=1)
-        stream.detect_changes(incoming, kept, out, ["event_id"], checkpoint).awaitTermination()
+        stream.detect_changes(incoming, out, ["event_id"], checkpoint).awaitTermination()
     return spark.read.parquet(out).select("event_id", "value", F.col(merge.OP).alias("op"))
 
 
+@query("""SELECT event_id, value, 'INSERT' AS op FROM events
+UNION ALL SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value + 1 END, CASE WHEN event_id % 3 = 0 THEN 'UPDATE' ELSE 'DELETE' END FROM events WHERE event_id % 3 <> 1
+UNION ALL SELECT event_id, value, 'INSERT' FROM events WHERE event_id % 3 = 2
+UNION ALL SELECT event_id, NULL, 'DELETE' FROM events WHERE event_id % 3 <> 2""")
+def stream_cdc_snapshots(spark, sf_dir):
+    """Three snapshots over restarts, each ended by a mark: the second changes a third and lacks a third, the third holds the lacking ones only."""
+    source, out, checkpoint = (shared_path(spark) for _ in range(3))
+    once = table(spark, sf_dir, "events").select("event_id", "value")
+    second = once.filter("event_id % 3 <> 2").withColumn("value", F.expr("if(event_id % 3 = 0, value + 1, value)"))
+    for number, snapshot in enumerate((once, second, once.filter("event_id % 3 = 2")), 1):
+        rows_in = snapshot.withColumns({"snap": F.lit(number), "last": F.lit(False)})
+        mark = spark.createDataFrame([(None, None, number, True)], rows_in.schema)
+        rows_in.repartition(2, "event_id").write.mode("append").parquet(source)
+        incoming = stream.available(spark, source, rows_in.schema, files_per_batch=1)
+        stream.detect_changes(incoming, out, ["event_id"], checkpoint, snapshot="snap", ends="last").awaitTermination()
+        mark.write.mode("append").parquet(source)
+        stream.detect_changes(incoming, out, ["event_id"], checkpoint, snapshot="snap", ends="last").awaitTermination()
+    return spark.read.parquet(out).select("event_id", "value", F.col(merge.OP).alias("op"))
+
+
+@query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id UNION ALL SELECT -1 - n_nationkey, n_nationkey FROM nation UNION ALL SELECT 1000000000 + r_regionkey, r_regionkey FROM region")
+def stream_two_checkpoints(spark, sf_dir):
+    """A stream, a second one and then a new checkpoint merge into one table; none loses the others' rows."""
+    root, first, second = (shared_path(spark) for _ in range(3))
+    events = table(spark, sf_dir, "events").select("user_id", "event_id")
+    nations = table(spark, sf_dir, "nation").select((-1 - F.col("n_nationkey")).cast("long").alias("user_id"), F.col("n_nationkey").cast("long").alias("event_id"))
+    regions = table(spark, sf_dir, "region").select((F.lit(1_000_000_000) + F.col("r_regionkey")).cast("long").alias("user_id"), F.col("r_regionkey").cast("long").alias("event_id"))
+    kept = VersionedTable(spark, root, events.schema, ["user_id"])
+    sources = {name: shared_path(spark) for name in ("events", "nations", "regions")}
+    for name, df, checkpoint in (("events", events.filter("event_id % 2 = 0"), first), ("nations", nations, second), ("events", events, first), ("regions", regions, shared_path(spark))):
+        df.repartition(2).write.mode("append").parquet(sources[name])
+        incoming = stream.available(spark, sources[name], events.schema, files_per_batch=1)
+        stream.merge_stream(incoming, kept, ["user_id"], ["event_id"], checkpoint).awaitTermination()
+    return kept.read()
+
+
+@query("""SELECT c_custkey AS id, 'contract' AS step FROM customer WHERE c_acctbal < 0
+UNION ALL SELECT c_custkey, 'cast' FROM customer WHERE c_acctbal >= 0 AND c_custkey % 5 = 0
+UNION ALL SELECT c_custkey, 'script' FROM customer WHERE c_acctbal >= 0 AND c_custkey % 5 <> 0 AND c_custkey % 7 = 0
+UNION ALL SELECT c_custkey, 'good' FROM customer WHERE c_acctbal >= 0 AND c_custkey % 5 <> 0 AND c_custkey % 7 <> 0""")
+def stream_all_letters(spark, sf_dir):
+    """Rows that the contract, a cast or a script refuses in a stream: each is a dead letter, and the others reach the target."""
+    source, out, letters = (shared_path(spark) for _ in range(3))
+    df = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_acctbal").alias("balance"), F.expr("if(c_custkey % 5 = 0, 'none', cast(c_custkey as string))").alias("code"))
+    df.repartition(3, "id").write.parquet(source)
+    code = "def transform_records(rows):\n    return [dict(r, code=r['code'] // (r['id'] % 7) * 0 + r['code']) for r in rows]\n"
+    steps = [{"type": "cast", "column": "code", "target_type": "long"}, {"type": "script", "code": code, "schema": "id long, balance double, code long"}]
+    chain = Pipeline({"contract": {"min_value": {"balance": 0}}, "steps": steps})
+    stream.run_chain(stream.available(spark, source, df.schema, files_per_batch=1), chain, out, letters, shared_path(spark)).awaitTermination()
+    error = F.col("error_trace")
+    step = F.when(error.startswith("DataQualityViolation"), "contract").when(error.contains("cannot cast"), "cast").otherwise("script")
+    dead = spark.read.parquet(letters).select(F.get_json_object("row_payload", "$.id").cast("long").alias("id"), step.alias("step"))
+    return dead.unionByName(spark.read.parquet(out).select("id", F.lit("good").alias("step")))
+
+
+@query("SELECT event_id, event_type, value, 1 AS times FROM events")
+def stream_late_files(spark, sf_dir):
+    """Files that sort before those already read come late, over a restart; each message is delivered once."""
+    from pathlib import PurePosixPath
+
+    source, out, checkpoint, staged = (shared_path(spark) for _ in range(4))
+    told = messages.publishable(table(spark, sf_dir, "events").select("event_id", "event_type", "value")).select("value")
+    told.withColumn("part", F.pmod(F.hash("value"), F.lit(3))).repartition(6).write.partitionBy("part").text(staged)
+    for part, mark in ((0, "m"), (1, "a"), (2, "g")):
+        spark.createDataFrame([], "value string").write.mode("append").text(source)
+        for name in (n for n in listed(spark, f"{staged}/part={part}") if n.startswith("part-")):
+            moved(spark, f"{staged}/part={part}/{name}", f"{source}/{mark}-{PurePosixPath(name).name}")
+        lines = messages.stream(spark, registry.resolve(spark, "files"), path=source, files_per_batch="2")
+        parsed = messages.parse(lines, "event_id long, event_type string, value double")
+        run = parsed.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start()
+        run.processAllAvailable()
+        run.stop()
+    return spark.read.parquet(out).groupBy("event_id", "event_type", "value").agg(F.count("*").cast("int").alias("times"))
+
+
 # The chain from source to sink
 
 

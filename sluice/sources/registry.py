@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import SparkSession
 
-ALIASES = {"csv": "csv", "parquet": "parquet", "json": "json", "jdbc": "jdbc", "kafka": "kafka", "zip": "zipcsv", "files": "filemessages"}
+ALIASES = {"csv": "csv", "parquet": "parquet", "json": "json", "jdbc": "jdbc", "kafka": "kafka", "zip": "zipcsv", "files": "filemessages", "rolling": "rollingfiles", "groups": "messagegroups"}
 _classes: dict[str, type] = {}
 
 
@@ -30,3 +30,5 @@ def resolve(spark: SparkSession, alias: str) -> str:
 
 register("zip", "sluice.sources.zipcsv:ZipCsv")
 register("files", "sluice.sources.plugin_stream:FileMessages")
+register("rolling", "sluice.sources.rollwriter:RollingFiles")
+register("groups", "sluice.sources.rollwriter:MessageGroups")

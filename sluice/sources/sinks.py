@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.functions.scratch import listed, moved, removed
+from sluice.functions.scratch import exists, listed, moved, removed
 
-from . import jdbc
+from . import jdbc, messages, registry, rollwriter
 
 
 def csv(df: DataFrame, path: str, mode: str = "append", **options) -> None:
@@ -27,72 +27,112 @@ def append(df: DataFrame, path: str, format: str = "parquet") -> None:
 
 
 def replace(df: DataFrame, path: str, format: str = "parquet", by: list[str] = ()) -> None:
-    """All of a folder, or with partition columns only those partitions that the rows touch."""
-    writer = df.write.format(format).mode("overwrite")
-    writer = writer.partitionBy(*by).option("partitionOverwriteMode", "dynamic") if by else writer
-    writer.save(path)
+    """All of a folder, or with partition columns only those partitions that the rows touch.
+
+    A whole folder is written beside the old one, which is moved aside and removed only once the new one is in its place,
+    so rows may come from the folder itself, and a run that fails leaves the old rows. Should the two moves be cut short, the
+    next replace, or recover, puts the old folder back.
+    """
+    if by:
+        df.write.format(format).mode("overwrite").partitionBy(*by).option("partitionOverwriteMode", "dynamic").save(path)
+        return
+    spark, (above, name) = df.sparkSession, path.rstrip("/").rsplit("/", 1)
+    recover(spark, path)
+    staged, old = f"{above}/_staged-{name}-{uuid.uuid4().hex}", f"{above}/_old-{name}"
+    try:
+        df.write.format(format).save(staged)
+    except BaseException:
+        removed(spark, staged)
+        raise
+    if exists(spark, path):
+        moved(spark, path, old)
+    if not moved(spark, staged, path):
+        raise OSError(f"{staged} could not take the place of {path}")
+    removed(spark, old)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """After a replace that was cut short: put the old folder back if no new one is in its place, else remove it."""
+    above, name = path.rstrip("/").rsplit("/", 1)
+    old = f"{above}/_old-{name}"
+    if exists(spark, old):
+        if exists(spark, path):
+            removed(spark, old)
+        else:
+            moved(spark, old, path)
 
 
 def rolling(df: DataFrame, path: str, format: str = "parquet", max_rows: int = 100_000, max_bytes: int = 100 << 20, prefix: str = "part", partitions: int | None = None) -> int:
-    """Files prefix_00001 and so on of at most max_rows rows, and of no more rows than hold max_bytes of values on average.
+    """Files prefix_00001 and so on of at most max_rows rows and of max_bytes of values, which a single larger row can pass.
 
-    Spark writes and commits the files beside the target; renaming them there is the driver's, one call a file. Numbers
-    go on after those that exist. Returns the number of new files.
+    The rows are evaluated once. Tasks roll their files by running bytes; numbers go on after those that exist. Returns the
+    number of new files.
     """
-    from sluice.operators.planning import row_bytes
-
     spark = df.sparkSession
-    mean = df.agg(F.avg(row_bytes(df))).first()[0] or 1.0
-    staged, df = f"{path.rstrip('/')}/_staged-{uuid.uuid4().hex}", df.repartition(partitions) if partitions else df
-    df.write.option("maxRecordsPerFile", max(1, min(max_rows, int(max_bytes / mean)))).format(format).save(staged)
-    found = [re.fullmatch(rf"{re.escape(prefix)}_([0-9]+)\..*", n) for n in listed(spark, path)]
-    number = max((int(m[1]) for m in found if m), default=0)
-    names = sorted(n for n in listed(spark, staged) if n.startswith("part-"))
-    for k, name in enumerate(names, number + 1):
-        moved(spark, f"{staged}/{name}", f"{path.rstrip('/')}/{prefix}_{k:05d}.{format}")
-    removed(spark, staged)
-    return len(names)
+    rows = df.repartition(partitions) if partitions else df
+    options = {"path": path, "format": format, "prefix": prefix, "max_rows": str(max_rows), "max_bytes": str(max_bytes)}
+    rows.write.format(registry.resolve(spark, "rolling")).options(**options).mode("append").save()
+    return rollwriter.finish(spark, path).count()
 
 
 #: What a destination may do with rows: names of its modes.
 MODES = ("append", "replace", "upsert", "delete", "apply_changes")
 
 
-def keyed(df: DataFrame, path: str, mode: str, keys: list[str], order: list[str]) -> None:
-    """Upsert rows into a versioned table, delete their keys from it, or apply them as a change feed."""
+def keyed(df: DataFrame, path: str, mode: str, keys: list[str], order: list[str], buckets: int = 32, app: str | None = None, batch: int | None = None) -> None:
+    """Upsert rows into a versioned table, delete their keys from it, or apply them as a change feed; only buckets of their keys are rewritten."""
     from sluice.operators import merge
     from sluice.sources.versioned import VersionedTable
 
-    table = VersionedTable(df.sparkSession, path)
-    if not table.versions():
-        table.write(merge.strip_metadata(df).limit(0))
-    before = table.read()
+    table = VersionedTable(df.sparkSession, path, merge.strip_metadata(df).schema, keys, buckets)
     if mode == "upsert":
-        after = merge.upsert(before, merge.strip_metadata(df), keys, order)
+        table.merge(merge.strip_metadata(df), lambda before, rows: merge.upsert(before, rows, keys, order), app, batch)
     elif mode == "delete":
-        after = merge.delete(before, df, keys)
+        table.merge(df, lambda before, rows: merge.delete(before, rows, keys), app, batch)
     else:
-        after = merge.apply_changes(before, df, keys, order or [merge.SEQ])
-    table.write(after)
+        table.merge(df, lambda before, rows: merge.apply_changes(before, rows, keys, order or [merge.SEQ]), app, batch)
 
 
-def load(df: DataFrame, destination: dict) -> None:
-    """Write the rows that meet a destination's condition, in its mode: to files, a versioned table by keys, or a database."""
+def load(df: DataFrame, destination: dict, app: str | None = None, batch: int | None = None) -> None:
+    """Write the rows that meet a destination's condition, in its mode: to files, a versioned table by keys, a broker or a database.
+
+    `nested` folds child rows into documents first. app and batch name a stream's micro-batch, which a versioned table takes once.
+    """
     rows = df.filter(F.coalesce(condition(destination.get("condition")), F.lit(False)))
     mode, format = destination.get("mode", "append"), destination.get("format", "parquet")
     keys = destination.get("match_keys", [])
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode} of destination {destination.get('name')}; known are {', '.join(MODES)}")
+    rows = folded(rows, destination["nested"]) if "nested" in destination else rows
     if "url" in destination:
         if mode != "append":
             raise ValueError("a database takes rows by append; merge them before")
-        jdbc.append(rows, destination["url"], destination["table"])
+        jdbc.append(rows, destination["url"], destination["table"], **destination.get("options", {}))
+    elif "publish" in destination:
+        told = destination["publish"]
+        published = messages.publishable(rows, told.get("key"))
+        published.write.format(registry.resolve(df.sparkSession, told["format"])).options(**told.get("options", {})).mode("append").save()
+    elif "rolling" in destination:
+        rolling(rows, destination["path"], format, **destination["rolling"])
+    elif mode == "append" and format == "csv":
+        csv(rows, destination["path"], **destination.get("options", {}))
     elif mode in ("append", "replace"):
         {"append": append, "replace": replace}[mode](rows, destination["path"], format)
     elif not keys:
         raise ValueError(f"mode {mode} needs match_keys")
     else:
-        keyed(rows, destination["path"], mode, keys, destination.get("order", []))
+        keyed(rows, destination["path"], mode, keys, destination.get("order", []), destination.get("buckets", 32), app, batch)
+
+
+def folded(rows: DataFrame, spec: dict) -> DataFrame:
+    """Documents from the rows of two sources: those of `parent` with those of `child` as an ordered list in `target`.
+
+    parent_columns and child_columns name what each brings; key joins them.
+    """
+    from sluice.operators.enrich import consolidate
+
+    of = lambda source, columns: rows.where(F.col("_source") == source).select(*columns)
+    return consolidate(of(spec["parent"], spec["parent_columns"]), of(spec["child"], spec["child_columns"]), spec["key"], spec["target"], spec["order"])
 
 
 def condition(text: str | None) -> Column:
@@ -106,7 +146,7 @@ def routed(df: DataFrame, destinations: dict[str, str | None]) -> DataFrame:
     return df.withColumn("destination", F.explode(names))
 
 
-def fan_out(df: DataFrame, destinations: list[dict]) -> None:
+def fan_out(df: DataFrame, destinations: list[dict], app: str | None = None, batch: int | None = None) -> None:
     """Load the rows into each destination that they are meant for. The frame is read once for each, so hand in a stored one."""
     for destination in destinations:
-        load(df, destination)
+        load(df, destination, app, batch)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from sluice.functions.scratch import read_text
 from sluice.operators import changes, merge
-from sluice.operators.rows import latest_per_key
 from sluice.plans.pipeline import Pipeline
 from sluice.sources import sinks
 from sluice.sources.versioned import VersionedTable
@@ -20,20 +24,36 @@ def available(spark: SparkSession, path: str, schema, files_per_batch: int | Non
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).load(path)
 
 
-def each_batch(stream: DataFrame, action: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def each_batch(stream: DataFrame, action: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Run an action on each micro-batch until all that is available is done."""
-    return stream.writeStream.foreachBatch(action).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode(mode).foreachBatch(action).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_chain(stream: DataFrame, pipeline: Pipeline, target: str, letters: str, checkpoint: str) -> StreamingQuery:
-    """The batch chain on every micro-batch. A batch writes to a folder of its own, so a repeated batch replaces itself."""
+def application(spark: SparkSession, checkpoint: str) -> str:
+    """The identity of a stream: the one that Spark keeps in its checkpoint, so a new checkpoint is another stream."""
+    return json.loads(read_text(spark, f"{checkpoint.rstrip('/')}/metadata"))["id"]
 
-    def action(batch: DataFrame, number: int) -> None:
-        from sluice.operators.contracts import violation_letters
 
-        result = pipeline.apply(batch)
-        sinks.replace(result.good, f"{target}/batch={number}")
-        sinks.replace(violation_letters(result.violations, pipeline.spec.get("job_id", "job")), f"{letters}/batch={number}")
+def run_chain(stream: DataFrame, pipeline: Pipeline, target: str | None, letters: str, checkpoint: str) -> StreamingQuery:
+    """The batch chain on every micro-batch: dead letters of every step, failure policy, then destinations.
+
+    Rows go to target, one folder for each stream and batch, and to the specification's destinations. A repeated batch
+    replaces its folders; a destination in a mode of versioned tables skips a batch that its ledger holds; one by append or
+    to a database can get a batch again if the run ended between its write and the checkpoint. A breach of the policy stops
+    the stream after the batch's dead letters are written. Progress rows go where the specification says.
+    """
+    spark, spec = stream.sparkSession, pipeline.spec
+
+    def action(batch: DataFrame, number: int) -> None:
+        app = application(spark, checkpoint)
+        result, rejected = pipeline.applied(batch)
+        if target:
+            sinks.replace(result.good, f"{target}/app={app}/batch={number}")
+        sinks.replace(rejected, f"{letters}/app={app}/batch={number}")
+        pipeline.enforce(result, rejected)
+        sinks.fan_out(result.good, spec.get("destinations", []), app, number)
+        if "progress" in spec:
+            sinks.replace(result.progress(number), f"{spec['progress']}/app={app}/batch={number}")
 
     return each_batch(stream, action, checkpoint)
 
@@ -49,29 +69,113 @@ def progress(query: StreamingQuery) -> DataFrame:
 def merge_stream(stream: DataFrame, table: VersionedTable, keys: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
     """Upsert each micro-batch by key; of equal keys, in the batch or the table, the last by order wins.
 
-    A batch starts from the version before its own number, so the same batch twice gives the same table, after a crash too.
+    The table's ledger holds the last batch of each stream: one that comes again is skipped, after a crash too, and several
+    streams or a new checkpoint go on from the table as it is.
     """
+    table.keys = table.keys or list(keys)
 
     def action(batch: DataFrame, number: int) -> None:
-        before = table.read(before=number)
-        table.write(merge.upsert(before, before.unionByName(batch), keys, order), number)
+        newest = lambda before, rows: merge.upsert(before, before.unionByName(rows), keys, order)
+        table.merge(batch, newest, application(table.spark, checkpoint), number)
 
     return each_batch(stream, action, checkpoint)
 
 
-def detect_changes(stream: DataFrame, state: VersionedTable, out: str, keys: list[str], checkpoint: str, order: list[str] = ()) -> StreamingQuery:
-    """Emit rows that are new or changed against the kept hashes; unchanged repeats give nothing.
-
-    Of the rows of a key in one batch the last by order counts; without an order, by all its columns. A change says
-    INSERT or UPDATE.
+class Differences(StatefulProcessor):
+    """Keeps by key the hash of its row and, with snapshots, when it is missed; emits what is new, changed or gone."""
+
+    def __init__(self, columns: list[str], order: list[str], snapshots: bool):
+        self.columns, self.order, self.snapshots = columns, order, snapshots
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", "hash string, due long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last = None
+        for frame in rows:  # of a key's rows of one batch only the last is held
+            frame = frame.set_axis(self.columns, axis=1)  # Spark hands them over by place
+            frame = pd.concat([last, frame]) if last is not None else frame
+            frame = frame[~frame["_mark"].astype(bool)]
+            last = frame.sort_values(self.order, kind="stable", na_position="first").iloc[-1:] if len(frame) else last
+        if last is None:
+            return
+        before, due = self.kept.get() or (None, None)
+        now = last["_hash"].iloc[0]
+        if due is not None and self.snapshots:
+            self.handle.deleteTimer(due)
+        if pd.isna(now):
+            self.kept.clear()
+            if before is not None:
+                yield self._said(key, None, "DELETE")
+            return
+        due = 2000 * int(last["_snap"].iloc[0]) + 3500 if self.snapshots else None
+        if due is not None:
+            self.handle.registerTimer(due)
+        if now != before or due is not None:
+            self.kept.update((now, due))
+        if now != before:
+            yield self._said(key, last["_body"].iloc[0], "INSERT" if before is None else "UPDATE")
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.kept.exists():
+            self.kept.clear()
+            yield self._said(key, None, "DELETE")
+
+    @staticmethod
+    def _said(key: tuple, body: str | None, what: str) -> pd.DataFrame:
+        return pd.DataFrame({"_name": [key[0]], "_body": [body], merge.OP: [what]})
+
+    def close(self) -> None:
+        pass
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def detect_changes(stream: DataFrame, out: str, keys: list[str], checkpoint: str, order: list[str] = (), gone: str | None = None, snapshot: str | None = None, ends: str | None = None) -> StreamingQuery:
+    """Emit rows that are new or changed against the kept hashes, and keys that are gone; unchanged repeats give nothing.
+
+    The hashes are state by key of the query, in its checkpoint: a batch reads and writes those of its own keys. INSERT, UPDATE
+    or DELETE is in _cdc_op; a DELETE has the keys and nulls. Of the rows of a key in one batch the last by order counts;
+    without an order, by their JSON.
+
+    Keys are deleted in two ways. Rows for which the SQL condition gone holds say so of their key. Or the stream brings
+    whole snapshots: the column snapshot numbers them one after another, and a row for which the condition ends holds says
+    that all rows of its snapshot have come; then the keys that it lacks are deleted. Rows of a snapshot that come
+    after its end are late and are ignored.
     """
+    spark, kinds = stream.sparkSession, stream.schema
+    rest = [c for c in stream.columns if c not in keys and c != snapshot]
+    told = lambda text: F.coalesce(F.expr(text), F.lit(False)) if text else F.lit(False)
+    as_json = lambda names: F.to_json(F.struct(*[f"`{c}`" for c in names]), {"ignoreNullFields": "false"})
+    plain = stream.drop(snapshot) if snapshot else stream
+    rows = stream.select(
+        as_json(keys).alias("_name"),
+        as_json(rest).alias("_body"),
+        F.when(~told(gone), changes.row_hash(plain, keys)).alias("_hash"),
+        (F.col(snapshot).cast("long") if snapshot else F.lit(0).cast("long")).alias("_snap"),
+        told(ends).alias("_mark"),
+        *[F.col(f"`{c}`").alias(f"_by{k}") for k, c in enumerate(order)],
+    )
+    by = ["_snap", *([f"_by{k}" for k in range(len(order))] or ["_body"])]
+    # Two seconds of event time for each snapshot: its rows lie at the first and let the last one end, its mark at the second.
+    rows = rows.withColumn("_at", F.timestamp_seconds(2 * F.col("_snap") + 2 + F.col("_mark").cast("int")))
+    rows = rows.withWatermark("_at", "1 second") if snapshot else rows
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in ("_name", "_body", merge.OP)])
+    found = rows.groupBy("_name").transformWithStateInPandas(Differences(rows.columns, by, bool(snapshot)), schema, "update", "EventTime" if snapshot else "None")
 
     def action(batch: DataFrame, number: int) -> None:
-        before = state.read(before=number)
-        by = list(order) or [c for c in batch.columns if c not in keys]
-        new = latest_per_key(batch, keys, *by)
-        changed, _ = changes.diff(before.join(new, keys, "left_semi"), new, keys)
-        sinks.replace(changed.drop(merge.SEQ), f"{out}/batch={number}")
-        state.write(merge.upsert(before, changes.state_of(new, keys), keys), number)
-
-    return each_batch(stream, action, checkpoint)
+        of = lambda column, names: F.from_json(column, T.StructType([kinds[n] for n in names]))
+        back = batch.select(of("_name", keys).alias("k"), of("_body", rest).alias("b"), merge.OP)
+        values = [F.when(F.col(merge.OP) != "DELETE", F.col(f"b.`{c}`")).alias(c) for c in rest]
+        named = F.concat_ws(":", *[F.col(f"k.`{k}`").cast("string") for k in keys]).alias(merge.KEY)
+        sinks.replace(back.select("k.*", *values, merge.OP, named), f"{out}/app={application(spark, checkpoint)}/batch={number}")
+
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKS)  # keeps state by key on disk and writes what changed; a query holds what it started with
+    try:
+        return each_batch(found, action, checkpoint, "update")
+    finally:
+        spark.conf.set(STATE_STORE, before)

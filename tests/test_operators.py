@@ -226,11 +226,14 @@ def test_versioned_table_survives_reopening(spark, tmp_path):
     kind, root = "k long, v long", str(tmp_path / "versions")
     assert VersionedTable(spark, root, kind).read().isEmpty()
     for n in range(4):
-        VersionedTable(spark, root, kind).write(spark.createDataFrame([(1, n)], kind), n)
+        VersionedTable(spark, root, kind).write(spark.createDataFrame([(1, n)], kind), "stream", n)
     assert VersionedTable(spark, root).read().first().v == 3 and VersionedTable(spark, root).versions() == [2, 3]
-    assert VersionedTable(spark, root).read(before=3).first().v == 2  # what a repeated batch 3 starts from
-    (tmp_path / "versions" / "v4").mkdir()  # a crash before the commit leaves no version
+    VersionedTable(spark, root).write(spark.createDataFrame([(1, 9)], kind), "stream", 3)  # a repeated batch
     assert VersionedTable(spark, root).read().first().v == 3
+    VersionedTable(spark, root).write(spark.createDataFrame([(1, 7)], kind), "another", 0)  # a stream of its own
+    assert VersionedTable(spark, root).read().first().v == 7 and VersionedTable(spark, root).ledger() == {"stream": 3, "another": 0}
+    (tmp_path / "versions" / "data" / "half" / "_bucket=0").mkdir(parents=True)  # a crash before the commit leaves no version
+    assert VersionedTable(spark, root).read().first().v == 7
 
 
 def test_step_options(spark):
