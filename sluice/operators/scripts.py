@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 import json
-import signal
+import multiprocessing
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -35,23 +35,84 @@ def chosen(names: dict) -> tuple[Callable, str]:
     raise ValueError("the script defines no transform, transform_df, transform_polars or transform_records")
 
 
-@contextmanager
-def deadline(seconds: float | None) -> Iterator[None]:
-    """Interrupt what runs longer, endless loops included: a timer signal raises TimeoutError in the worker's main thread."""
-    if not seconds:
-        yield
-        return
+class Child:
+    """A process of its own that runs a script on batches, and is killed if one takes too long, whatever the script is doing.
+
+    It is forked from the worker when first needed, and anew after a kill, so nothing of the script is pickled.
+    """
+
+    def __init__(self, fn: Callable, flavour: str):
+        self.fn, self.flavour, self.process, self.pipe = fn, flavour, None, None
+
+    def _serve(self, pipe) -> None:
+        self.pipe.close()  # the worker's end, so that its death ends this process too
+        while True:
+            try:
+                given = pipe.recv_bytes()
+            except EOFError:
+                return
+            batch = pa.ipc.open_stream(given).read_all().combine_chunks().to_batches()
+            try:
+                out = _apply(self.fn, self.flavour, batch[0])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, out.schema) as writer:
+                    writer.write_table(out)
+                pipe.send_bytes(b"+" + sink.getvalue().to_pybytes())
+            except BaseException as e:  # noqa: BLE001  the script is the user's
+                pipe.send_bytes(b"-" + f"{type(e).__name__}: {e}".encode())
+
+    def apply(self, batch: pa.RecordBatch, seconds: float) -> pa.Table:
+        if self.process is None:
+            context = multiprocessing.get_context("fork")
+            self.pipe, other = context.Pipe()
+            self.process = context.Process(target=self._serve, args=(other,), daemon=True)
+            self.process.start()
+            other.close()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as writer:
+            writer.write_batch(batch)
+        self.pipe.send_bytes(sink.getvalue().to_pybytes())
+        if not self.pipe.poll(seconds):
+            self.close()
+            raise ScriptError(f"TimeoutError: script timed out after {seconds} seconds")
+        try:
+            found = self.pipe.recv_bytes()
+        except EOFError:
+            self.close()
+            raise ScriptError("ProcessError: the script ended its process") from None
+        if found[:1] == b"-":
+            raise ScriptError(found[1:].decode())
+        return pa.ipc.open_stream(found[1:]).read_all()
+
+    def close(self) -> None:
+        if self.process is not None:
+            self.process.kill()
+            self.process.join()
+            self.pipe.close()
+            self.process = None
 
-    def late(*_: object) -> None:
-        raise TimeoutError(f"script timed out after {seconds} seconds")
 
-    before = signal.signal(signal.SIGALRM, late)
-    signal.setitimer(signal.ITIMER_REAL, seconds)
+class ScriptError(Exception):
+    """What a script raised, or that it took too long."""
+
+
+@contextmanager
+def runner(fn: Callable, flavour: str, timeout: float | None) -> Iterator[Callable[[pa.RecordBatch], pa.Table]]:
+    """Applies a script to a batch: in this process, or with a timeout in a child that ends at the deadline."""
+    if not timeout:
+        def direct(batch: pa.RecordBatch) -> pa.Table:
+            try:
+                return _apply(fn, flavour, batch)
+            except Exception as e:  # noqa: BLE001  the script is the user's
+                raise ScriptError(f"{type(e).__name__}: {e}") from e
+
+        yield direct
+        return
+    child = Child(fn, flavour)
     try:
-        yield
+        yield lambda batch: child.apply(batch, timeout)
     finally:
-        signal.setitimer(signal.ITIMER_REAL, 0)
-        signal.signal(signal.SIGALRM, before)
+        child.close()
 
 
 def _apply(fn: Callable, flavour: str, batch: pa.RecordBatch) -> pa.Table:
@@ -76,39 +137,38 @@ def run(df: DataFrame, fn: Callable, flavour: str, schema: T.StructType | str, t
     arrow = to_arrow_schema(kind)
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            with deadline(timeout):
-                out = _apply(fn, flavour, batch)
-            yield from out.select(arrow.names).cast(arrow).to_batches()
+        with runner(fn, flavour, timeout) as apply:
+            for batch in source:
+                yield from apply(batch).select(arrow.names).cast(arrow).to_batches()
 
     return df.mapInArrow(batches, kind)
 
 
 def run_isolated(df: DataFrame, fn: Callable, flavour: str, schema: T.StructType | str, timeout: float | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
-    """Good output rows; and dead rows (row_payload, error). A failing batch is run again row by row in the same worker.
+    """Good output rows; and dead rows (row_payload, error). A failing batch is halved until the failing rows stand alone.
 
-    A batch has timeout seconds and so has each row. Both results come from one tagged output, which keep may store;
-    without, the script runs for each of them.
+    Each run of the script has timeout seconds, so a row that never ends costs as many as the batch can be halved. Both results come
+    from one tagged output, which keep may store; without, the script runs for each of them.
     """
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     tagged = T.StructType([T.StructField("row", kind), T.StructField("row_payload", T.StringType()), T.StructField("error", T.StringType())])
     arrow, out_schema = to_arrow_schema(kind), to_arrow_schema(tagged)
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            done, dead = [], []
-            try:
-                with deadline(timeout):
-                    done = _apply(fn, flavour, batch).select(arrow.names).cast(arrow).to_pylist()
-            except Exception:  # noqa: BLE001  the script is the user's
-                for k in range(len(batch)):
-                    row = batch.slice(k, 1)
+        with runner(fn, flavour, timeout) as apply:
+            for batch in source:
+                done, dead, stack = [], [], [batch] if len(batch) else []
+                while stack:
+                    part = stack.pop()
                     try:
-                        with deadline(timeout):
-                            done += _apply(fn, flavour, row).select(arrow.names).cast(arrow).to_pylist()
-                    except Exception as e:  # noqa: BLE001
-                        dead.append({"row": None, "row_payload": json.dumps(row.to_pylist()[0], default=str), "error": f"{type(e).__name__}: {e}"})
-            yield pa.RecordBatch.from_pylist([{"row": r, "row_payload": None, "error": None} for r in done] + dead, out_schema)
+                        done += apply(part).select(arrow.names).cast(arrow).to_pylist()
+                    except Exception as e:  # noqa: BLE001  the script is the user's, and so is what it returns
+                        if len(part) > 1:
+                            stack += [part.slice(len(part) // 2), part.slice(0, len(part) // 2)]
+                        else:
+                            error = str(e) if isinstance(e, ScriptError) else f"{type(e).__name__}: {e}"
+                            dead.append({"row": None, "row_payload": json.dumps(part.to_pylist()[0], default=str), "error": error})
+                yield pa.RecordBatch.from_pylist([{"row": r, "row_payload": None, "error": None} for r in done] + dead, out_schema)
 
     out = keep(df.mapInArrow(batches, tagged))
     return out.filter("error is null").select("row.*"), out.filter("error is not null").select("row_payload", "error")

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from sluice.functions.scratch import listed, read_text, shared_path, write_new
 from sluice.operators import changes, columns, contracts, enrich, merge, protect, rows, scripts
-from sluice.sources import files, jdbc, messages, registry, sinks, zipcsv
+from sluice.sources import database, files, jdbc, messages, registry, sinks, zipcsv
 from sluice.sources.versioned import VersionedTable
 
 def _named(step: dict, *names: str, default: object = None) -> object:
@@ -281,7 +281,7 @@ class Pipeline:
             if "dead_letters" in self.spec:
                 sinks.replace(letters, f"{self.spec['dead_letters']}/run={uuid.uuid4().hex}")
             self.enforce(result, letters)
-            sinks.fan_out(result.good, self.spec.get("destinations", []))
+            self.load(result)
             new = [(self.job, name, mark) for name, mark in result.counts["marks"].items() if mark is not None]
             if "watermarks" in self.spec and new:
                 table = VersionedTable(spark, self.spec["watermarks"], WATERMARKS, ["job_id", "source"], 1)
@@ -295,6 +295,16 @@ class Pipeline:
                 told = result or Result(spark.range(0), spark.range(0), job=self.job, began=began)
                 sinks.append(told.progress(failed=error), self.spec["progress"])
 
+    def load(self, result: Result, app: str | None = None, batch: int | None = None) -> None:
+        """Load the destinations; rows that one refuses become dead letters too."""
+        refused = sinks.fan_out(result.good, self.spec.get("destinations", []), app, batch)
+        if refused:
+            letters = database.letters_of(reduce(DataFrame.unionByName, refused), self.job)
+            result.counts["refused"] = letters.count()
+            if "dead_letters" in self.spec and result.counts["refused"]:
+                name = f"{app}-{batch}-load" if app else uuid.uuid4().hex
+                sinks.replace(letters, f"{self.spec['dead_letters']}/run={name}")
+
     def pending(self, spark: SparkSession) -> list[str]:
         """Runs whose dead letters wait for a replay."""
         path = self.spec["dead_letters"]
@@ -314,7 +324,7 @@ class Pipeline:
         again = contracts.replay(letters.where(F.col("job_id") == self.job), _schema(schema))
         result, rejected = self.applied(again)
         sinks.replace(rejected, f"{path}/run={uuid.uuid4().hex}")
-        sinks.fan_out(result.good, self.spec.get("destinations", []))
+        self.load(result)
         for run in runs:
             write_new(spark, f"{path}/_replayed/{run.partition('=')[2]}.json", "{}")
         return result

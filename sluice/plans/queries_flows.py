@@ -503,6 +503,68 @@ def chain_upsert_sink(spark, sf_dir):
     return VersionedTable(spark, target).read().select("o_orderkey", F.col("version").cast("int").alias("version"), "day")
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 100 = 7 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, true AS spared FROM orders""")
+def merge_buckets(spark, sf_dir):
+    """A merge of the keys of three of 64 buckets, those of some rows in a hundred: the other buckets keep their files."""
+    target = VersionedTable(spark, shared_path(spark), None, ["o_orderkey"], 64)
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    target.write(df)
+    before = target.manifest()["parts"]
+    some = df.filter("o_orderkey % 100 = 7").withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    bucket, spared = F.pmod(F.hash("o_orderkey"), F.lit(64)), True
+    for chosen in (bucket < 3, bucket >= 3):
+        rows_in = some.filter(chosen)
+        touched = {str(r[0]) for r in rows_in.select(bucket).distinct().collect()}  # at most the number of buckets
+        target.merge(rows_in, lambda old, new: merge.upsert(old, new, ["o_orderkey"]))
+        after = target.manifest()["parts"]
+        spared = spared and {b for b in after if after[b] != before.get(b)} == touched
+        before = after
+    return target.read().withColumn("spared", F.lit(spared))
+
+
+@query("""SELECT event_id, value, 2 AS runs FROM events WHERE event_id % 10 <> 3
+UNION ALL SELECT event_id, value, 1 FROM events WHERE event_id % 10 = 3 AND ts > TIMESTAMP '2024-01-15 00:00:00'""")
+def chain_two_deltas(spark, sf_dir):
+    """Two runs past a watermark that the first one commits, then one that finds nothing: rows that the contract refuses do not count for it."""
+    source, target, marks, told = (shared_path(spark) for _ in range(4))
+    df = table(spark, sf_dir, "events").select("event_id", "value", F.col("ts").cast("timestamp").alias("ts"), F.expr("if(event_id % 10 = 3, null, 'x')").alias("seen"))
+    early = F.col("ts") <= F.lit("2024-01-15 00:00:00").cast("timestamp")
+    spec = {
+        "sources": [{"name": "events", "type": "parquet", "path": source, "delta": {"watermark_column": "ts"}}],
+        "contract": {"not_null": ["seen"]},
+        "watermarks": marks,
+        "progress": told,
+        "destinations": [{"name": "events", "path": target, "mode": "upsert", "match_keys": ["event_id"]}],
+    }
+    df.filter(early).write.mode("append").parquet(source)
+    Pipeline(spec).run(spark)
+    # What the contract refused comes again, mended, with the rest; the old rows of these are below the watermark.
+    df.filter(~early).withColumn("seen", F.lit("x")).write.mode("append").parquet(source)
+    Pipeline(spec).run(spark)
+    Pipeline(spec).run(spark)
+    runs = spark.read.parquet(told).filter("rows_written > 0").count()
+    return VersionedTable(spark, target).read().select("event_id", "value", F.when(F.col("event_id") % 10 == 3, runs - 1).otherwise(runs).alias("runs"))
+
+
+@query("""SELECT c_custkey AS id, CAST(floor(c_acctbal) AS BIGINT) AS n, 'loaded' AS state FROM customer WHERE c_custkey % 4 <> 0
+UNION ALL SELECT c_custkey, -1, 'replayed' FROM customer WHERE c_custkey % 4 = 0 AND c_custkey % 8 <> 0
+UNION ALL SELECT c_custkey, NULL, 'pending' FROM customer WHERE c_custkey % 8 = 0""")
+def chain_replay(spark, sf_dir):
+    """Dead letters go through a mended chain again: what is good now is merged, the rest waits as dead letters of a new run."""
+    source, target, letters = (shared_path(spark) for _ in range(3))
+    df = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.expr("case when c_custkey % 8 = 0 then 'none' when c_custkey % 4 = 0 then 'minus' else string(bigint(floor(c_acctbal))) end").alias("n"))
+    df.write.parquet(source)
+    steps = [{"type": "cast", "column": "n", "target_type": "long"}, {"type": "add_constant", "column": "state", "value": "loaded"}]
+    spec = {"sources": [{"type": "parquet", "path": source}], "dead_letters": letters, "steps": steps, "destinations": [{"name": "t", "path": target, "mode": "upsert", "match_keys": ["id"]}]}
+    Pipeline(spec).run(spark)
+    mend = [{"type": "expression", "target_column": "n", "expression": "if(n = 'minus', '-1', n)"}, steps[0], {"type": "add_constant", "column": "state", "value": "replayed"}]
+    mended = Pipeline(spec | {"steps": mend})
+    mended.replay(spark, df.schema)
+    waiting = spark.read.parquet(*[f"{letters}/{r}" for r in mended.pending(spark)])
+    left = waiting.select(F.get_json_object("row_payload", "$.id").cast("long").alias("id"), F.lit(None).cast("long").alias("n"), F.lit("pending").alias("state"))
+    return VersionedTable(spark, target).read().select("id", "n", "state").unionByName(left)
+
+
 # Scripts
 
 

@@ -224,6 +224,17 @@ def message_batches(spark, sf_dir):
     return messages.batches(table(spark, sf_dir, "events").select("event_id", "user_id"), F.col("user_id"), ["event_id"]).select("event_id", "shard", "batch")
 
 
+@query("SELECT CAST(event_id AS VARCHAR) AS key, event_id, value, true AS within FROM events")
+def publish_groups(spark, sf_dir):
+    """Messages handed to a broker's client from the tasks, in groups of at most ten."""
+    folder = shared_path(spark)
+    told = {"format": "groups", "key": "event_id", "options": {"sender": "sluice.sources.rollwriter:FolderSender", "folder": folder, "size": "10"}}
+    sinks.load(table(spark, sf_dir, "events").select("event_id", "value").repartition(4, "event_id"), {"name": "broker", "publish": told})
+    groups = spark.read.text(folder).select(F.from_json("value", "array<struct<key:string,value:string>>").alias("g"))
+    sent = groups.select(F.explode("g").alias("m"), (F.size("g") <= 10).alias("within"))
+    return sent.select("m.key", F.from_json("m.value", "event_id long, value double").alias("v"), "within").select("key", "v.event_id", "v.value", "within")
+
+
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def sink_csv(spark, sf_dir):
     path, df = shared_path(spark), table(spark, sf_dir, "nation")

@@ -12,6 +12,7 @@ import io
 import json
 import re
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -65,12 +66,15 @@ class RollingWriter(DataSourceArrowWriter):
                 if open_ is None:
                     name, rows, size = f"{task}-{len(done):06d}", 0, 0
                     open_ = File(files, f"{inner}/{name}", self.format, batch.schema)
-                # As many rows as fit by their mean size, one at least.
-                fits = int((self.max_bytes - size) / max(1.0, batch.nbytes / batch.num_rows))
-                part = batch.slice(0, max(1, min(fits, self.max_rows - rows, batch.num_rows)))
-                open_.write(part)
-                rows, size, batch = rows + part.num_rows, size + part.nbytes, batch.slice(part.num_rows)
-                if rows >= self.max_rows or size >= self.max_bytes or (batch.num_rows and int((self.max_bytes - size) / max(1.0, batch.nbytes / batch.num_rows)) < 1):
+                most = min(self.max_rows - rows, batch.num_rows)
+                fits = bisect_right(range(1, most + 1), self.max_bytes - size, key=lambda n: batch.slice(0, n).nbytes)
+                if fits == 0 and rows == 0:
+                    fits = 1  # a row larger than a file stands alone
+                if fits:
+                    part = batch.slice(0, fits)
+                    open_.write(part)
+                    rows, size, batch = rows + fits, size + part.nbytes, batch.slice(fits)
+                if fits < most or rows >= self.max_rows:
                     open_.close()
                     done.append((name, rows))
                     open_ = None

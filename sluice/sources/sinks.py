@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions.scratch import exists, listed, moved, removed
 
-from . import jdbc, messages, registry, rollwriter
+from . import database, jdbc, messages, registry, rollwriter
 
 
 def csv(df: DataFrame, path: str, mode: str = "append", **options) -> None:
@@ -93,10 +93,11 @@ def keyed(df: DataFrame, path: str, mode: str, keys: list[str], order: list[str]
         table.merge(df, lambda before, rows: merge.apply_changes(before, rows, keys, order or [merge.SEQ]), app, batch)
 
 
-def load(df: DataFrame, destination: dict, app: str | None = None, batch: int | None = None) -> None:
+def load(df: DataFrame, destination: dict, app: str | None = None, batch: int | None = None) -> DataFrame | None:
     """Write the rows that meet a destination's condition, in its mode: to files, a versioned table by keys, a broker or a database.
 
-    `nested` folds child rows into documents first. app and batch name a stream's micro-batch, which a versioned table takes once.
+    `nested` folds child rows into documents first. app and batch name a stream's micro-batch, which a versioned table takes
+    once, and so does a database that is loaded through its driver (`connect`). Such a load returns the rows that were refused.
     """
     rows = df.filter(F.coalesce(condition(destination.get("condition")), F.lit(False)))
     mode, format = destination.get("mode", "append"), destination.get("format", "parquet")
@@ -108,6 +109,10 @@ def load(df: DataFrame, destination: dict, app: str | None = None, batch: int |
         if mode != "append":
             raise ValueError("a database takes rows by append; merge them before")
         jdbc.append(rows, destination["url"], destination["table"], **destination.get("options", {}))
+    elif "connect" in destination:
+        told = {k: destination[k] for k in ("batch", "placeholder") if k in destination}
+        run = None if app is None else f"{app[:36]}:{batch}"
+        return database.load(rows, destination["connect"], destination.get("options", {}), destination["table"], run=run, **told)
     elif "publish" in destination:
         told = destination["publish"]
         published = messages.publishable(rows, told.get("key"))
@@ -122,6 +127,7 @@ def load(df: DataFrame, destination: dict, app: str | None = None, batch: int |
         raise ValueError(f"mode {mode} needs match_keys")
     else:
         keyed(rows, destination["path"], mode, keys, destination.get("order", []), destination.get("buckets", 32), app, batch)
+    return None
 
 
 def folded(rows: DataFrame, spec: dict) -> DataFrame:
@@ -146,7 +152,7 @@ def routed(df: DataFrame, destinations: dict[str, str | None]) -> DataFrame:
     return df.withColumn("destination", F.explode(names))
 
 
-def fan_out(df: DataFrame, destinations: list[dict], app: str | None = None, batch: int | None = None) -> None:
-    """Load the rows into each destination that they are meant for. The frame is read once for each, so hand in a stored one."""
-    for destination in destinations:
-        load(df, destination, app, batch)
+def fan_out(df: DataFrame, destinations: list[dict], app: str | None = None, batch: int | None = None) -> list[DataFrame]:
+    """Load the rows into each destination that they are meant for, and return what these refused. The frame is read once for each, so hand in a stored one."""
+    found = [load(df, destination, app, batch) for destination in destinations]
+    return [refused for refused in found if refused is not None]

@@ -31,6 +31,11 @@ class Conflict(Exception):
     """Another writer kept committing first."""
 
 
+def nullable(schema: T.StructType) -> T.StructType:
+    """A schema whose fields, elements and values may be null at every depth, as those of files are."""
+    return T.StructType.fromJson(json.loads(re.sub(r'("(?:nullable|containsNull|valueContainsNull)": ?)false', r"\1true", json.dumps(schema.jsonValue()))))
+
+
 class VersionedTable:
     """A table under a root. Schema, keys and number of buckets are those of its first version; later ones read them there.
 
@@ -120,6 +125,7 @@ class VersionedTable:
         if self._known(base, app, batch):
             return base["version"]
         schema = T.StructType.fromJson(base["schema"]) if base and not whole else self.schema or df.schema
+        schema = nullable(schema)
         keys, buckets = (base["keys"], base["buckets"]) if base else (self.keys, self.buckets if self.keys else 1)
         bucket = self._bucket(schema, keys, buckets)
         # The new rows are evaluated once, whatever happens afterwards.

@@ -38,8 +38,9 @@ def run_chain(stream: DataFrame, pipeline: Pipeline, target: str | None, letters
     """The batch chain on every micro-batch: dead letters of every step, failure policy, then destinations.
 
     Rows go to target, one folder for each stream and batch, and to the specification's destinations. A repeated batch
-    replaces its folders; a destination in a mode of versioned tables skips a batch that its ledger holds; one by append or
-    to a database can get a batch again if the run ended between its write and the checkpoint. A breach of the policy stops
+    replaces its folders; versioned tables and databases loaded through their driver skip a batch that their ledger holds; files by
+    append can get a batch again if the run ended between its write and the checkpoint. What a destination refuses
+    goes to the dead letters that the specification names. A breach of the policy stops
     the stream after the batch's dead letters are written. Progress rows go where the specification says.
     """
     spark, spec = stream.sparkSession, pipeline.spec
@@ -51,7 +52,7 @@ def run_chain(stream: DataFrame, pipeline: Pipeline, target: str | None, letters
             sinks.replace(result.good, f"{target}/app={app}/batch={number}")
         sinks.replace(rejected, f"{letters}/app={app}/batch={number}")
         pipeline.enforce(result, rejected)
-        sinks.fan_out(result.good, spec.get("destinations", []), app, number)
+        pipeline.load(result, app, number)
         if "progress" in spec:
             sinks.replace(result.progress(number), f"{spec['progress']}/app={app}/batch={number}")
 
