@@ -37,6 +37,21 @@ def removed(spark: SparkSession, path: str) -> bool:
     return files.delete(at, True)
 
 
+def tree(spark: SparkSession, path: str, ending: str) -> list[tuple[str, int]]:
+    """Path and bytes of the files under a path whose name has an ending, hidden ones left out."""
+    files, at = _files(spark, path)
+    if not files.exists(at):
+        return []
+    found, names = [], files.listFiles(at, True)
+    while names.hasNext():
+        status = names.next()
+        name = status.getPath().toString()
+        inside = name[len(files.makeQualified(at).toString()) :]
+        if name.endswith(ending) and not any(part.startswith(("_", ".")) for part in inside.split("/")):
+            found.append((name, status.getLen()))
+    return sorted(found)
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     """A small file as text."""
     files, at = _files(spark, path)

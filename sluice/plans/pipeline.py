@@ -83,6 +83,8 @@ def _database(spark: SparkSession, s: dict) -> DataFrame:
     """A query, or a table read by ranges of a column."""
     if "query" in s:
         return jdbc.read(spark, s["url"], s["query"], s.get("fetch", 10_000), **s.get("options", {}))
+    if s.get("balanced"):
+        return jdbc.read_balanced(spark, s["url"], s["table"], s["shard_column"], s["shards"], s["first"], s["last"], **s.get("options", {}))
     if "shard_column" in s:
         return jdbc.read_sharded(spark, s["url"], s["table"], s["shard_column"], s["first"], s["last"], s["shards"], **s.get("options", {}))
     return jdbc.read(spark, s["url"], f"SELECT * FROM {s['table']}", s.get("fetch", 10_000), **s.get("options", {}))

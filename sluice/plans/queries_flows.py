@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.functions.scratch import exists, listed, moved, shared_path
-from sluice.operators import changes, contracts, enrich, merge, planning, rows, runlog, scripts
+from sluice.operators import changes, contracts, enrich, merge, planning, profiling, rows, runlog, scripts
 from sluice.plans.pipeline import Pipeline
 from sluice.sources import files, messages, registry, sinks
 from sluice.sources.versioned import VersionedTable
@@ -695,6 +695,53 @@ def foreign_keys(spark, sf_dir):
     return planning.foreign_keys({t: table(spark, sf_dir, t) for t in ("region", "nation", "supplier", "customer")})
 
 
+@query("SELECT 'k,n' AS columns, count(*) AS rows FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)")
+def composite_keys(spark, sf_dir):
+    """Keys of the deduplicated order lines: none is a single column; order and line number are one."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg(F.min("l_quantity").alias("q"), F.min("l_returnflag").alias("f"))
+    found = profiling.composite_keys(lines, ["k", "n", "q", "f"], most=2)
+    return found.select(F.array_join("columns", ",").alias("columns"), F.lit(lines.count()).cast("long").alias("rows"))
+
+
+@query("""SELECT 'nation' AS child_table, 'n_regionkey' AS child_column, 'region' AS parent_table, 'r_regionkey' AS parent_column, count(DISTINCT n_regionkey) AS distinct_values FROM nation
+UNION ALL SELECT 'region', 'r_regionkey', 'nation', 'n_regionkey', count(*) FROM region
+UNION ALL SELECT 'region', 'r_regionkey', 'nation', 'n_nationkey', count(*) FROM region
+UNION ALL SELECT 'region', 'r_regionkey', 'orders', 'o_custkey', count(*) FROM region WHERE (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_custkey < 5) = 5
+UNION ALL SELECT 'region', 'r_regionkey', 'orders', 'o_orderkey', count(*) FROM region WHERE (SELECT count(DISTINCT o_orderkey) FROM orders WHERE o_orderkey < 5) = 5
+UNION ALL SELECT 'nation', 'n_regionkey', 'orders', 'o_custkey', count(DISTINCT n_regionkey) FROM nation WHERE (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_custkey < 5) = 5 HAVING count(*) > 0
+UNION ALL SELECT 'nation', 'n_regionkey', 'orders', 'o_orderkey', count(DISTINCT n_regionkey) FROM nation WHERE (SELECT count(DISTINCT o_orderkey) FROM orders WHERE o_orderkey < 5) = 5 HAVING count(*) > 0
+UNION ALL SELECT 'nation', 'n_nationkey', 'orders', 'o_custkey', count(DISTINCT n_nationkey) FROM nation WHERE (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_custkey < 25) = 25 HAVING count(*) > 0
+UNION ALL SELECT 'nation', 'n_nationkey', 'orders', 'o_orderkey', count(DISTINCT n_nationkey) FROM nation WHERE (SELECT count(DISTINCT o_orderkey) FROM orders WHERE o_orderkey < 25) = 25 HAVING count(*) > 0
+""")
+def inclusion_dependencies(spark, sf_dir):
+    """Columns of whole numbers whose values all occur in a column of another table, names aside."""
+    numbers = {"region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "orders": ["o_orderkey", "o_custkey"]}
+    tables = {t: table(spark, sf_dir, t).select(*[F.col(c).cast("long").alias(c) for c in cs]) for t, cs in numbers.items()}
+    return profiling.inclusions(tables)
+
+
+@query("SELECT count(*) AS n, count(*) > 0 AS balanced FROM lineitem")
+def equal_depth_shards(spark, sf_dir):
+    """Half-open ranges of a skewed key: the cube of an order key's share. The fullest holds at most 1.2 times the mean."""
+    df = table(spark, sf_dir, "lineitem").select(F.pow(F.col("l_orderkey").cast("double"), 3).cast("long").alias("k"))
+    bounds = profiling.depth_bounds(df, "k", 16)
+    shard = F.size(F.filter(F.lit(bounds).cast("array<long>"), lambda b: b <= F.col("k")))
+    counts = df.groupBy(shard.alias("shard")).agg(F.count("*").alias("c"))
+    return counts.agg(F.sum("c").alias("n"), (F.max("c") <= 1.2 * F.avg("c")).alias("balanced"))
+
+
+@query("""SELECT 'events' AS source, count(*) AS rows, CAST(min(event_id) AS VARCHAR) AS least, CAST(max(event_id) AS VARCHAR) AS most FROM events
+UNION ALL SELECT 'orders', count(*), CAST(min(o_orderkey) AS VARCHAR), CAST(max(o_orderkey) AS VARCHAR) FROM orders""")
+def footer_statistics(spark, sf_dir):
+    """Rows and bounds of tables from the footers of their files alone."""
+    found = []
+    for name, column in (("events", "event_id"), ("orders", "o_orderkey")):
+        told = profiling.footers(spark, f"{sf_dir}/{name}.parquet").where(F.col("column") == column)
+        ends = (F.min(F.col("least").cast("long")).cast("string").alias("least"), F.max(F.col("most").cast("long")).cast("string").alias("most"))
+        found.append(told.agg(F.lit(name).alias("source"), F.sum("rows").alias("rows"), *ends))
+    return found[0].unionByName(found[1])
+
+
 @query("""SELECT c_nationkey AS pipeline, n AS total, coalesce(done, 0) AS processed, greatest(0, n - coalesce(done, 0)) AS pending FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1)
 LEFT JOIN (SELECT s_nationkey, CAST(sum(10) AS BIGINT) AS done FROM supplier GROUP BY 1) ON s_nationkey = c_nationkey""")
 def workload_progress(spark, sf_dir):

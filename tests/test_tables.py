@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.functions.scratch import write_new
-from sluice.operators import merge, scripts
+from sluice.operators import merge, profiling, scripts
 from sluice.plans.pipeline import Pipeline
-from sluice.sources import database, registry, rollwriter, sinks
+from sluice.sources import database, jdbc, messages, registry, rollwriter, sinks
 from sluice.sources.plugin_stream import FileMessagesReader
 from sluice.sources.versioned import Conflict, VersionedTable
 from sluice.streaming import stream
@@ -343,3 +343,59 @@ def test_deletes_by_condition(spark, tmp_path):
         stream.detect_changes(stream.available(spark, source, spark.createDataFrame([], kind).schema), out, ["k"], checkpoint, gone="dropped").awaitTermination()
     got = sorted((r.batch, r.k, r.v, r[merge.OP]) for r in spark.read.parquet(out).collect())
     assert got == [(0, 1, "a", "INSERT"), (0, 2, "b", "INSERT"), (1, 1, None, "DELETE"), (2, 1, "a", "INSERT")]
+
+
+def test_composite_keys(spark):
+    df = spark.sql("select id div 10 as a, id % 10 as b, id % 7 as c, nullif(id, 3) as d, id % 2 as e from range(1000)")
+    found = {tuple(r.columns) for r in profiling.composite_keys(df, ["a", "b", "c", "d", "e"]).collect()}
+    assert found == {("a", "b"), ("a", "c", "e")}
+    assert {tuple(r.columns) for r in profiling.composite_keys(spark.range(5), ["id"]).collect()} == {("id",)}
+    assert {tuple(r.columns) for r in profiling.composite_keys(spark.range(0), ["id"]).collect()} == {("id",)}
+    assert profiling.composite_keys(spark.sql("select 1 as a, 2 as b from range(2)"), ["a", "b"]).isEmpty()
+
+
+def test_inclusions_ignore_names(spark):
+    tables = {"p": spark.range(3000).selectExpr("id as x", "string(id) as s"), "c": spark.range(500).selectExpr("id * 2 as y", "if(id = 7, null, string(id)) as t", "id - 1 as z"), "e": spark.sql("select cast(null as long) as n")}
+    found = {(r.child_table, r.child_column, r.parent_table, r.parent_column): r.distinct_values for r in profiling.inclusions(tables).collect()}
+    assert found == {("c", "y", "p", "x"): 500, ("c", "t", "p", "s"): 499}
+
+
+def test_ranges_of_equal_depth(spark):
+    df = spark.range(20_000).selectExpr("cast(pow(id, 3) as long) as k").unionByName(spark.sql("select cast(null as long) as k"))
+    bounds = profiling.depth_bounds(df, "k", 8)
+    conditions = profiling.range_predicates("k", bounds)
+    sizes = [df.where(c).count() for c in conditions]
+    assert len(sizes) == 8 and sum(sizes) == 20_001 and max(sizes) <= 1.2 * 2500
+    assert profiling.range_predicates("k", []) == ["1 = 1"] and profiling.depth_bounds(df, "k", 1) == []
+    ranges = profiling.depth_ranges(df, "k", 8).collect()
+    assert ranges[0].first is None and ranges[-1].last is None and [r.last for r in ranges[:-1]] == [r.first for r in ranges[1:]]
+    url = "jdbc:derby:memory:skew;create=true"
+    jdbc.append(df.limit(3000).withColumnRenamed("k", "K"), url, "SKEWED")
+    back = jdbc.read_balanced(spark, url, "SKEWED", "K", 4, 0, 10**9)
+    sizes = [r["count"] for r in back.groupBy(F.spark_partition_id()).count().collect()]
+    assert back.count() == 3000 and len(sizes) == 4 and max(sizes) <= 1.2 * 750
+
+
+def test_footers(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(1000).selectExpr("id", "if(id % 10 = 0, null, concat('v', id)) as v", "struct(id as a) as s").repartition(3).write.parquet(path)
+    rows = profiling.footers(spark, path).collect()
+    assert len({r.file for r in rows}) == 3 and {r.column for r in rows} == {"id", "v", "s.a"}
+    assert sum(r.nulls for r in rows if r.column == "v") == 100 and min(int(r.least) for r in rows if r.column == "id") == 0
+    told = profiling.footer_counts(spark, path).first()
+    assert (told.rows, told.files) == (1000, 3) and told.bytes == sum(p.stat().st_size for p in (tmp_path / "t").glob("*.parquet"))
+    assert profiling.footer_counts(spark, str(tmp_path / "none")).first().rows == 0
+
+
+def test_kafka_options_reach_a_stream(spark, tmp_path):
+    """A stand-in takes the options of a Kafka source and gives its columns; the messages are parsed end to end."""
+    out = str(tmp_path / "out")
+    registry.register("stand-in", "tests.standin:StandIn")
+    for action, want in (("replay_from_start", [0, 1, 2, 3]), ("process_new_only", [2, 3])):
+        told = messages.kafka_options("host:9092", "topic", "group", action)
+        lines = messages.stream(spark, registry.resolve(spark, "stand-in"), **told)
+        parsed = messages.parse(lines, "id long, name string", payload="payload")
+        run = parsed.writeStream.format("parquet").option("path", f"{out}/{action}").option("checkpointLocation", str(tmp_path / f"c-{action}")).trigger(processingTime="0 seconds").start()
+        run.processAllAvailable()
+        run.stop()
+        assert sorted(r.id for r in spark.read.parquet(f"{out}/{action}").collect()) == want
