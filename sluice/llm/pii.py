@@ -6,11 +6,13 @@ discloses it as far as knowing the term makes the entity likely: with counts of
 PMI(entity; term) / IC(entity), which is 1 if the term occurs with the entity only. Terms of a document that disclose
 one of its entities are generalised above one threshold and removed above a higher one, wherever they stand in that
 document. The share of the term's documents that hold the entity enters by its lower confidence bound (Wilson), so
-small support lowers the disclosure but excludes no pair.
+small support lowers the disclosure but excludes no pair. Each level asks for a least bound too, which does not depend on
+the size of the corpus: a term of one or two documents is generalised, not removed, in a corpus of any size.
 
 Everything is DataFrame expressions over whole texts, of which equal ones are counted together. Terms are counted over
-all documents by partial aggregation and only then meet the terms of texts with an entity. A pair is counted only if
-its term is rare enough to disclose some entity of the text, which its corpus count tells beforehand, so no disclosing
+all documents by partial aggregation and only then meet the terms of texts with an entity. A term that only copies of
+one text hold discloses that text's rarest entity most, so it is judged by that one; for others a pair is counted only if
+the term is rare enough to disclose some entity of the text, which its corpus count tells beforehand. No disclosing
 pair is lost. No text without an entity is changed. Places in a text are prefix sums over chunks of its matches, so the
 work grows in proportion to its length.
 
@@ -44,8 +46,10 @@ ADDED = ("general", "remove")
 STANDS = {**{k: f"[{k.upper()}]" for k in KINDS}, "general": "[TERM]", "remove": ""}
 #: Normal quantile (0.8, one-sided) of the lower bound of the share of a term's documents that hold the entity.
 CONFIDENCE = 0.84
-#: Disclosure above which a term is generalised, and removed.
+#: Disclosure above which a term is generalised, and removed; and the lower bound of that share which each needs besides,
+#: so that a level does not rise with the corpus alone: disclosure nears 1 for every rare pair as the documents grow.
 GENERALISE, REMOVE = 0.8, 0.95
+GENERALISE_SHARE, REMOVE_SHARE = 0.5, 0.8
 #: A term: what stands between blanks, from its first to its last letter or digit. A run of letters and digits.
 TERM = "[\\p{L}\\p{N}](?:[^\\x20\\x09-\\x0D]*[\\p{L}\\p{N}])?"
 RUN = "[\\p{L}\\p{N}]+"
@@ -141,24 +145,30 @@ def disclosing(docs: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
     # Disclosure is at most log(total n / n_t) / log(total / n_e) with n the smaller of n_e and n_t.
     reach = F.pow("n_e", F.lit(GENERALISE)) * F.lit(float(total)) ** (1 - GENERALISE) * 1.000001
     members = members.join(entities, "entity").select("t", "copies", F.struct("entity", "n_e", reach.alias("reach")).alias("m"))
-    members = materialize(members.groupBy("t", "copies").agg(F.collect_list("m").alias("members"), F.max("m.reach").alias("reach")))
+    members = materialize(members.groupBy("t", "copies").agg(F.collect_list("m").alias("members"), F.max("m.reach").alias("reach"), F.min("m.n_e").alias("least")))
     most = members.agg(F.max("reach")).first()[0]
     if most is None:
         return texts.select("t", F.lit("").alias("term"), F.lit(0).alias("level"))
     # Terms are added up where they are read, so the join meets each of them once.
     counts = docs.select(F.explode(terms_of(quoted(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") <= most)
     rare = texts.select("t", F.explode(terms_of("text")).alias("term")).join(counts, "term")
-    found = rare.join(members, "t").where(F.col("n_t") <= F.col("reach"))
-    found = found.select("t", "term", "n_t", "copies", F.explode("members").alias("m")).where(F.col("n_t") <= F.col("m.reach"))
+    rare = materialize(rare.join(members, "t").where(F.col("n_t") <= F.col("reach")))
+    own = F.col("n_t") == F.col("copies")
+    alone = rare.where(own).select("t", "term", level_of(F.col("n_t"), F.col("n_t"), F.col("least"), total).alias("level")).where("level > 0")
+    found = rare.where(~own).select("t", "term", "n_t", "copies", F.explode("members").alias("m")).where(F.col("n_t") <= F.col("m.reach"))
     found = materialize(found.select("t", "term", "n_t", "copies", "m.entity", "m.n_e"))
     pairs = found.groupBy("entity", "term", "n_e", "n_t").agg(F.sum("copies").alias("n_et"))
-    known = F.log2(F.lit(float(total)) / F.col("n_e"))
-    n, part, z = F.col("n_t"), F.col("n_et") / F.col("n_t"), CONFIDENCE
-    low = (part + z * z / (2 * n) - z * F.sqrt(part * (1 - part) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-    pmi = F.log2(low * F.lit(float(total)) / F.col("n_e"))
-    share = pairs.select("entity", "term", F.when(known > 0, pmi / known).alias("disclosure"))
-    levels = share.where(F.col("disclosure") >= GENERALISE).select("entity", "term", F.when(F.col("disclosure") >= REMOVE, 5).otherwise(4).alias("level"))
-    return found.join(levels, ["entity", "term"]).groupBy("t", "term").agg(F.max("level").alias("level"))
+    levels = pairs.select("entity", "term", level_of(F.col("n_et"), F.col("n_t"), F.col("n_e"), total).alias("level")).where("level > 0")
+    return alone.unionByName(found.join(levels, ["entity", "term"]).groupBy("t", "term").agg(F.max("level").alias("level")))
+
+
+def level_of(n_et: Column, n_t: Column, n_e: Column, total: int) -> Column:
+    """5 (remove), 4 (generalise) or 0 for a term and an entity that n_t and n_e of the rows hold, and n_et both."""
+    known = F.log2(F.lit(float(total)) / n_e)
+    part, z = n_et / n_t, CONFIDENCE
+    low = (part + z * z / (2 * n_t) - z * F.sqrt(part * (1 - part) / n_t + z * z / (4 * n_t * n_t))) / (1 + z * z / n_t)
+    disclosure = F.when(known > 0, F.log2(low * F.lit(float(total)) / n_e) / known)
+    return F.when((disclosure >= REMOVE) & (low >= REMOVE_SHARE), 5).when((disclosure >= GENERALISE) & (low >= GENERALISE_SHARE), 4).otherwise(0)
 
 
 def quoted(name: str) -> str:

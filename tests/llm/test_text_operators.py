@@ -386,8 +386,9 @@ def disclosures(docs: list[tuple[int, str]]) -> dict[int, set[tuple[str, int]]]:
                 k, part = n_t[t], n_et[e, t] / n_t[t]
                 low = (part + z * z / (2 * k) - z * math.sqrt(part * (1 - part) / k + z * z / (4 * k * k))) / (1 + z * z / k)
                 share = math.log(low * n / n_e[e]) / math.log(n / n_e[e]) if n_e[e] < n else 0
-                if share >= pii.GENERALISE:
-                    want.setdefault(doc, {})[t] = max(want.get(doc, {}).get(t, 4), 5 if share >= pii.REMOVE else 4)
+                level = 5 if share >= pii.REMOVE and low >= pii.REMOVE_SHARE else 4 if share >= pii.GENERALISE and low >= pii.GENERALISE_SHARE else 0
+                if level:
+                    want.setdefault(doc, {})[t] = max(want.get(doc, {}).get(t, 4), level)
     return want
 
 
@@ -421,6 +422,21 @@ def test_all_added_spans(spark, documents):
     assert n > 100
 
 
+def test_levels_do_not_rise_with_the_corpus(spark):
+    near = [(0, "the customer Zebulon is at zeb@corp.org today")]
+    for n in (2_000, 80_000):
+        rest = spark.range(10, 10 + n).selectExpr("id as doc_id", "concat('the customer is at work today ', id % 50) as text")
+        docs = spark.createDataFrame(near, "doc_id long, text string").unionByName(rest)
+        assert pii.sanitise(docs).where("doc_id = 0").first().text == "the customer [TERM] is at [EMAIL] today"
+
+
+def test_many_entities_and_rare_terms_of_one_text(spark):
+    many = " ".join(f"name{k}x user{k}@mail{k}.org" for k in range(2000))
+    docs = spark.createDataFrame([(0, many), *((k, "plain words of other documents") for k in range(1, 50))], "doc_id long, text string")
+    told = pii.report(docs).where("doc_id = 0").first()
+    assert told.n_email == 2000 and told.spans.count("general") + told.spans.count("remove") == 2000
+
+
 def test_long_texts_take_linear_work(spark):
     docs = spark.createDataFrame([(1, "12," * 100_000), (2, "a@b.cc " * 30_000), (3, "1.2.3.4," * 30_000)], "doc_id long, text string")
     new = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
