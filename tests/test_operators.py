@@ -36,8 +36,8 @@ def test_policy_counts_shards_and_run(spark):
 
 def test_snapshot_diff(spark):
     kind = "id long, name string, balance double"
-    one = spark.createDataFrame([(1, "Alice", 100.0), (2, "Bob", 200.0), (3, "Charlie", 300.0)], kind)
-    two = spark.createDataFrame([(1, "Alice", 100.0), (2, "Bob", 250.0), (4, "David", 400.0)], kind)
+    one = spark.createDataFrame([(1, "Mirko", 12.5), (2, "Ulf", 80.0), (3, "Perdita", 7.25)], kind)
+    two = spark.createDataFrame([(1, "Mirko", 12.5), (2, "Ulf", 81.0), (4, "Anouk", 3.0)], kind)
     first, state = changes.diff(changes.state_of(one.limit(0), ["id"]), one, ["id"])
     assert [r[merge.OP] for r in first.collect()] == ["INSERT"] * 3
     second, state = changes.diff(state, two, ["id"])
@@ -56,13 +56,13 @@ def test_diff_with_null_keys_and_values(spark):
 
 def test_delta_in_two_runs(spark):
     kind = "id long, name string, updated_at string"
-    source = spark.createDataFrame([(1, "Alice", "2026-01-01T10:00:00"), (2, "Bob", "2026-01-02T10:00:00"), (3, "Charlie", "2026-01-03T10:00:00")], kind)
-    target, mark = changes.delta_sync(source, source.limit(0), ["id"], "updated_at", "2025-01-01T00:00:00")
-    assert target.count() == 3 and mark.first()[0] == "2026-01-03T10:00:00"
-    later = spark.createDataFrame([(1, "Alice Updated", "2026-01-04T12:00:00"), (4, "David", "2026-01-05T14:00:00")], kind)
+    source = spark.createDataFrame([(1, "Mirko", "2031-05-01T06:30:00"), (2, "Ulf", "2031-05-02T06:30:00"), (3, "Perdita", "2031-05-03T06:30:00")], kind)
+    target, mark = changes.delta_sync(source, source.limit(0), ["id"], "updated_at", "2030-12-24T00:00:00")
+    assert target.count() == 3 and mark.first()[0] == "2031-05-03T06:30:00"
+    later = spark.createDataFrame([(1, "Mirko II", "2031-05-09T21:15:00"), (4, "Anouk", "2031-05-11T04:45:00")], kind)
     target, mark = changes.delta_sync(source.unionByName(later), target, ["id"], "updated_at", mark.first()[0])
-    assert {r.id: r.name for r in target.collect()} == {1: "Alice Updated", 2: "Bob", 3: "Charlie", 4: "David"}
-    assert mark.first()[0] == "2026-01-05T14:00:00"
+    assert {r.id: r.name for r in target.collect()} == {1: "Mirko II", 2: "Ulf", 3: "Perdita", 4: "Anouk"}
+    assert mark.first()[0] == "2031-05-11T04:45:00"
     numbers = source.withColumn("id", F.col("id") + 8)
     assert changes.after(numbers, "id", "9").count() == 2  # compared as numbers, not as text
 
@@ -78,26 +78,26 @@ def test_merge_twice_is_merge_once(spark):
 
 
 def test_scripts_and_isolation(spark):
-    df = spark.createDataFrame([(1, "Alice"), (2, "BAD_POISON"), (3, "Charlie"), (4, "David")], "id long, name string")
-    code = "def transform_records(rows):\n    if any('BAD' in r['name'] for r in rows):\n        raise ValueError('bad')\n    return [dict(r, n=len(r['name'])) for r in rows]\n"
+    df = spark.createDataFrame([(1, "Mirko"), (2, "rotten egg"), (3, "Perdita"), (4, "Anouk")], "id long, name string")
+    code = "def transform_records(rows):\n    if any('rotten' in r['name'] for r in rows):\n        raise ValueError('bad')\n    return [dict(r, n=len(r['name'])) for r in rows]\n"
     fn, flavour = scripts.compiled(code)
     good, dead = scripts.run_isolated(df, fn, flavour, "id long, name string, n long")
     assert sorted((r.id, r.n) for r in good.collect()) == [(1, 5), (3, 7), (4, 5)]
     (letter,) = dead.collect()
-    assert "BAD_POISON" in letter.row_payload and letter.error == "ValueError: bad"
+    assert "rotten egg" in letter.row_payload and letter.error == "ValueError: bad"
     assert scripts.dry_run(df, "def transform(batch") ["valid"] is False
     assert scripts.dry_run(df.filter("id <> 2"), code)["flavour"] == "records"
     slow = "import time\ndef transform(batch):\n    time.sleep(0.3)\n    return batch\n"
     with pytest.raises(Exception, match="timed out"):
         scripts.run(df, *scripts.compiled(slow), df.schema, timeout=0.1).collect()
-    endless = "def transform_records(rows):\n    while any('BAD' in r['name'] for r in rows):\n        pass\n    return rows\n"
+    endless = "def transform_records(rows):\n    while any('rotten' in r['name'] for r in rows):\n        pass\n    return rows\n"
     good, dead = scripts.run_isolated(df, *scripts.compiled(endless), df.schema, timeout=0.2)
     assert sorted(r.id for r in good.collect()) == [1, 3, 4] and "timed out" in dead.first().error
     assert scripts.compiled("def transform_polars(df):\n    return df\n")[1] == "polars"
 
 
 def test_encryption(spark):
-    df = spark.createDataFrame([("Alice", "4111111111111111"), ("Bob", None), ("Al", "4111111111111111")], "name string, card string")
+    df = spark.createDataFrame([("Mirko", "4111111111111111"), ("Ulf", None), ("Al", "4111111111111111")], "name string, card string")
     sealed = protect.encrypt_fields(df, ["card"], "k" * 32)
     cards = [r.card for r in sealed.collect()]
     assert cards[1] is None and cards[0] != cards[2]
@@ -173,7 +173,7 @@ def test_messages_and_routes(spark):
 
 def test_pipeline_run_writes_all_parts(spark, tmp_path):
     source = str(tmp_path / "in")
-    spark.createDataFrame([(1, "alice@company.com", "30"), (2, "invalid", "45"), (3, None, "50"), (4, "d@e.f", "old")], "id long, email string, age string").write.parquet(source)
+    spark.createDataFrame([(1, "mirko@post.example", "30"), (2, "nobody", "45"), (3, None, "50"), (4, "d@e.f", "old")], "id long, email string, age string").write.parquet(source)
     spec = {
         "sources": [{"type": "parquet", "path": source}],
         "contract": {"not_null": ["email"], "regex_match": {"email": "[^@]+@[^@]+"}},
