@@ -10,7 +10,7 @@ from sluice.sources.versioned import VersionedTable
 
 
 def test_contract_splits_rows_and_names_columns(spark):
-    df = spark.createDataFrame([(1, "valid@test.com", 150.0, 25, "ACTIVE"), (2, "invalid-email", -10.0, 40, "PENDING"), (3, None, 50.0, 150, "UNKNOWN"), (4, "ok@domain.org", 20.0, 30, "ACTIVE")], "id long, email string, amount double, age long, status string")
+    df = spark.createDataFrame([(1, "nora@inbox.example", 81.5, 31, "ACTIVE"), (2, "no at sign", -3.0, 44, "PENDING"), (3, None, 7.5, 131, "UNKNOWN"), (4, "pia@inbox.example", 9.9, 52, "ACTIVE")], "id long, email string, amount double, age long, status string")
     contract = {"not_null": ["id", "email", "absent"], "min_value": {"amount": 0}, "max_value": {"age": 100}, "allowed_values": {"status": ["ACTIVE", "PENDING"]}, "regex_match": {"email": r"[^@]+@[^@]+\.[^@]+$"}}
     good, bad = contracts.validate(df, contract)
     assert sorted(r.id for r in good.collect()) == [1, 4]
