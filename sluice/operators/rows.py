@@ -82,7 +82,9 @@ def newest_per_group(df: DataFrame, group: list[str], n: int, *keys: str) -> Dat
 def latest_per_key(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """The last row of each key by order, found by one aggregation with partial maxima, without sorting groups."""
     rest = [c for c in df.columns if c not in keys]
-    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_last"))
+    # Maps have no order of their own; as JSON they have one.
+    place = [F.to_json(F.struct(c)).alias(f"_by{k}") if "map<" in df.select(c).schema[0].dataType.simpleString() else F.col(c).alias(f"_by{k}") for k, c in enumerate(order)]
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*place)).alias("_last"))
     return last.select(*[F.col(c) if c in keys else F.col("_last")[c].alias(c) for c in df.columns])
 
 

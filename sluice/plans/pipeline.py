@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.functions.scratch import listed, read_text, shared_path, write_new
+from sluice.functions.scratch import listed, read_text, removed, shared_path, write_new
 from sluice.operators import changes, columns, contracts, enrich, merge, protect, rows, scripts
 from sluice.sources import database, files, jdbc, messages, registry, sinks, zipcsv
 from sluice.sources.versioned import VersionedTable
@@ -139,6 +139,13 @@ class Result:
     counts: dict = field(default_factory=dict)
     began: float = field(default_factory=time.time)
     job: str = "job"
+    stored: list[str] = field(default_factory=list)
+
+    def discard(self) -> None:
+        """Remove the tables that a run stored; its frames cannot be read afterwards."""
+        for path in self.stored:
+            removed(self.good.sparkSession, path)
+        self.stored.clear()
 
     def progress(self, batch: int | None = None, failed: str | None = None) -> DataFrame:
         """One row: what was written and failed, and how fast."""
@@ -237,12 +244,12 @@ class Pipeline:
 
     def applied(self, df: DataFrame, read: bool = False) -> tuple[Result, DataFrame]:
         """The chain with its tables stored once each, and all dead letters; counts and watermarks are observed while they are written."""
-        spark, seen = df.sparkSession, {}
+        spark, seen, paths = df.sparkSession, {}, []
         deltas = self._deltas() if read else {}
 
         def kept(name: str, df: DataFrame, *what) -> DataFrame:
             seen[name] = Observation()
-            return stored(spark, df.observe(seen[name], F.count(F.lit(1)).alias("n"), *what))
+            return stored(spark, df.observe(seen[name], F.count(F.lit(1)).alias("n"), *what), paths)
 
         def checked_rows(tagged: DataFrame) -> DataFrame:
             bad = F.size("_errors") > 0
@@ -250,7 +257,8 @@ class Pipeline:
             marks = [F.max(F.when(of(name), F.col(delta["watermark_column"]))).cast("string").alias(f"mark_{name}") for name, delta in deltas.items()]
             return kept("checked", tagged, F.coalesce(F.sum(bad.cast("long")), F.lit(0)).alias("bad"), *marks)
 
-        result = self.apply(df, lambda df: stored(spark, df), checked_rows, read)
+        result = self.apply(df, lambda df: stored(spark, df, paths), checked_rows, read)
+        result.stored = paths
         result.good = kept("good", result.good)
         letters = reduce(DataFrame.unionByName, [contracts.violation_letters(result.violations, self.job), *result.letters])
         letters = kept("letters", letters)
@@ -273,7 +281,8 @@ class Pipeline:
         Tagged rows are written once, in the shared folder, so scripts run once and all branches see the same rows. A
         breach raises after the dead letters are written and before any destination is. A progress row is written for a run
         that fails too. Watermarks, in the versioned table `watermarks`, move only after all destinations are loaded, so a run
-        that fails is done again from where the last good one ended.
+        that fails is done again from where the last good one ended. The stored tables stay for the result's frames; discard
+        removes them.
         """
         began = time.time()
         result, error = None, None
@@ -344,8 +353,10 @@ class Pipeline:
         return contracts.failure_counts(both, F.col("shard"), F.col("bad"))
 
 
-def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """A frame written in the shared folder and read again."""
+def stored(spark: SparkSession, df: DataFrame, paths: list[str] | None = None) -> DataFrame:
+    """A frame written in the shared folder and read again; its folder is added to paths."""
     path = shared_path(spark)
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

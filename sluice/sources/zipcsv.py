@@ -14,6 +14,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
+from sluice.functions.scratch import removed, shared_path
+
 ROWS = 5000
 
 
@@ -116,6 +118,18 @@ def write(df, path: str) -> None:
             text.detach()
         yield pa.RecordBatch.from_pylist([{"file": name, "rows": n}])
 
-    # Only archives of attempts that Spark kept get their final names.
-    for row in df.mapInArrow(archive, "file string, rows long").collect():
-        files.move(f"{row.file}.tmp", row.file)
+    # Only archives of attempts that Spark kept get their final names, from tasks; a move that was made before is skipped.
+    spark, done = df.sparkSession, shared_path(df.sparkSession)
+    df.mapInArrow(archive, "file string, rows long").write.parquet(done)
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, _ = _open(path)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                if files.get_file_info(f"{name}.tmp").type == fs.FileType.File:
+                    files.move(f"{name}.tmp", name)
+            yield batch
+
+    written = spark.read.schema("file string, rows long").parquet(done)
+    written.repartition(16).mapInArrow(move, written.schema).write.format("noop").mode("overwrite").save()
+    removed(spark, done)

@@ -55,6 +55,7 @@ def run_chain(stream: DataFrame, pipeline: Pipeline, target: str | None, letters
         pipeline.load(result, app, number)
         if "progress" in spec:
             sinks.replace(result.progress(number), f"{spec['progress']}/app={app}/batch={number}")
+        result.discard()
 
     return each_batch(stream, action, checkpoint)
 

@@ -7,10 +7,10 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.functions.scratch import write_new
-from sluice.operators import merge, profiling, scripts
+from sluice.functions.scratch import exists, write_new
+from sluice.operators import merge, profiling, rows, scripts
 from sluice.plans.pipeline import Pipeline
-from sluice.sources import database, jdbc, messages, registry, rollwriter, sinks
+from sluice.sources import database, jdbc, messages, registry, rollwriter, sinks, zipcsv
 from sluice.sources.plugin_stream import FileMessagesReader
 from sluice.sources.versioned import Conflict, VersionedTable
 from sluice.streaming import stream
@@ -399,3 +399,25 @@ def test_kafka_options_reach_a_stream(spark, tmp_path):
         run.processAllAvailable()
         run.stop()
         assert sorted(r.id for r in spark.read.parquet(f"{out}/{action}").collect()) == want
+
+
+def test_latest_of_rows_with_maps(spark):
+    df = spark.sql("select id % 2 as k, map('a', id) as m from range(6)")
+    assert {r.k: r.m for r in rows.latest_per_key(df, ["k"], "m").collect()} == {0: {"a": 4}, 1: {"a": 5}}
+
+
+def test_archives_are_renamed_in_tasks(spark, tmp_path):
+    path = str(tmp_path / "zips")
+    zipcsv.write(spark.range(30).selectExpr("id", "concat('n', id) as name").repartition(3), path)
+    assert len(list((tmp_path / "zips").glob("*.zip"))) == 3 and not list((tmp_path / "zips").glob("*.tmp"))
+    assert zipcsv.read(spark, path, "id long, name string").count() == 30
+
+
+def test_stored_tables_can_be_discarded(spark, tmp_path):
+    source = str(tmp_path / "in")
+    spark.range(3).write.parquet(source)
+    result = Pipeline({"sources": [{"type": "parquet", "path": source}], "destinations": [{"name": "o", "path": str(tmp_path / "o")}]}).run(spark)
+    paths = list(result.stored)
+    assert len(paths) >= 3 and all(exists(spark, p) for p in paths) and result.counts["written"] == 3
+    result.discard()
+    assert not any(exists(spark, p) for p in paths) and spark.read.parquet(str(tmp_path / "o")).count() == 3
