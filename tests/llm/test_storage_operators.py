@@ -148,3 +148,17 @@ def test_pipeline_drops_edited_copies(spark, sf_dir):
     assert all(alike(rows[0][1], rows[n][1]) >= 0.85 for n in (1, 2, 3)) and alike(rows[0][1], rows[4][1]) < 0.7
     kept = {r.doc_id for r in p.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()}
     assert kept == {1000 * k + n for k in range(60) for n in (0, 12)}
+
+
+def test_stages_take_empty_and_odd_tables(spark, sf_dir, odd):
+    import corpus_pipeline as p
+
+    for name, stage in p.STAGES:
+        found = stage(spark, odd.limit(0), sf_dir)
+        assert found.isEmpty() and (name == "tokens" or found.columns == odd.columns), name
+    docs = odd
+    for name, stage in p.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir).cache()
+        assert docs.columns == odd.columns, name
+    assert docs.where("text is null or trim(text) = ''").isEmpty() and docs.count() <= odd.count()
+    assert p.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count()
