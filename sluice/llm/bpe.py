@@ -29,6 +29,8 @@ from ._util import as_bytes, schema_with, small_batches
 
 #: Pieces whose tokens a worker remembers before it starts anew.
 REMEMBERED = 400_000
+#: As many where the worker also holds what other operators of a chain left in it.
+CHAINED = 100_000
 NONE = 1 << 62
 #: The white space of the byte-level pattern.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -213,7 +215,7 @@ class Bpe:
             self.decimal[r] = ",".join([names[i] for i in ids])
         gc.enable()
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str]]:
+    def encode(self, texts: list[str], remembered: int = REMEMBERED) -> Iterator[tuple[np.ndarray, str]]:
         """Tokens of each text, and the same in decimal joined by commas. Runs are learnt for some texts at a time."""
         at = 0
         while at < len(texts):
@@ -224,7 +226,7 @@ class Bpe:
                 size += len(texts[at])
                 at += 1
             fresh = wanted.difference(self.known)
-            if len(self.known) + len(fresh) > REMEMBERED:  # all that the chunk needs must be known together
+            if len(self.known) + len(fresh) > remembered:  # all that the chunk needs must be known together
                 self.known.clear()
                 self.decimal.clear()
                 fresh = wanted
@@ -265,7 +267,7 @@ def encode(docs: DataFrame, path: str, doc_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker(spec)
         for batch in batches:
-            ids = [ids for ids, _ in bpe.encode([t.decode() if t else "" for t in as_bytes(batch.column(1))])]
+            ids = [ids for ids, _ in bpe.encode([t.decode() if t else "" for t in as_bytes(batch.column(1))], CHAINED)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return narrow.mapInArrow(run, schema_with(narrow, ["doc_id"], "ids array<int>"))
