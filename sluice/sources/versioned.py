@@ -18,6 +18,7 @@ import re
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,8 +57,16 @@ class VersionedTable:
 
     def manifest(self, version: int | None = None) -> dict | None:
         """What a version, the newest unless a number is given, consists of; None if the table has none."""
-        number = max(self.versions(), default=None) if version is None else version
-        return None if number is None else {**json.loads(read_text(self.spark, self._file(number))), "version": number}
+        for last in range(self.TRIES, 0, -1):
+            number = max(self.versions(), default=None) if version is None else version
+            if number is None:
+                return None
+            try:
+                return {**json.loads(read_text(self.spark, self._file(number))), "version": number}
+            except Py4JJavaError:  # other writers came so far meanwhile that this version was removed
+                if version is not None or last == 1:
+                    raise
+        return None
 
     def ledger(self) -> dict[str, int]:
         """The last batch of each application."""
@@ -140,7 +149,15 @@ class VersionedTable:
                     given = self.spark.read.schema(df.schema).parquet(*[f"{self.root}/{p}" for found in new.values() for p in found]) if new else df.limit(0)
                     rows = build(self._rows(base or {"schema": json.loads(schema.json()), "parts": {}}, set(new)), given)
                     rows = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in schema.fields])
-                    made, seen = (self._stored(rows, bucket, min(buckets, len(new))) if new else {}), touched
+                    try:
+                        made, seen = (self._stored(rows, bucket, min(buckets, len(new))) if new else {}), touched
+                    except Exception:
+                        if base is None or base["version"] in self.versions():
+                            raise
+                        base = self.manifest()  # its files were removed while they were read: others came far ahead
+                        if self._known(base, app, batch):
+                            return base["version"]
+                        continue
                 parts = {b: p for b, p in old.items() if b not in new} | made
             else:
                 parts = build(old, new)
@@ -165,6 +182,12 @@ class VersionedTable:
     def _forget(self) -> None:
         """Remove versions beyond the last KEEP, and the folders that only they name."""
         numbers = self.versions()
+        try:
+            self._removed(numbers)
+        except Py4JJavaError:
+            pass  # another writer removes the same; what it leaves, the next one finds
+
+    def _removed(self, numbers: list[int]) -> None:
         folders = lambda n: {p for found in self.manifest(n)["parts"].values() for p in found}
         old, kept = numbers[: -self.KEEP], set().union(*[folders(n) for n in numbers[-self.KEEP :]])
         for number in old:
