@@ -137,7 +137,8 @@ def footers(spark: SparkSession, path: str) -> DataFrame:
                     sure = told and all(s.has_min_max or s.null_count == g.num_rows for s, g in zip(stats, groups, strict=True))
                     least, most = (str(min(s.min for s in ends)), str(max(s.max for s in ends))) if sure and ends else (None, None)
                     out.append({"file": name, "rows": meta.num_rows, "file_bytes": size, "column": meta.schema.column(c).path, "nulls": nulls, "least": least, "most": most})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("file", pa.string()), ("rows", pa.int64()), ("file_bytes", pa.int64()), ("column", pa.string()), ("nulls", pa.int64()), ("least", pa.string()), ("most", pa.string())]))
+            kinds = {"string": pa.string(), "long": pa.int64()}
+            yield pa.RecordBatch.from_pylist(out, pa.schema([(n, kinds[k]) for n, k in map(str.split, schema.split(", "))]))
 
     return spark.createDataFrame(files, "file string, size long").repartition(min(len(files), 1000)).mapInArrow(read, schema)
 

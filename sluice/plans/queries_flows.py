@@ -416,7 +416,8 @@ def stream_cdc_snapshots(spark, sf_dir):
     return spark.read.parquet(out).select("event_id", "value", F.col(merge.OP).alias("op"))
 
 
-@query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id UNION ALL SELECT -1 - n_nationkey, n_nationkey FROM nation UNION ALL SELECT 1000000000 + r_regionkey, r_regionkey FROM region")
+@query("""SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id
+UNION ALL SELECT -1 - n_nationkey, n_nationkey FROM nation UNION ALL SELECT 1000000000 + r_regionkey, r_regionkey FROM region""")
 def stream_two_checkpoints(spark, sf_dir):
     """A stream, a second one and then a new checkpoint merge into one table; none loses the others' rows."""
     root, first, second = (shared_path(spark) for _ in range(3))
@@ -439,7 +440,8 @@ UNION ALL SELECT c_custkey, 'good' FROM customer WHERE c_acctbal >= 0 AND c_cust
 def stream_all_letters(spark, sf_dir):
     """Rows that the contract, a cast or a script refuses in a stream: each is a dead letter, and the others reach the target."""
     source, out, letters = (shared_path(spark) for _ in range(3))
-    df = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_acctbal").alias("balance"), F.expr("if(c_custkey % 5 = 0, 'none', cast(c_custkey as string))").alias("code"))
+    code = F.expr("if(c_custkey % 5 = 0, 'none', cast(c_custkey as string))").alias("code")
+    df = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_acctbal").alias("balance"), code)
     df.repartition(3, "id").write.parquet(source)
     code = "def transform_records(rows):\n    return [dict(r, code=r['code'] // (r['id'] % 7) * 0 + r['code']) for r in rows]\n"
     steps = [{"type": "cast", "column": "code", "target_type": "long"}, {"type": "script", "code": code, "schema": "id long, balance double, code long"}]
@@ -552,7 +554,8 @@ UNION ALL SELECT c_custkey, NULL, 'pending' FROM customer WHERE c_custkey % 8 =
 def chain_replay(spark, sf_dir):
     """Dead letters go through a mended chain again: what is good now is merged, the rest waits as dead letters of a new run."""
     source, target, letters = (shared_path(spark) for _ in range(3))
-    df = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.expr("case when c_custkey % 8 = 0 then 'none' when c_custkey % 4 = 0 then 'minus' else string(bigint(floor(c_acctbal))) end").alias("n"))
+    n = F.expr("case when c_custkey % 8 = 0 then 'none' when c_custkey % 4 = 0 then 'minus' else string(bigint(floor(c_acctbal))) end")
+    df = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("id"), n.alias("n"))
     df.write.parquet(source)
     steps = [{"type": "cast", "column": "n", "target_type": "long"}, {"type": "add_constant", "column": "state", "value": "loaded"}]
     spec = {"sources": [{"type": "parquet", "path": source}], "dead_letters": letters, "steps": steps, "destinations": [{"name": "t", "path": target, "mode": "upsert", "match_keys": ["id"]}]}

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.functions.scratch import exists, listed, moved, removed
+from sluice.functions.scratch import exists, moved, removed
 
 from . import database, jdbc, messages, registry, rollwriter
 

@@ -136,7 +136,9 @@ STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def detect_changes(stream: DataFrame, out: str, keys: list[str], checkpoint: str, order: list[str] = (), gone: str | None = None, snapshot: str | None = None, ends: str | None = None) -> StreamingQuery:
+def detect_changes(
+    stream: DataFrame, out: str, keys: list[str], checkpoint: str, order: list[str] = (), gone: str | None = None, snapshot: str | None = None, ends: str | None = None
+) -> StreamingQuery:
     """Emit rows that are new or changed against the kept hashes, and keys that are gone; unchanged repeats give nothing.
 
     The hashes are state by key of the query, in its checkpoint: a batch reads and writes those of its own keys. INSERT, UPDATE
