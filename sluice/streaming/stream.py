@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
-from sluice.functions.scratch import read_text
+from sluice.functions.scratch import listed, read_text, removed, shared_path, write_new
 from sluice.operators import changes, merge
 from sluice.plans.pipeline import Pipeline
 from sluice.sources import sinks
@@ -83,103 +83,84 @@ def merge_stream(stream: DataFrame, table: VersionedTable, keys: list[str], orde
     return each_batch(stream, action, checkpoint)
 
 
-class Differences(StatefulProcessor):
-    """Keeps by key the hash of its row and, with snapshots, when it is missed; emits what is new, changed or gone."""
-
-    def __init__(self, columns: list[str], order: list[str], snapshots: bool):
-        self.columns, self.order, self.snapshots = columns, order, snapshots
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.kept = handle.getValueState("kept", "hash string, due long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        last = None
-        for frame in rows:  # of a key's rows of one batch only the last is held
-            frame = frame.set_axis(self.columns, axis=1)  # Spark hands them over by place
-            frame = pd.concat([last, frame]) if last is not None else frame
-            frame = frame[~frame["_mark"].astype(bool)]
-            last = frame.sort_values(self.order, kind="stable", na_position="first").iloc[-1:] if len(frame) else last
-        if last is None:
-            return
-        before, due = self.kept.get() or (None, None)
-        now = last["_hash"].iloc[0]
-        if due is not None and self.snapshots:
-            self.handle.deleteTimer(due)
-        if pd.isna(now):
-            self.kept.clear()
-            if before is not None:
-                yield self._said(key, None, "DELETE")
-            return
-        due = 2000 * int(last["_snap"].iloc[0]) + 3500 if self.snapshots else None
-        if due is not None:
-            self.handle.registerTimer(due)
-        if now != before or due is not None:
-            self.kept.update((now, due))
-        if now != before:
-            yield self._said(key, last["_body"].iloc[0], "INSERT" if before is None else "UPDATE")
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if self.kept.exists():
-            self.kept.clear()
-            yield self._said(key, None, "DELETE")
-
-    @staticmethod
-    def _said(key: tuple, body: str | None, what: str) -> pd.DataFrame:
-        return pd.DataFrame({"_name": [key[0]], "_body": [body], merge.OP: [what]})
-
-    def close(self) -> None:
-        pass
-
-
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The kept state of change detection: key as JSON, row hash, and the last snapshot that held it.
+HASHES = "_name string, _old binary, _last long"
 
 
 def detect_changes(
-    stream: DataFrame, out: str, keys: list[str], checkpoint: str, order: list[str] = (), gone: str | None = None, snapshot: str | None = None, ends: str | None = None
+    stream: DataFrame, out: str, keys: list[str], checkpoint: str, order: list[str] = (), gone: str | None = None, snapshot: str | None = None, ends: str | None = None, buckets: int = 64
 ) -> StreamingQuery:
     """Emit rows that are new or changed against the kept hashes, and keys that are gone; unchanged repeats give nothing.
 
-    The hashes are state by key of the query, in its checkpoint: a batch reads and writes those of its own keys. INSERT, UPDATE
-    or DELETE is in _cdc_op; a DELETE has the keys and nulls. Of the rows of a key in one batch the last by order counts;
-    without an order, by their JSON.
+    The hashes are a versioned table in the checkpoint: a batch is joined with it, and the buckets of the keys that it changes are
+    rewritten. A batch's changes are written before its hashes are committed, and its number stands in the table's ledger, so one that
+    comes again gives the same. INSERT, UPDATE or DELETE is in _cdc_op; a DELETE has the keys and nulls. Of the rows of a key
+    in one batch the last by order counts; without an order, by their JSON.
 
     Keys are deleted in two ways. Rows for which the SQL condition gone holds say so of their key. Or the stream brings
     whole snapshots: the column snapshot numbers them one after another, and a row for which the condition ends holds says
-    that all rows of its snapshot have come; then the keys that it lacks are deleted. Rows of a snapshot that come
-    after its end are late and are ignored.
+    that all rows of its snapshot have come, as does a row of a later snapshot for those before; then the keys that it lacks are
+    deleted. Rows of a snapshot that come in a batch after its end are late and are ignored.
     """
     spark, kinds = stream.sparkSession, stream.schema
     rest = [c for c in stream.columns if c not in keys and c != snapshot]
     told = lambda text: F.coalesce(F.expr(text), F.lit(False)) if text else F.lit(False)
     as_json = lambda names: F.to_json(F.struct(*[f"`{c}`" for c in names]), {"ignoreNullFields": "false"})
-    plain = stream.drop(snapshot) if snapshot else stream
-    rows = stream.select(
-        as_json(keys).alias("_name"),
-        as_json(rest).alias("_body"),
-        F.when(~told(gone), changes.row_hash(plain, keys)).alias("_hash"),
-        (F.col(snapshot).cast("long") if snapshot else F.lit(0).cast("long")).alias("_snap"),
-        told(ends).alias("_mark"),
-        *[F.col(f"`{c}`").alias(f"_by{k}") for k, c in enumerate(order)],
-    )
-    by = ["_snap", *([f"_by{k}" for k in range(len(order))] or ["_body"])]
-    # Two seconds of event time for each snapshot: its rows lie at the first and let the last one end, its mark at the second.
-    rows = rows.withColumn("_at", F.timestamp_seconds(2 * F.col("_snap") + 2 + F.col("_mark").cast("int")))
-    rows = rows.withWatermark("_at", "1 second") if snapshot else rows
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in ("_name", "_body", merge.OP)])
-    found = rows.groupBy("_name").transformWithStateInPandas(Differences(rows.columns, by, bool(snapshot)), schema, "update", "EventTime" if snapshot else "None")
+    kept = VersionedTable(spark, f"{checkpoint.rstrip('/')}/hashes", HASHES, ["_name"], buckets)
+    marks = f"{checkpoint.rstrip('/')}/ended"
+    number_of = F.coalesce(F.col(snapshot).cast("long"), F.raise_error(F.lit("a row has no snapshot number")).cast("long")) if snapshot else F.lit(0).cast("long")
+
+    def ended_before(number: int) -> int | None:
+        """The last snapshot that had ended before a batch; files named batch=snapshot tell."""
+        found = [tuple(map(int, n.split("="))) for n in listed(spark, marks) if re.fullmatch(r"[0-9]+=-?[0-9]+", n)]
+        return max(((n, s) for n, s in found if n < number), default=(None, None))[1]
 
     def action(batch: DataFrame, number: int) -> None:
+        app, paths = application(spark, checkpoint), []
+        if kept.ledger().get(app, -1) >= number:
+            return
+        plain = batch.drop(snapshot) if snapshot else batch
+        rows = batch.select(
+            as_json(keys).alias("_name"),
+            as_json(rest).alias("_body"),
+            F.when(~told(gone), F.unhex(changes.row_hash(plain, keys))).alias("_hash"),
+            number_of.alias("_snap"),
+            told(ends).alias("_mark"),
+            *[F.col(f"`{c}`").alias(f"_by{k}") for k, c in enumerate(order)],
+        )
+        before = ended = ended_before(number) if snapshot else None
+        if snapshot:
+            last = rows.agg(F.max(F.col("_snap") - 1 + F.col("_mark").cast("int"))).first()[0]
+            ended = max((e for e in (before, last) if e is not None), default=None)
+            rows = rows.where(F.col("_snap") > before) if before is not None else rows
+        place = F.struct("_snap", *[f"_by{k}" for k in range(len(order))], "_body")
+        newest = rows.where("not _mark").groupBy("_name").agg(F.max_by(F.struct("_body", "_hash", "_snap"), place).alias("_row"))
+        came = spark.read.parquet(_written(newest.select("_name", "_row.*", F.lit(True).alias("_came")), paths))
+        # Only where a snapshot has ended can keys go that did not come.
+        both = came.join(kept.read(), "_name", "full" if ended != before else "left")
+        now, at = F.when(F.col("_came"), F.col("_hash")).otherwise(F.col("_old")), F.coalesce("_snap", "_last")
+        both = both.withColumn("_now", F.when((at >= ended) if ended is not None else F.lit(True), now))
+        op = F.when(F.col("_now").isNull(), F.when(F.col("_old").isNotNull(), "DELETE")).when(F.col("_old").isNull(), "INSERT").when(F.col("_old") != F.col("_now"), "UPDATE")
+        both = both.select("_name", "_body", "_now", at.alias("_at"), op.alias(merge.OP), "_came")
+        both = both.where(F.col(merge.OP).isNotNull() | (F.col("_came") & F.col("_now").isNotNull() & F.lit(bool(snapshot))))
+        found = spark.read.parquet(_written(both, paths))
         of = lambda column, names: F.from_json(column, T.StructType([kinds[n] for n in names]))
-        back = batch.select(of("_name", keys).alias("k"), of("_body", rest).alias("b"), merge.OP)
+        back = found.where(F.col(merge.OP).isNotNull()).select(of("_name", keys).alias("k"), of("_body", rest).alias("b"), merge.OP)
         values = [F.when(F.col(merge.OP) != "DELETE", F.col(f"b.`{c}`")).alias(c) for c in rest]
         named = F.concat_ws(":", *[F.col(f"k.`{k}`").cast("string") for k in keys]).alias(merge.KEY)
-        sinks.replace(back.select("k.*", *values, merge.OP, named), f"{out}/app={application(spark, checkpoint)}/batch={number}")
-
-    before = spark.conf.get(STATE_STORE)
-    spark.conf.set(STATE_STORE, ROCKS)  # keeps state by key on disk and writes what changed; a query holds what it started with
-    try:
-        return each_batch(found, action, checkpoint, "update")
-    finally:
-        spark.conf.set(STATE_STORE, before)
+        sinks.replace(back.select("k.*", *values, merge.OP, named), f"{out}/app={app}/batch={number}")
+        if ended != before:
+            write_new(spark, f"{marks}/{number}={ended}", "")
+        after = lambda old, given: merge.without(old, given, ["_name"]).unionByName(given.where("_old is not null"))
+        kept.merge(found.select("_name", F.col("_now").alias("_old"), F.col("_at").alias("_last")), after, app, number)
+        for path in paths:
+            removed(spark, path)
+
+    return each_batch(stream, action, checkpoint)
+
+
+def _written(df: DataFrame, paths: list[str]) -> str:
+    """The folder, added to paths, into which a frame is written once."""
+    paths.append(shared_path(df.sparkSession))
+    df.write.parquet(paths[-1])
+    return paths[-1]

@@ -1,11 +1,13 @@
 """Queries on tables with odd rows or large keys, against their DuckDB SQL."""
 
+import time
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from sluice.plans.queries import QUERIES, SQL
+from sluice.streaming import stream
 
 from .compare import same
 
@@ -41,3 +43,26 @@ def test_equal_depth_shards_of_large_keys(spark, sf_dir, replaced):
 def test_equal_depth_shards_without_rows(spark, sf_dir, replaced):
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").limit(0)
     same(QUERIES["equal_depth_shards"](spark, found := replaced(lineitem=lines)), SQL["equal_depth_shards"], found)
+
+
+def test_changes_at_size_do_without_a_call_for_each_key(spark, tmp_path):
+    """100,000 keys, of which a snapshot lacks some, others come late or twice; a batch that comes again gives the same."""
+    source, out, checkpoint = (str(tmp_path / n) for n in ("s", "o", "c"))
+    kind, began = "k long, v string, snap int, last boolean", time.time()
+    row = lambda where, snap, v="'a'": spark.range(100_000).where(where).selectExpr("id as k", f"{v} as v", f"{snap} as snap", "false as last")
+    mark = lambda snap: spark.createDataFrame([(None, None, snap, True)], kind)
+    late = row("id = 5", 1).unionByName(row("id = 7", 3)).unionByName(row("id = 7", 3, "'b'"))
+    for df in (row("id >= 0", 1), mark(1), row("id % 2 = 0", 2, "if(id % 4 = 0, 'b', 'a')"), mark(2), late, row("id = 9", 5)):
+        df.coalesce(1).write.mode("append").parquet(source)
+        incoming = stream.available(spark, source, spark.createDataFrame([], kind).schema)
+        stream.detect_changes(incoming, out, ["k"], checkpoint, snapshot="snap", ends="last").awaitTermination()
+    got = spark.read.parquet(out).groupBy("batch", "_cdc_op", "v").count().collect()
+    assert {(r.batch, r._cdc_op, r.v): r["count"] for r in got} == {
+        (0, "INSERT", "a"): 100_000,
+        (2, "UPDATE", "b"): 25_000,
+        (3, "DELETE", None): 50_000,
+        (4, "INSERT", "b"): 1,
+        (5, "DELETE", None): 50_001,
+        (5, "INSERT", "a"): 1,
+    }
+    assert time.time() - began < 150
