@@ -37,10 +37,14 @@ def encrypt_fields(df: DataFrame, fields: list[str], key: bytes | str) -> DataFr
 def decrypt_fields(df: DataFrame, fields: list[str], key: bytes | str, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """Decrypted rows; and the rows in which a value did not decrypt, as they were, with the reason in _error."""
     fields = [f for f in fields if f in df.columns]
-    errors = [F.when(F.col(f).isNotNull() & decrypted(F.col(f), key).isNull(), F.lit(f"{f}: cannot decrypt")) for f in fields]
+    if fields:
+        # As a generator's output the texts are computed once: filters and selections above do not take a copy of the cipher.
+        df = df.select("*", F.explode(F.array(F.struct(*[decrypted(F.col(f), key).alias(f"_{k}") for k, f in enumerate(fields)]))).alias("_opened"))
+    opened = {f: F.col("_opened")[f"_{k}"] for k, f in enumerate(fields)}
+    errors = [F.when(F.col(f).isNotNull() & text.isNull(), F.lit(f"{f}: cannot decrypt")) for f, text in opened.items()]
     marked = keep(df.withColumn("_error", F.concat_ws("; ", *errors)))
-    good = marked.filter("_error = ''").drop("_error").withColumns({f: decrypted(F.col(f), key) for f in fields})
-    return good, marked.filter("_error <> ''")
+    good = marked.filter("_error = ''").withColumns(opened).drop("_error", "_opened")
+    return good, marked.filter("_error <> ''").drop("_opened")
 
 
 def seal(col: Column, keys: dict[int, bytes | str], version: int, tenant: Column) -> Column:

@@ -88,6 +88,11 @@ def latest_per_key(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return last.select(*[F.col(c) if c in keys else F.col("_last")[c].alias(c) for c in df.columns])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly over all cores, for steps that cost much a row: a small file of many rows is a single task else."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def union_sources(sources: dict[str, DataFrame], label: str = "_source") -> DataFrame:
     """All rows of all sources; columns that a source lacks are null, and its name stands in one more column."""
     named = [df.withColumn(label, F.lit(name)) for name, df in sources.items()]

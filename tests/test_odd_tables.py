@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from sluice.operators import protect
 from sluice.plans.queries import QUERIES, SQL
 from sluice.streaming import stream
 
@@ -66,3 +67,17 @@ def test_changes_at_size_do_without_a_call_for_each_key(spark, tmp_path):
         (5, "INSERT", "a"): 1,
     }
     assert time.time() - began < 150
+
+
+def test_each_value_is_decrypted_once(spark):
+    sealed = protect.encrypt_fields(spark.createDataFrame([(1, "Mirko", None), (2, "Ulf", "x")], "id long, name string, note string"), ["name", "note"], "k" * 32)
+    for df in protect.decrypt_fields(sealed, ["name", "note"], "k" * 32):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("aesDecrypt") + plan.count("try_aes_decrypt") <= 2
+    good, bad = protect.decrypt_fields(sealed, ["name", "note"], "k" * 32)
+    assert sorted(map(tuple, good.collect())) == [(1, "Mirko", None), (2, "Ulf", "x")] and bad.isEmpty()
+    assert protect.decrypt_fields(sealed, ["missing"], "k" * 32)[0].columns == sealed.columns
+
+
+def test_ciphers_run_on_all_cores(spark, sf_dir):
+    assert QUERIES["decrypt_fields"](spark, sf_dir).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
