@@ -13,9 +13,10 @@ it there, which keeps every component. Components come from rounds of large and
 keep_first links texts by the similarity of their shingle sets instead. Texts of similarity 0.8 differ in some 15 % of
 their bits, too many for blocks that must agree. So fingerprints of 128 bits are filed under roots of sampled bits in as
 many tables as a pair of that similarity needs to share a root with probability RECALL; root bits grow with the
-logarithm of the texts, so roots hold few texts of no likeness. The index finds the candidates; of a text with many of
-them only the edges of a minimum spanning forest by differing bits are kept, its nearest one among them. Only edges whose shingle sets
-are similar enough are links.
+logarithm of the texts, so roots hold few texts of no likeness. The index finds the candidates. Each text's nearest ones
+are verified on the shingle sets first. What these links leave in different components is then tried under each root, all
+pairs within the distance, beside the shingle sets, until a link joins their components: no candidate is left out, and
+a root gives fewer links than it has members.
 
 Defined results: a null or wordless text has fingerprint zero and links like any other, so such texts are copies of each
 other; rows with a null id take part; repeated rows stay in near_duplicates and go in keep_first; an empty table gives an
@@ -25,7 +26,7 @@ empty result; other columns pass unchanged, whatever their names.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,14 +45,14 @@ FULL = (1 << 64) - 1
 WORDS, RECALL, ROOM = 2, 0.9, 6
 #: Tables at least: for few texts, whose roots have few bits, they cost little and leave hardly a pair apart.
 LEAST_TABLES = 24
-#: Members of one root that are searched together; a larger root is cut in Gray order, at other places in each table.
+#: Members of one root in which the nearest are searched together; a larger root is cut in Gray order for that, not for the others.
 RUN = 2048
 #: Members of a root up to which it is searched together with others.
 JOINT = 256
-#: Near ones of a member under a root up to which all are candidates; beyond, those that a spanning forest joins it to.
-ALL = 128
-#: Nearest candidates of each text that are verified first; others within a component known by then need no look.
+#: Nearest candidates of each text that are verified first; all others are then looked for between the components known by then.
 FIRST = 3
+#: Shingles, and bytes, that a task looks at together.
+TOGETHER, HELD_BYTES = 1 << 22, 1 << 26
 #: Rows that are broadcast at most, of 16 bytes each; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -121,9 +122,13 @@ class GrayIndex:
     FAN = 8
     #: Searches that go down the levels together; a fingerprint has at most 2080 others within two bits.
     STEP = 1024
+    #: Pairs that are looked at together at most.
+    MOST = 1 << 21
 
-    def __init__(self, members: np.ndarray):
+    def __init__(self, members: np.ndarray, groups: np.ndarray | None = None):
         self.order = np.lexsort([gray_rank(w) for w in members.T[::-1]])
+        #: With groups only pairs of different ones are searched; per level each node's group, -1 if its members are of several.
+        self.groups = None if groups is None else [groups[self.order]]
         self.members = members[self.order]
         #: From the bottom up: the shared bits of each node and the mask that says which they are.
         self.levels: list[tuple[np.ndarray, np.ndarray]] = [(self.members, np.full(members.shape, FULL, np.uint64))]
@@ -132,18 +137,24 @@ class GrayIndex:
             at = np.arange(0, len(low), self.FAN)
             low, high = np.bitwise_and.reduceat(low, at), np.bitwise_or.reduceat(high, at)
             self.levels.append((low, ~(low ^ high)))
+            if self.groups:
+                least, most = (f.reduceat(self.groups[-1], at) for f in (np.minimum, np.maximum))
+                self.groups.append(np.where(least == most, most, -1))
 
     def pairs(self, distance: int, roots: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Places in Gray order, and differing bits, of all pairs within the distance that agree on the bits of roots in their first word."""
         roots = roots[self.order]
-        for a in range(0, len(self.members), self.STEP):
-            who = np.arange(a, min(a + self.STEP, len(self.members)))
+        step = min(self.STEP, max(1, self.MOST // len(self.members)))
+        for a in range(0, len(self.members), step):
+            who = np.arange(a, min(a + step, len(self.members)))
             node = np.zeros_like(who)
             for k in range(len(self.levels) - 1, -1, -1):
                 pattern, mask = self.levels[k]
                 differ = (self.members[who] ^ pattern[node]) & mask[node]
                 bits = np.bitwise_count(differ).sum(1, dtype=np.int64)
                 keep = (bits <= distance) & (differ[:, 0] & roots[who] == 0)
+                if self.groups:
+                    keep &= self.groups[k][node] != self.groups[0][who]
                 who, node, bits = who[keep], node[keep], bits[keep]
                 if k:
                     node = (node[:, None] * self.FAN + np.arange(self.FAN)).ravel()
@@ -161,34 +172,59 @@ class GrayIndex:
         return found
 
 
-def spanning(members: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which edges, given in order of their length, belong to the minimum spanning forest."""
-    keep, label, left = np.zeros(len(a), bool), np.arange(members), np.arange(len(a))
-    while True:
-        left = left[label[a[left]] != label[b[left]]]
-        if not len(left):
-            return keep
-        # The first edge out of each component, in one order for all, belongs to the forest.
-        best = np.full(members, len(a))
-        np.minimum.at(best, label[a[left]], left)
-        np.minimum.at(best, label[b[left]], left)
-        best = np.unique(best[best < len(a)])
-        keep[best] = True
-        label = unite(label, a[best], b[best])
-
-
-def worth(index: GrayIndex, distance: int, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate edges and their differing bits, the edges as places in the order given: all pairs within the distance of members with at most ALL such
-    partners; of the others a minimum spanning forest, which joins each member to its nearest."""
-    found = [tuple(x[a < b] for x in (a, b, bits)) for a, b, bits in index.pairs(distance, roots)]
+def nearest(index: GrayIndex, distance: int, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges from each member to its FIRST nearest ones within the distance, as places in the order given, and their differing bits."""
+    found = []
+    for a, b, bits in index.pairs(distance, roots):
+        a, b, bits = (x[a != b] for x in (a, b, bits))
+        order = np.lexsort((b, bits, a))
+        a, b, bits = a[order], b[order], bits[order]
+        begins = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
+        place = np.arange(len(a)) - np.repeat(begins, np.diff(np.r_[begins, len(a)]))
+        found.append(tuple(x[place < FIRST] for x in (a, b, bits)))
     a, b, bits = map(np.concatenate, zip(*found, strict=True))
-    order = np.lexsort((b, a, bits))
-    a, b, bits = a[order], b[order], bits[order]
-    near = np.bincount(np.concatenate((a, b)), minlength=len(index.order))
-    keep = (near[a] <= ALL) & (near[b] <= ALL)
-    large = np.flatnonzero(~keep)
-    keep[large] = spanning(len(index.order), a[large], b[large])
-    return index.order[a[keep]], index.order[b[keep]], bits[keep]
+    return index.order[a], index.order[b], bits
+
+
+def linking(index: GrayIndex, distance: int, roots: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Links that join the groups of an index: places, in the order given, of pairs of different groups within the distance whose sets are similar
+    enough. Every such pair is tried unless links found before join its groups, so there are fewer links than members."""
+    sets = [sets[k] for k in index.order]
+    sizes = np.array([len(x) for x in sets])
+    starts = np.cumsum(sizes) - sizes
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    held, label = np.zeros(len(values), bool), np.unique(index.groups[0], return_inverse=True)[1]
+    left, right = [], []
+    for a, b, _ in index.pairs(distance, roots):
+        # Of two sets the smaller one's share of the larger bounds their similarity.
+        low, high = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+        keep = (a < b) & (low >= similarity * high - 1e-9)
+        a, b = a[keep], b[keep]
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        if not len(a):
+            continue
+        begins = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+        for begin, end in zip(begins, [*begins[1:], len(a)], strict=True):
+            who, others = a[begin], b[begin:end]
+            mine = ids[starts[who] : starts[who] + sizes[who]]
+            held[mine] = True
+            others = others[label[others] != label[who]]
+            while len(others):
+                # Sets of bounded size in all are looked at together.
+                some = others[: max(1, int(np.searchsorted(np.cumsum(sizes[others]), TOGETHER)))]
+                others = others[len(some) :]
+                of = np.repeat(np.arange(len(some)), sizes[some])
+                at = np.repeat(starts[some] - (np.cumsum(sizes[some]) - sizes[some]), sizes[some]) + np.arange(len(of))
+                common = np.bincount(of, weights=held[ids[at]], minlength=len(some))
+                linked = some[common >= similarity * (sizes[who] + sizes[some] - common) - 1e-9]
+                for group, place in zip(*np.unique(label[linked], return_index=True), strict=True):
+                    left.append(index.order[who])
+                    right.append(index.order[linked[place]])
+                    label[label == group] = label[who]
+                others = others[label[others] != label[who]]
+            held[mine] = False
+    return left, right
 
 
 def refined(filed: DataFrame, distance: int) -> DataFrame:
@@ -332,68 +368,116 @@ def plan(texts: int, similarity: float) -> tuple[int, int, int]:
 
 
 def filed(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
-    """Each node (node, w0, w1) once per table: its bits in an order of the table's own, the first word as its Gray rank."""
+    """Each node (node, w0, w1, own, and what else it has) once per table, or in those of its column ts: its bits in an order of the table's own, the
+    first word as its Gray rank. Rows of a root are in one partition, in Gray order."""
     orders = [np.random.default_rng((SEED, t)).permutation(64 * WORDS) for t in range(tables)]
+    chosen = "ts" in nodes.columns
+    rest = ["node", "own", *[c for c in nodes.columns if c == "shingles"]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = np.stack([batch.column(f"w{k}").to_numpy() for k in range(WORDS)], axis=1)
             each = np.unpackbits(np.ascontiguousarray(words, ">i8").view(np.uint8).reshape(len(batch), -1), axis=1)
+            wanted = [set(ts) for ts in batch.column("ts").to_pylist()] if chosen else None
             for t, order in enumerate(orders):
-                x = np.ascontiguousarray(np.packbits(each[:, order], axis=1)).view(">u8").astype(np.uint64)
+                at = np.array([k for k, ts in enumerate(wanted) if t in ts], np.int64) if chosen else np.arange(len(batch))
+                if not len(at):
+                    continue
+                x = np.ascontiguousarray(np.packbits(each[at][:, order], axis=1)).view(">u8").astype(np.uint64)
                 # Signed longs sort like the ranks once their first bit is turned over.
                 rank = (gray_rank(x[:, 0]) ^ np.uint64(1 << 63)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), t, np.int32)), pa.array(rank), pa.array(x[:, 1].view(np.int64)), batch.column("node")], ["t", "rank", "x1", "node"])
+                others = [batch.column(c).take(pa.array(at)) for c in rest]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(rank), pa.array(x[:, 1].view(np.int64)), *others], ["t", "rank", "x1", *rest])
 
-    return nodes.select("node", *[f"w{k}" for k in range(WORDS)]).mapInArrow(run, "t int, rank long, x1 long, node long")
+    nodes = nodes.select(*[f"w{k}" for k in range(WORDS)], *rest, *(["ts"] if chosen else []))
+    rows = nodes.mapInArrow(run, "t int, rank long, x1 long, node long, own long" + (", shingles binary" if "shingles" in rest else ""))
+    return rows.repartition("t", F.shiftright("rank", 64 - bits)).sortWithinPartitions("t", "rank")
 
 
-def candidates(nodes: DataFrame, similarity: float, texts: int) -> DataFrame:
-    """Edges (a, b, bits) of candidates under all roots of all tables, with their differing bits."""
-    bits, tables, distance = plan(texts, similarity)
+def by_root(rows: DataFrame, bits: int, cut: int | None, look: Callable, schema: str) -> DataFrame:
+    """What look makes of the members of each root, or of several small ones of a table together: it gets their columns, bits and root masks. Large roots
+    are cut into runs of so many members, or stay whole."""
 
-    def joined(table: pa.Table) -> pa.RecordBatch:
-        t, rank, x1, node = (table.column(c).to_numpy() for c in ("t", "rank", "x1", "node"))
+    def joined(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        t, rank, x1 = (table.column(c).to_numpy() for c in ("t", "rank", "x1"))
         g = rank.view(np.uint64) ^ np.uint64(1 << 63)
         x = np.stack((g ^ (g >> np.uint64(1)), x1.view(np.uint64)), axis=1)
         root = g >> np.uint64(64 - bits)
         starts = np.flatnonzero(np.r_[True, (root[1:] != root[:-1]) | (t[1:] != t[:-1])])
         sizes = np.diff(np.r_[starts, len(g)])
-        # Large roots in runs of their own; between them the small ones of a table together.
+        # Large roots on their own; between them the small ones of a table together.
         cuts = {0, len(g), *np.flatnonzero(np.diff(t)) + 1}
         for start, size in zip(starts[sizes > JOINT].tolist(), sizes[sizes > JOINT].tolist(), strict=True):
-            cuts |= {*range(start, start + size, RUN), start + size}
+            cuts |= {*range(start, start + size, cut or size), start + size}
         cuts = sorted(cuts)
-        a, b, of = [], [], []
         for low, high in zip(cuts, cuts[1:], strict=False):
-            if high - low < 2:
-                continue
-            i, j, bit = worth(GrayIndex(x[low:high]), distance, np.full(high - low, FULL << (64 - bits) & FULL, np.uint64))
-            a.append(node[low + i])
-            b.append(node[low + j])
-            of.append(bit.astype(np.int32))
-        a, b, of = (np.concatenate(v) if v else np.zeros(0, d) for v, d in ((a, np.int64), (b, np.int64), (of, np.int32)))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(of)], ["a", "b", "bits"])
+            if high - low > 1:
+                yield from look(table.slice(low, high - low), x[low:high], np.full(high - low, FULL << (64 - bits) & FULL, np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held, rows, size, more = [], 0, 0, 1
         for batch in batches:
             held.append(batch)
-            if sum(map(len, held)) < ROOT_MEMBERS:
+            rows, size = rows + len(batch), size + batch.nbytes
+            if rows < more * ROOT_MEMBERS and size < more * HELD_BYTES:
                 continue
-            # Whole roots leave, and whole runs of one that goes on in the next batch.
+            # Whole roots leave, or whole runs of one that goes on in the next batch.
             table = pa.Table.from_batches(held).combine_chunks()
             t, root = table.column("t").to_numpy(), table.column("rank").to_numpy() >> (64 - bits)
             same = (t == t[-1]) & (root == root[-1])
             begin = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-            end = begin + (len(same) - begin) // RUN * RUN
-            yield joined(table.slice(0, end))
-            held = table.slice(end).to_batches()
+            end = begin + ((len(same) - begin) // cut * cut if cut else 0)
+            yield from joined(table.slice(0, end))
+            held, more = table.slice(end).to_batches(), 1 if end else 2 * more
+            rows, size = len(table) - end, sum(b.nbytes for b in held)
         if held:
-            yield joined(pa.Table.from_batches(held).combine_chunks())
+            yield from joined(pa.Table.from_batches(held).combine_chunks())
+
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(run, schema)
+
+
+def candidates(nodes: DataFrame, similarity: float, texts: int) -> DataFrame:
+    """Edges (a, b, bits) from each node to its nearest candidates under the roots of all tables, with their differing bits."""
+    bits, tables, distance = plan(texts, similarity)
+
+    def look(table: pa.Table, x: np.ndarray, roots: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node = table.column("node").to_numpy()
+        i, j, of = nearest(GrayIndex(x), distance, roots)
+        a, b = node[i], node[j]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(of.astype(np.int32))], ["a", "b", "bits"])
 
-    small_batches(nodes.sparkSession)
-    return filed(nodes, bits, tables).repartition("t", F.shiftright("rank", 64 - bits)).sortWithinPartitions("t", "rank").mapInArrow(run, "a long, b long, bits int")
+    return by_root(filed(nodes.withColumn("own", F.col("node")), bits, tables), bits, RUN, look, "a long, b long, bits int")
+
+
+def apart(nodes: DataFrame, similarity: float, texts: int) -> DataFrame:
+    """node and ts, the tables under whose roots it has a candidate of another component; nodes tell their own one."""
+    bits, tables, distance = plan(texts, similarity)
+
+    def look(table: pa.Table, x: np.ndarray, roots: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node, own = table.column("node").to_numpy(), table.column("own").to_numpy()
+        found = np.zeros(len(node), bool)
+        if (own != own[0]).any():
+            index = GrayIndex(x, own)
+            for a, _, _ in index.pairs(distance, roots):
+                found[index.order[a]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(node[found]), table.column("t").combine_chunks().filter(pa.array(found))], ["node", "t"])
+
+    found = by_root(filed(nodes, bits, tables), bits, None, look, "node long, t int")
+    return materialize(found.groupBy("node").agg(F.collect_set("t").alias("ts")))
+
+
+def joining(nodes: DataFrame, similarity: float, texts: int) -> DataFrame:
+    """Links (a, b) that join the components of nodes with shingles, tried under the roots of their tables ts."""
+    bits, tables, distance = plan(texts, similarity)
+
+    def look(table: pa.Table, x: np.ndarray, roots: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node, own = table.column("node").to_numpy(), table.column("own").to_numpy()
+        sets = [np.frombuffer(v, np.uint32) for v in table.column("shingles").to_pylist()]
+        i, j = linking(GrayIndex(x, own), distance, roots, sets, similarity)
+        yield pa.RecordBatch.from_arrays([pa.array(node[np.array(k, np.int64)]) for k in (i, j)], ["a", "b"])
+
+    return by_root(filed(nodes, bits, tables), bits, None, look, "a long, b long")
 
 
 def similar(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -433,16 +517,20 @@ def similar_components(nodes: DataFrame, texts: DataFrame, width: int, similarit
     # A text has a bounded number of candidates in each table.
     nearest = ends.groupBy("node").agg(F.slice(F.array_sort(F.collect_set(F.struct("bits", "a", "b"))), 1, FIRST).alias("edges"))
     first = materialize(nearest.select(F.explode("edges").alias("e")).select("e.a", "e.b").distinct())
-    wanted = materialize(nodes.join(ends.select("node").distinct(), "node", "left_semi").select("node", "k0", "k1"))
-    held = texts.join(few(wanted), ["k0", "k1"]).dropDuplicates(["node"])
-    sets = materialize(held.select("node", "text").mapInArrow(shingled, "node long, shingles binary"))
-    linked = materialize(similar(first, sets, similarity))
+
+    def shingles(some: DataFrame) -> DataFrame:
+        wanted = materialize(nodes.join(some, "node", "left_semi").select("node", "k0", "k1"))
+        held = texts.join(few(wanted), ["k0", "k1"]).dropDuplicates(["node"])
+        return materialize(held.select("node", "text").mapInArrow(shingled, "node long, shingles binary"))
+
+    linked = materialize(similar(first, shingles(ends.select("node").distinct()), similarity))
     known = components(linked)
-    rest = found.select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    for side in ("a", "b"):
-        rest = rest.join(known.select(F.col("fp").alias(side), F.col("first").alias(f"in_{side}")), side, "left")
-    rest = materialize(rest.where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b"))
-    more = materialize(similar(rest, sets, similarity))
+    texts_in = nodes.count()
+    placed = nodes.join(known.select(F.col("fp").alias("node"), F.col("first").alias("own")), "node", "left").withColumn("own", F.coalesce("own", "node"))
+    placed = materialize(placed.select("node", "own", *[f"w{k}" for k in range(WORDS)]))
+    others = apart(placed, similarity, texts_in)
+    tried = placed.join(others, "node").join(shingles(others.select("node")), "node")
+    more = materialize(joining(tried, similarity, texts_in))
     return known if more.isEmpty() else components(linked.unionByName(more))
 
 
