@@ -172,6 +172,12 @@ class Pipeline:
     def job(self) -> str:
         return self.spec.get("job_id", "job")
 
+    @property
+    def costly(self) -> bool:
+        """Whether scripts or ciphers run, which cost far more a row than dealing it anew."""
+        kinds = {step["type"] for step in self.spec.get("steps", [])}
+        return bool({"script", "encrypt", "decrypt"} & set(self.spec) | {"script", "script_transform", "plugin"} & kinds)
+
     def apply(self, df: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df, keep_checked: Callable[[DataFrame], DataFrame] | None = None, read: bool = False) -> Result:
         """The chain as one plan. Where rows part into good and bad ones, keep may store the tagged rows; else each reads the source.
 

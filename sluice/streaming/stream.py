@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sluice.functions.scratch import listed, read_text, removed, shared_path, write_new
 from sluice.operators import changes, merge
+from sluice.operators.rows import spread
 from sluice.plans.pipeline import Pipeline
 from sluice.sources import sinks
 from sluice.sources.versioned import VersionedTable
@@ -47,7 +48,8 @@ def run_chain(stream: DataFrame, pipeline: Pipeline, target: str | None, letters
 
     def action(batch: DataFrame, number: int) -> None:
         app = application(spark, checkpoint)
-        result, rejected = pipeline.applied(batch)
+        # A batch of one small file is a single task, however much its steps cost a row.
+        result, rejected = pipeline.applied(spread(batch) if pipeline.costly else batch)
         if target:
             sinks.replace(result.good, f"{target}/app={app}/batch={number}")
         sinks.replace(rejected, f"{letters}/app={app}/batch={number}")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.operators import protect
+from sluice.plans.pipeline import Pipeline
 from sluice.plans.queries import QUERIES, SQL
 from sluice.streaming import stream
 
@@ -81,3 +82,14 @@ def test_each_value_is_decrypted_once(spark):
 
 def test_ciphers_run_on_all_cores(spark, sf_dir):
     assert QUERIES["decrypt_fields"](spark, sf_dir).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_scripts_in_a_stream_run_on_all_cores(spark, tmp_path):
+    source, out = str(tmp_path / "s"), str(tmp_path / "o")
+    df = spark.range(4000).withColumn("task", F.lit(None).cast("int"))
+    df.coalesce(1).write.parquet(source)
+    code = "from pyspark import TaskContext\ndef transform_records(rows):\n    return [dict(r, task=TaskContext.get().partitionId()) for r in rows]\n"
+    chain = Pipeline({"steps": [{"type": "script", "code": code, "schema": "id long, task int"}]})
+    stream.run_chain(stream.available(spark, source, df.schema), chain, out, str(tmp_path / "l"), str(tmp_path / "c")).awaitTermination()
+    got = spark.read.parquet(out)
+    assert got.select("id").distinct().count() == 4000 and got.select("task").distinct().count() == spark.sparkContext.defaultParallelism
