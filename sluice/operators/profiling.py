@@ -14,18 +14,33 @@ from pyspark.sql import types as T
 #: Relative error of the sketches, and by how many of its deviations a sketch may fall short of what it is compared with.
 ERROR, SLACK = 0.02, 4
 COMPARED = (T.IntegralType, T.StringType, T.DateType, T.DecimalType)
+#: Rows of a task where nearly each row is a group of its own, and how many it may hold before the shuffle takes the longer way of writing.
+ROWS, MOST_ROWS = 500_000, 2_000_000
 
 
 def _sketch(*columns: str) -> Column:
     return F.approx_count_distinct(F.struct(*[f"`{c}`" for c in columns]), ERROR)
 
 
+def dealt(df: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """So many rows dealt by columns over tasks of ROWS each, to be grouped by them.
+
+    The number of tasks follows from the rows, not from the session's shuffle partitions, so the memory of one does not grow with the
+    table. Groups meet here without partial sums, which save nothing where nearly all keys differ and would hold a whole split's keys.
+    Nor do writing tasks hold a split while a shuffle has few enough partitions to write each straight to a file; up to MOST_ROWS a task
+    they stay that few. Beyond, a writing task sorts the rows of its split, which the table's size does not change, and spills.
+    """
+    straight = int(df.sparkSession.sparkContext.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    tasks = min(-(-rows // ROWS), max(straight, -(-rows // MOST_ROWS)))
+    return df.repartition(max(1, tasks), *[F.col(f"`{c}`") for c in columns])
+
+
 def composite_keys(df: DataFrame, columns: list[str], most: int = 3) -> DataFrame:
     """Minimal sets of at most so many columns that have no nulls and tell all rows apart: columns, as a sorted array.
 
     Levels of one, two and more columns are gone through. A level's sets are sketched together in one pass, which leaves few;
-    these are confirmed by exact counts, partly added up before the shuffle. Sets that hold a key are not looked at, nor are
-    columns with nulls. No rows have every single column as a key.
+    these are confirmed by exact counts in tasks of bounded size. Sets that hold a key are not looked at, nor are columns with
+    nulls. No rows have every single column as a key. The rows are gone over several times, so derived ones are better stored before.
     """
     counts = df.agg(F.count("*").alias("n"), *[F.count(f"`{c}`").alias(f"k{i}") for i, c in enumerate(columns)]).first()
     whole = sorted(c for i, c in enumerate(columns) if counts[f"k{i}"] == counts["n"])
@@ -37,7 +52,8 @@ def composite_keys(df: DataFrame, columns: list[str], most: int = 3) -> DataFram
         guessed = df.agg(*[_sketch(*s).alias(f"s{i}") for i, s in enumerate(sets)]).first()
         likely = [s for i, s in enumerate(sets) if guessed[f"s{i}"] >= counts["n"] * (1 - SLACK * ERROR)]
         for s in likely:
-            if df.groupBy(*[f"`{c}`" for c in s]).agg(F.count("*").alias("_rows")).where("_rows > 1").isEmpty():
+            keys = dealt(df.select(*[f"`{c}`" for c in s]), counts["n"], *s)
+            if keys.groupBy(*[f"`{c}`" for c in s]).agg(F.count("*").alias("_rows")).where("_rows > 1").isEmpty():
                 found.append(s)
     return df.sparkSession.createDataFrame([(list(s),) for s in found], "columns array<string>")
 

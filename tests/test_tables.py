@@ -354,6 +354,35 @@ def test_composite_keys(spark):
     assert profiling.composite_keys(spark.sql("select 1 as a, 2 as b from range(2)"), ["a", "b"]).isEmpty()
 
 
+def test_composite_keys_tasks_do_not_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(profiling, "ROWS", 10_000, raising=False)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    quantiles = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def most_read(since: int) -> tuple[int, int]:
+        """Last stage, and the most rows that a task of a stage after one read from a shuffle."""
+        stages, last, most = store.stageList(None, False, False, quantiles, None), since, 0
+        for i in range(stages.size()):
+            stage = stages.apply(i)
+            if stage.stageId() > since:
+                last, tasks = max(last, stage.stageId()), store.taskList(stage.stageId(), stage.attemptId(), 10_000)
+                metrics = [tasks.apply(j).taskMetrics() for j in range(tasks.size())]
+                most = max([most, *[m.get().shuffleReadMetrics().recordsRead() for m in metrics if m.isDefined()]])
+        return last, most
+
+    for rows in (50_000, 200_000):
+        since, _ = most_read(-1)
+        df = spark.range(rows).selectExpr("id div 100 as a", "id % 100 as b")
+        assert {tuple(r.columns) for r in profiling.composite_keys(df, ["a", "b"]).collect()} == {("a", "b")}
+        _, most = most_read(since)
+        assert 9_000 < most < 12_000
+
+
+def test_rows_are_dealt_by_their_number(spark):
+    parts = [profiling.dealt(spark.range(9), n, "id").rdd.getNumPartitions() for n in (0, 1, 500_001, 90_000_000, 216_000_000, 1_000_000_000)]
+    assert parts == [1, 1, 2, 180, 200, 500]
+
+
 def test_inclusions_ignore_names(spark):
     tables = {"p": spark.range(3000).selectExpr("id as x", "string(id) as s"), "c": spark.range(500).selectExpr("id * 2 as y", "if(id = 7, null, string(id)) as t", "id - 1 as z"), "e": spark.sql("select cast(null as long) as n")}
     found = {(r.child_table, r.child_column, r.parent_table, r.parent_column): r.distinct_values for r in profiling.inclusions(tables).collect()}
